@@ -88,7 +88,11 @@ def decode_factors(stored: DataFrame) -> DataFrame:
 def vector_validation(factors: DataFrame, id_column: str = "itemId") -> DataFrame:
     """Vectors that cannot be stored, with the reason."""
     return (
-        factors.select(id_column, F.size("features").alias("dimension"), vector_problem("features").alias("reason"))
+        factors.select(
+            id_column,
+            F.coalesce(F.size("features"), F.lit(0)).alias("dimension"),
+            vector_problem("features").alias("reason"),
+        )
         .filter(F.col("reason").isNotNull())
     )
 

@@ -806,7 +806,8 @@ def event_validate(spark, d):
         "tsMicros", F.when(F.col("movieId").isNotNull(), F.col("tsMicros"))
     )
     return realtime.event_validate(missing, GENERATED_AT).select(
-        "eventId", "userId", "movieId", "eventType", "rating", "tsMicros", "accepted", "reason"
+        "eventId", "userId", F.coalesce("movieId", F.lit(0)).alias("movieId"),
+        "eventType", "rating", "tsMicros", "accepted", "reason",
     )
 
 
