@@ -18,22 +18,16 @@ METRIC_SCHEMA = (
 )
 
 
-def _entry(df: DataFrame, key: Column, column: str) -> Column:
-    kind = df.schema[column].dataType
+def _entry(kind: T.DataType, key: Column, column: str) -> list[Column]:
     value = F.col(f"`{column}`")
-    number = text = flag = F.lit(None)
-    if isinstance(kind, T.BooleanType):
-        flag = value
-    elif isinstance(kind, T.StringType):
-        text = value
-    else:
-        number = value
-    return F.struct(
+    is_flag, is_text = isinstance(kind, T.BooleanType), isinstance(kind, T.StringType)
+    nothing = F.lit(None)
+    return [
         key.alias("metric_key"),
-        number.cast("double").alias("value_double"),
-        text.cast("string").alias("value_string"),
-        flag.cast("boolean").alias("value_bool"),
-    )
+        (nothing if is_flag or is_text else value).cast("double").alias("value_double"),
+        (value if is_text else nothing).cast("string").alias("value_string"),
+        (value if is_flag else nothing).cast("boolean").alias("value_bool"),
+    ]
 
 
 def metric_rows(
@@ -45,33 +39,20 @@ def metric_rows(
     seq: Column | None = None,
 ) -> DataFrame:
     """Unpivot ``df`` into metric rows; entries pair a metric key with the column that holds it."""
-    keyed = [
-        _entry(df, F.lit(key) if isinstance(key, str) else key, column) for key, column in entries
+    kinds = {field.name: field.dataType for field in df.schema.fields}
+    common = [
+        F.lit(collector).alias("collector"),
+        F.lit(doc_type).alias("type"),
+        (F.col(label) if label else F.lit(None)).cast("string").alias("label"),
+        (F.lit(0.0) if seq is None else seq).cast("double").alias("seq"),
+    ]
+    rows = [
+        F.struct(*common, *_entry(kinds[column], F.lit(key) if isinstance(key, str) else key, column))
+        for key, column in entries
     ]
-    return (
-        df.select(
-            (F.col(label) if label else F.lit(None)).cast("string").alias("label"),
-            (F.lit(0.0) if seq is None else seq).cast("double").alias("seq"),
-            F.explode(F.array(*keyed)).alias("m"),
-        )
-        .select(
-            F.lit(collector).alias("collector"),
-            F.lit(doc_type).alias("type"),
-            F.col("m.metric_key").alias("metric_key"),
-            "label",
-            "seq",
-            F.col("m.value_double").alias("value_double"),
-            F.col("m.value_string").alias("value_string"),
-            F.col("m.value_bool").alias("value_bool"),
-        )
-        .filter(
-            (F.length(F.trim("metric_key")) > 0)
-            & (
-                F.col("value_double").isNotNull()
-                | F.col("value_string").isNotNull()
-                | F.col("value_bool").isNotNull()
-            )
-        )
+    return df.select(F.inline(F.array(*rows))).filter(
+        "length(trim(metric_key)) > 0 "
+        "and (value_double is not null or value_string is not null or value_bool is not null)"
     )
 
 

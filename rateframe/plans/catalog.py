@@ -64,6 +64,11 @@ def _inputs(spark: SparkSession, d: str, as_of: int = FRESHNESS_AS_OF) -> Inputs
     return Inputs(src.ratings(spark, d), src.movies(spark, d), src.tags(spark, d), as_of)
 
 
+def _rated(spark: SparkSession, d: str, as_of: int = FRESHNESS_AS_OF) -> Inputs:
+    """Inputs for reports that need nothing but ratings."""
+    return Inputs(src.ratings(spark, d), None, None, as_of)
+
+
 def _raw_seen(spark: SparkSession, d: str) -> DataFrame:
     return quality.overview(src.typed_raw_ratings(spark, d), QUALITY_AS_OF)
 
@@ -160,7 +165,7 @@ def dq_duplicates(spark, d):
 
 @query
 def dq_freshness(spark, d):
-    data = _inputs(spark, d)
+    data = _rated(spark, d)
     return quality.dq_freshness(data.ratings, data.seen)
 
 
@@ -171,12 +176,12 @@ def dq_rating_range(spark, d):
 
 @query
 def dq_orphan_ratings(spark, d):
-    return quality.dq_orphan_ratings(_inputs(spark, d).movie_facts, src.movies(spark, d))
+    return quality.dq_orphan_ratings(_rated(spark, d).movie_facts, src.movies(spark, d))
 
 
 @query
 def dq_orphan_tags(spark, d):
-    return quality.dq_orphan_tags(src.tags(spark, d), _inputs(spark, d).pairs)
+    return quality.dq_orphan_tags(src.tags(spark, d), _rated(spark, d).pairs)
 
 
 @query
@@ -191,116 +196,116 @@ def dq_consistency_score(spark, d):
 
 @query
 def freshness_span(spark, d):
-    return quality.freshness_span(_inputs(spark, d).seen)
+    return quality.freshness_span(_rated(spark, d).seen)
 
 
 @query
 def freshness_recent(spark, d):
-    return _inputs(spark, d).recent
+    return _rated(spark, d).recent
 
 
 @query
 def freshness_score(spark, d):
-    return quality.freshness_score(_inputs(spark, d).seen, FRESHNESS_AS_OF)
+    return quality.freshness_score(_rated(spark, d).seen, FRESHNESS_AS_OF)
 
 
 @query
 def freshness_trend(spark, d):
-    return quality.freshness_trend(_inputs(spark, d).recent)
+    return quality.freshness_trend(_rated(spark, d).recent)
 
 
 # --- rating distribution -----------------------------------------------------------------
 
 @query
 def rating_histogram(spark, d):
-    return _inputs(spark, d).histogram.orderBy("ratingActual")
+    return _rated(spark, d).histogram.orderBy("ratingActual")
 
 
 @query
 def rating_stats(spark, d):
-    return distribution.rating_stats(_inputs(spark, d).seen)
+    return distribution.rating_stats(_rated(spark, d).seen)
 
 
 @query
 def rating_bands(spark, d):
-    return distribution.rating_bands(_inputs(spark, d).seen)
+    return distribution.rating_bands(_rated(spark, d).seen)
 
 
 @query
 def rating_mode(spark, d):
-    return distribution.rating_mode(_inputs(spark, d).histogram)
+    return distribution.rating_mode(_rated(spark, d).histogram)
 
 
 @query
 def rating_quartiles(spark, d):
-    return distribution.rating_quartiles(_inputs(spark, d).histogram)
+    return distribution.rating_quartiles(_rated(spark, d).histogram)
 
 
 # --- users ------------------------------------------------------------------------------------
 
 @query
 def user_profile(spark, d):
-    return _inputs(spark, d).profile
+    return _rated(spark, d).profile
 
 
 @query
 def top_users(spark, d):
-    return users.top_users(_inputs(spark, d).profile)
+    return users.top_users(_rated(spark, d).profile)
 
 
 @query
 def user_activity_summary(spark, d):
-    return users.user_activity_summary(_inputs(spark, d).users_seen)
+    return users.user_activity_summary(_rated(spark, d).users_seen)
 
 
 @query
 def user_engagement_summary(spark, d):
-    return users.user_engagement_summary(_inputs(spark, d).users_seen)
+    return users.user_engagement_summary(_rated(spark, d).users_seen)
 
 
 @query
 def engagement_tiers(spark, d):
-    return users.engagement_tiers(_inputs(spark, d).users_seen)
+    return users.engagement_tiers(_rated(spark, d).users_seen)
 
 
 @query
 def activity_levels(spark, d):
-    return users.activity_levels(_inputs(spark, d).users_seen)
+    return users.activity_levels(_rated(spark, d).users_seen)
 
 
 @query
 def segment_variation(spark, d):
-    return users.segment_variation(_inputs(spark, d).users_seen)
+    return users.segment_variation(_rated(spark, d).users_seen)
 
 
 @query
 def segmentation_score(spark, d):
-    return users.segmentation_score(_inputs(spark, d).users_seen)
+    return users.segmentation_score(_rated(spark, d).users_seen)
 
 
 @query
 def engagement_quality(spark, d):
-    return users.engagement_quality(_inputs(spark, d).users_seen)
+    return users.engagement_quality(_rated(spark, d).users_seen)
 
 
 @query
 def engagement_consistency(spark, d):
-    return users.engagement_consistency(_inputs(spark, d).users_seen)
+    return users.engagement_consistency(_rated(spark, d).users_seen)
 
 
 @query
 def segment_matrix(spark, d):
-    return users.segment_matrix(_inputs(spark, d).segments)
+    return users.segment_matrix(_rated(spark, d).segments)
 
 
 @query
 def advanced_segments(spark, d):
-    return users.advanced_segments(_inputs(spark, d).segments)
+    return users.advanced_segments(_rated(spark, d).segments)
 
 
 @query
 def rating_behavior_matrix(spark, d):
-    return users.rating_behavior_matrix(_inputs(spark, d).segments)
+    return users.rating_behavior_matrix(_rated(spark, d).segments)
 
 
 # --- temporal trends --------------------------------------------------------------------------
@@ -312,22 +317,22 @@ def calendar_features(spark, d):
 
 @query
 def yearly_trends(spark, d):
-    return temporal.yearly_trends(_inputs(spark, d).calendar).orderBy("year")
+    return temporal.yearly_trends(_rated(spark, d).calendar).orderBy("year")
 
 
 @query
 def monthly_trends(spark, d):
-    return temporal.monthly_trends(_inputs(spark, d).cube).orderBy("month")
+    return temporal.monthly_trends(_rated(spark, d).cube).orderBy("month")
 
 
 @query
 def weekday_trends(spark, d):
-    return temporal.weekday_trends(_inputs(spark, d).cube).orderBy("dayOfWeek")
+    return temporal.weekday_trends(_rated(spark, d).cube).orderBy("dayOfWeek")
 
 
 @query
 def top_hours(spark, d):
-    return temporal.top_hours(_inputs(spark, d).cube)
+    return temporal.top_hours(_rated(spark, d).cube)
 
 
 # --- content --------------------------------------------------------------------------------------
@@ -339,7 +344,7 @@ def movie_popularity(spark, d):
 
 @query
 def movie_popularity_summary(spark, d):
-    return content.movie_popularity_summary(_inputs(spark, d).movies_seen)
+    return content.movie_popularity_summary(_rated(spark, d).movies_seen)
 
 
 @query
@@ -365,22 +370,22 @@ def genre_extremes(spark, d):
 
 @query
 def genre_fallback(spark, d):
-    return content.genre_fallback(_inputs(spark, d).movies_seen)
+    return content.genre_fallback(_rated(spark, d).movies_seen)
 
 
 @query
 def movie_performance(spark, d):
-    return _inputs(spark, d).performance
+    return _rated(spark, d).performance
 
 
 @query
 def content_performance_summary(spark, d):
-    return content.content_performance_summary(_inputs(spark, d).movies_seen)
+    return content.content_performance_summary(_rated(spark, d).movies_seen)
 
 
 @query
 def content_performance_flags(spark, d):
-    return content.content_performance_flags(_inputs(spark, d).movies_seen)
+    return content.content_performance_flags(_rated(spark, d).movies_seen)
 
 
 # --- tags ---------------------------------------------------------------------------------------------
@@ -408,7 +413,7 @@ def genre_top_tags(spark, d):
 
 @query
 def tag_rating_affinity(spark, d):
-    return tag_ops.tag_rating_affinity(src.tags(spark, d), _inputs(spark, d).pairs)
+    return tag_ops.tag_rating_affinity(src.tags(spark, d), _rated(spark, d).pairs)
 
 
 # --- data platform ----------------------------------------------------------------------------------------
@@ -431,7 +436,7 @@ def valid_row_ratio(spark, d):
 
 @query
 def user_skew(spark, d):
-    return platform.user_skew(_inputs(spark, d).profile)
+    return platform.user_skew(_rated(spark, d).profile)
 
 
 @query
@@ -446,9 +451,8 @@ def run_timing(spark, d):
 
 # --- analytics documents ----------------------------------------------------------------------------------------
 
-def _metrics_of(spark: SparkSession, d: str, *collect: Callable[[Inputs], DataFrame]) -> DataFrame:
-    data = _inputs(spark, d).store()
-    return collectors.union_all([one(data) for one in collect])
+def _metrics_of(data: Inputs, collect: Callable[[Inputs], DataFrame]) -> DataFrame:
+    return collect(data.store())
 
 
 def _all_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -583,47 +587,47 @@ def analytics_type_catalog(spark, d):
 
 @query
 def chart_rating_distribution(spark, d):
-    return charts.chart_rating_distribution(_metrics_of(spark, d, collectors.rating_distribution))
+    return charts.chart_rating_distribution(_metrics_of(_rated(spark, d), collectors.rating_distribution))
 
 
 @query
 def chart_engagement(spark, d):
-    return charts.chart_engagement(_metrics_of(spark, d, collectors.user_engagement))
+    return charts.chart_engagement(_metrics_of(_rated(spark, d), collectors.user_engagement))
 
 
 @query
 def chart_segmentation(spark, d):
-    return charts.chart_segmentation(_metrics_of(spark, d, collectors.user_segmentation))
+    return charts.chart_segmentation(_metrics_of(_rated(spark, d), collectors.user_segmentation))
 
 
 @query
 def chart_top_movies(spark, d):
-    return charts.chart_top_movies(_metrics_of(spark, d, collectors.movie_popularity))
+    return charts.chart_top_movies(_metrics_of(_inputs(spark, d), collectors.movie_popularity))
 
 
 @query
 def chart_genre_popularity(spark, d):
-    return charts.chart_genre_popularity(_metrics_of(spark, d, collectors.genre_distribution))
+    return charts.chart_genre_popularity(_metrics_of(_inputs(spark, d), collectors.genre_distribution))
 
 
 @query
 def chart_genre_quality(spark, d):
-    return charts.chart_genre_quality(_metrics_of(spark, d, collectors.genre_distribution), CHART_GENRE_MORE_THAN)
+    return charts.chart_genre_quality(_metrics_of(_inputs(spark, d), collectors.genre_distribution), CHART_GENRE_MORE_THAN)
 
 
 @query
 def chart_monthly(spark, d):
-    return charts.chart_monthly(_metrics_of(spark, d, collectors.temporal_trends))
+    return charts.chart_monthly(_metrics_of(_rated(spark, d), collectors.temporal_trends))
 
 
 @query
 def chart_yearly(spark, d):
-    return charts.chart_yearly(_metrics_of(spark, d, collectors.temporal_trends))
+    return charts.chart_yearly(_metrics_of(_rated(spark, d), collectors.temporal_trends))
 
 
 @query
 def chart_weekly(spark, d):
-    return charts.chart_weekly(_metrics_of(spark, d, collectors.temporal_trends))
+    return charts.chart_weekly(_metrics_of(_rated(spark, d), collectors.temporal_trends))
 
 
 @query
