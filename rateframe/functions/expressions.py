@@ -76,14 +76,10 @@ def raw_genre_terms(genres: str | Column) -> Column:
 
 # --- metric keys and values ---------------------------------------------------
 
-def key_part(label: str | Column, when_null: str, when_empty: str) -> Column:
-    """Data-derived part of a metric key: letters and digits only, lower case."""
-    cleaned = F.lower(F.regexp_replace(col(label), "[^a-zA-Z0-9]", ""))
-    return (
-        F.when(col(label).isNull(), F.lit(when_null))
-        .when(cleaned == "", F.lit(when_empty))
-        .otherwise(cleaned)
-    )
+def key_part(label: str, when_null: str, when_empty: str) -> str:
+    """Data-derived part of a metric key as SQL text: letters and digits only, lower case."""
+    cleaned = f"lower(regexp_replace({label}, '[^a-zA-Z0-9]', ''))"
+    return f"case when {label} is null then '{when_null}' when {cleaned} = '' then '{when_empty}' else {cleaned} end"
 
 
 def numeric_value(raw: str | Column) -> Column:
@@ -149,11 +145,11 @@ def vector_problem(features: str | Column) -> Column:
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round floating columns so that summation order cannot show in results."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            f"round(`{f.name}`, {digits}) as `{f.name}`"
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f"`{f.name}`")
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

@@ -26,21 +26,15 @@ def conform_columns(df: DataFrame, expected: tuple[str, ...] = RAW_RATING_COLUMN
     return df.select(*[F.col(f"`{actual}`").alias(name) for name, actual in wanted])
 
 
-def _typed(df: DataFrame, name: str, target: str) -> Column:
-    value = F.col(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.trim(value).try_cast(target)
-    return value.cast(target)
-
-
 def _with_typed_values(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        *raw.columns,
-        _typed(raw, "userId", "int").alias("_user"),
-        _typed(raw, "movieId", "int").alias("_movie"),
-        _typed(raw, "rating", "double").alias("_rating"),
-        _typed(raw, "timestamp", "bigint").alias("_time"),
-    )
+    """The raw columns and, next to them, their trimmed and typed values; null where unreadable."""
+    targets = {"_user": ("userId", "int"), "_movie": ("movieId", "int"), "_rating": ("rating", "double"), "_time": ("timestamp", "bigint")}
+    kinds = dict(raw.dtypes)
+    typed = [
+        f"try_cast(trim({name}) as {kind}) as {alias}" if kinds[name] == "string" else f"cast({name} as {kind}) as {alias}"
+        for alias, (name, kind) in targets.items()
+    ]
+    return raw.selectExpr(*raw.columns, *typed)
 
 
 def _reject_reason() -> Column:
@@ -76,16 +70,10 @@ def clean_ratings(raw: DataFrame, strict: bool = False) -> DataFrame:
         kept = typed.filter(complaint)
     else:
         kept = typed.filter(
-            (F.col("_user") > 0)
-            & (F.col("_movie") > 0)
-            & F.col("_rating").between(RATING_MIN, RATING_MAX)
-            & F.col("_time").isNotNull()
+            f"_user > 0 and _movie > 0 and _rating between {RATING_MIN}D and {RATING_MAX}D and _time is not null"
         )
-    return kept.select(
-        F.col("_user").alias("userId"),
-        F.col("_movie").alias("movieId"),
-        F.col("_rating").alias("ratingActual"),
-        F.col("_time").alias("timestampEpochSeconds"),
+    return kept.selectExpr(
+        "_user as userId", "_movie as movieId", "_rating as ratingActual", "_time as timestampEpochSeconds"
     )
 
 

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 METRIC_SCHEMA = (
@@ -18,39 +17,35 @@ METRIC_SCHEMA = (
 )
 
 
-def _entry(kind: T.DataType, key: Column, column: str) -> list[Column]:
-    value = F.col(f"`{column}`")
-    is_flag, is_text = isinstance(kind, T.BooleanType), isinstance(kind, T.StringType)
-    nothing = F.lit(None)
-    return [
-        key.alias("metric_key"),
-        (nothing if is_flag or is_text else value).cast("double").alias("value_double"),
-        (value if is_text else nothing).cast("string").alias("value_string"),
-        (value if is_flag else nothing).cast("boolean").alias("value_bool"),
-    ]
+def _entry(kind: T.DataType, key: str, column: str) -> str:
+    number = text = flag = "null"
+    if isinstance(kind, T.BooleanType):
+        flag = f"`{column}`"
+    elif isinstance(kind, T.StringType):
+        text = f"`{column}`"
+    else:
+        number = f"`{column}`"
+    return f"{key}, cast({number} as double), cast({text} as string), cast({flag} as boolean)"
 
 
 def metric_rows(
     df: DataFrame,
     collector: str,
     doc_type: str,
-    entries: Sequence[tuple[str | Column, str]],
-    label: str | None = None,
-    seq: Column | None = None,
+    entries: Sequence[tuple[str, str]],
+    label: str = "cast(null as string)",
+    seq: str = "0",
 ) -> DataFrame:
-    """Unpivot ``df`` into metric rows; entries pair a metric key with the column that holds it."""
+    """Unpivot ``df`` into metric rows; entries pair a key, as SQL text, with the column of its value."""
     kinds = {field.name: field.dataType for field in df.schema.fields}
-    common = [
-        F.lit(collector).alias("collector"),
-        F.lit(doc_type).alias("type"),
-        (F.col(label) if label else F.lit(None)).cast("string").alias("label"),
-        (F.lit(0.0) if seq is None else seq).cast("double").alias("seq"),
-    ]
-    rows = [
-        F.struct(*common, *_entry(kinds[column], F.lit(key) if isinstance(key, str) else key, column))
-        for key, column in entries
-    ]
-    return df.select(F.inline(F.array(*rows))).filter(
+    listed = ", ".join(_entry(kinds[column], key, column) for key, column in entries)
+    return df.selectExpr(
+        f"'{collector}' as collector",
+        f"'{doc_type}' as type",
+        f"stack({len(entries)}, {listed}) as (metric_key, value_double, value_string, value_bool)",
+        f"{label} as label",
+        f"cast({seq} as double) as seq",
+    ).filter(
         "length(trim(metric_key)) > 0 "
         "and (value_double is not null or value_string is not null or value_bool is not null)"
     )
@@ -58,7 +53,7 @@ def metric_rows(
 
 def plain_entries(df: DataFrame, prefix: str = "") -> list[tuple[str, str]]:
     """Every column under its own name, with a prefix."""
-    return [(prefix + name, name) for name in df.columns]
+    return [(f"'{prefix}{name}'", name) for name in df.columns]
 
 
 def constant_metrics(spark, collector: str, doc_type: str, values: dict[str, object]) -> DataFrame:

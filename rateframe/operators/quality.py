@@ -73,24 +73,30 @@ def _span_days() -> Column:
     return F.floor((F.col("newest") - F.col("oldest")) / DAY_SECONDS)
 
 
-def freshness_span(seen: DataFrame) -> DataFrame:
+def _span_columns() -> list[Column]:
     per_day = F.col("timestamps") / F.greatest(_span_days(), F.lit(1)).cast("double")
-    return seen.select(
+    return [
         F.col("oldest").alias("oldestRatingTimestamp"),
         F.col("newest").alias("newestRatingTimestamp"),
         _span_days().alias("timeSpanDays"),
         per_day.alias("ratingsPerDay"),
         (per_day / 24).alias("ratingsPerHour"),
-    )
+    ]
 
 
-def freshness_recent(ratings: DataFrame, seen: DataFrame) -> DataFrame:
-    """Ratings strictly newer than 30, 7 and 1 days before the newest one.
+def freshness_span(seen: DataFrame) -> DataFrame:
+    return seen.select(*_span_columns())
+
 
-    The newest time and the total are scalar subqueries, so the scan keeps only the last 30 days.
+def _recent(ratings: DataFrame, seen: DataFrame) -> DataFrame:
+    """One row: recent counts next to the overview's time columns.
+
+    The overview enters as one scalar subquery, so the second and last pass over the ratings
+    keeps only the last 30 days.
     """
     ts = F.col("timestampEpochSeconds")
-    newest = seen.select("newest").scalar()
+    whole = seen.select(F.struct("oldest", "newest", "timestamps")).scalar()
+    newest = whole["newest"]
     return (
         ratings.select(ts)
         .filter(ts > newest - 30 * DAY_SECONDS)
@@ -100,24 +106,28 @@ def freshness_recent(ratings: DataFrame, seen: DataFrame) -> DataFrame:
             count_where(F.col("age") < 7 * DAY_SECONDS).alias("ratingsLast7Days"),
             count_where(F.col("age") < DAY_SECONDS).alias("ratingsLast24Hours"),
         )
-        .withColumn("total", seen.select("timestamps").scalar())
-        .select(
-            "recentRatings30Days",
-            percent("recentRatings30Days", "total").alias("recentActivityPercentage"),
-            "ratingsLast7Days",
-            "ratingsLast24Hours",
-            percent("ratingsLast7Days", "total").alias("weeklyActivityPercentage"),
-            percent("ratingsLast24Hours", "total").alias("dailyActivityPercentage"),
-        )
+        .withColumn("whole", whole)
+        .select("recentRatings30Days", "ratingsLast7Days", "ratingsLast24Hours", "whole.*")
+    )
+
+
+def freshness_recent(ratings: DataFrame, seen: DataFrame) -> DataFrame:
+    """Ratings strictly newer than 30, 7 and 1 days before the newest one."""
+    return _recent(ratings, seen).select(
+        "recentRatings30Days",
+        percent("recentRatings30Days", "timestamps").alias("recentActivityPercentage"),
+        "ratingsLast7Days",
+        "ratingsLast24Hours",
+        percent("ratingsLast7Days", "timestamps").alias("weeklyActivityPercentage"),
+        percent("ratingsLast24Hours", "timestamps").alias("dailyActivityPercentage"),
     )
 
 
 def dq_freshness(ratings: DataFrame, seen: DataFrame) -> DataFrame:
-    recent = freshness_recent(ratings, seen)
-    return freshness_span(seen).select(
-        "*",
-        recent.select("recentRatings30Days").scalar().alias("recentRatings30Days"),
-        recent.select("recentActivityPercentage").scalar().alias("recentActivityPercentage"),
+    return _recent(ratings, seen).select(
+        *_span_columns(),
+        "recentRatings30Days",
+        percent("recentRatings30Days", "timestamps").alias("recentActivityPercentage"),
     )
 
 

@@ -13,7 +13,7 @@ from rateframe.fixed_values import NO_MOVIES_NOTE
 from rateframe.functions.expressions import key_part
 from rateframe.operators import content, distribution, facts, platform, quality, tags as tag_ops, temporal, users
 from rateframe.operators.metrics import constant_metrics, metric_rows, plain_entries
-from rateframe.session import materialize
+from rateframe.session import hold, materialize
 
 
 @dataclass(frozen=True, eq=False)
@@ -29,9 +29,12 @@ class Inputs:
     def _base(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, label) if self.stored else df
 
+    def _row(self, df: DataFrame, rows: int = 1) -> DataFrame:
+        return hold(df, rows) if self.stored else df
+
     @cached_property
     def seen(self) -> DataFrame:
-        return self._base(quality.overview(self.ratings, self.as_of), "overview")
+        return self._row(quality.overview(self.ratings, self.as_of))
 
     @cached_property
     def histogram(self) -> DataFrame:
@@ -47,11 +50,11 @@ class Inputs:
 
     @cached_property
     def users_seen(self) -> DataFrame:
-        return self._base(users.profile_overview(self.profile), "users-overview")
+        return self._row(users.profile_overview(self.profile))
 
     @cached_property
     def segments(self) -> DataFrame:
-        return self._base(users.segment_cube(self.profile), "segments")
+        return self._row(users.segment_cube(self.profile), rows=972)
 
     @cached_property
     def movie_facts(self) -> DataFrame:
@@ -63,7 +66,7 @@ class Inputs:
 
     @cached_property
     def movies_seen(self) -> DataFrame:
-        return self._base(content.performance_overview(self.performance), "movies-overview")
+        return self._row(content.performance_overview(self.performance))
 
     @cached_property
     def tag_counts(self) -> DataFrame:
@@ -84,7 +87,7 @@ class Inputs:
 
     @cached_property
     def recent(self) -> DataFrame:
-        return self._base(quality.freshness_recent(self.ratings, self.seen), "recent")
+        return self._row(quality.freshness_recent(self.ratings, self.seen))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -92,7 +95,7 @@ class Inputs:
 
     @cached_property
     def cube(self) -> DataFrame:
-        return self._base(temporal.calendar_cube(self.calendar), "cube")
+        return self._row(temporal.calendar_cube(self.calendar), rows=2016)
 
     @cached_property
     def genres(self) -> DataFrame:
@@ -100,7 +103,7 @@ class Inputs:
 
     @cached_property
     def top(self) -> DataFrame:
-        return self._base(content.top_movies(self.popularity), "top-movies")
+        return self._row(content.top_movies(self.popularity), rows=10)
 
     def store(self) -> "Inputs":
         """Read the sources once, keep them as tables, and keep every base table as well."""
@@ -153,9 +156,9 @@ def data_freshness(data: Inputs) -> DataFrame:
 
 def rating_distribution(data: Inputs) -> DataFrame:
     name = "RATING_DISTRIBUTION"
-    value = F.concat(F.lit("rating_"), F.col("ratingActual").cast("string"))
+    key = "concat('rating_', cast(ratingActual as string))"
     return union_all([
-        metric_rows(data.histogram, name, name, [(value, "ratingCount")]),
+        metric_rows(data.histogram, name, name, [(key, "ratingCount")]),
         _whole(distribution.rating_stats(data.seen), name, name),
         _whole(distribution.rating_bands(data.seen), name, name),
         _whole(distribution.rating_mode(data.histogram), name, name),
@@ -164,14 +167,14 @@ def rating_distribution(data: Inputs) -> DataFrame:
 
 
 def _segments(data: Inputs, collector: str) -> DataFrame:
-    key = F.concat_ws("_", F.lit("segment"), "activityLevel", "ratingPattern")
+    key = "concat_ws('_', 'segment', activityLevel, ratingPattern)"
     return metric_rows(users.segment_matrix(data.segments), collector, collector, [(key, "users")])
 
 
 def user_activity(data: Inputs) -> DataFrame:
     name = "USER_ACTIVITY"
     top = users.top_users(data.profile)
-    top_key = F.concat(F.lit("topUser_"), F.col("userId").cast("string"), F.lit("_ratingsCount"))
+    top_key = "concat('topUser_', userId, '_ratingsCount')"
     tiers = users.engagement_tiers(data.users_seen).select(
         "highlyEngagedUsers", "moderatelyEngagedUsers", "lowEngagedUsers"
     )
@@ -192,7 +195,7 @@ def user_segmentation(data: Inputs) -> DataFrame:
     name = "USER_SEGMENTATION"
     levels = users.activity_levels(data.users_seen)
     advanced = users.advanced_segments(data.segments)
-    advanced_key = F.concat_ws("_", F.lit("advancedSegment"), "engagementLevel", "ratingConsistency")
+    advanced_key = "concat_ws('_', 'advancedSegment', engagementLevel, ratingConsistency)"
     return union_all([
         _whole(levels, name, name),
         _segments(data, name),
@@ -205,7 +208,7 @@ def user_segmentation(data: Inputs) -> DataFrame:
 def user_engagement(data: Inputs) -> DataFrame:
     name = "USER_ENGAGEMENT"
     behavior = users.rating_behavior_matrix(data.segments)
-    key = F.concat_ws("_", F.lit("behavior"), "ratingFrequency", "ratingDiversity")
+    key = "concat_ws('_', 'behavior', ratingFrequency, ratingDiversity)"
     return union_all([
         _whole(users.user_engagement_summary(data.users_seen), name, name),
         _whole(users.engagement_tiers(data.users_seen), name, name),
@@ -217,10 +220,7 @@ def user_engagement(data: Inputs) -> DataFrame:
 
 def _by_part(df: DataFrame, stem: str, part: str, values: list[str], names: list[str]) -> DataFrame:
     name = "TEMPORAL_TRENDS"
-    keys = [
-        (F.concat(F.lit(f"{stem}_"), F.col(part).cast("string"), F.lit(f"_{suffix}")), value)
-        for value, suffix in zip(values, names)
-    ]
+    keys = [(f"concat('{stem}_', {part}, '_{suffix}')", value) for value, suffix in zip(values, names)]
     return metric_rows(df, name, name, keys)
 
 
@@ -238,7 +238,7 @@ def temporal_trends(data: Inputs) -> DataFrame:
 def movie_popularity(data: Inputs) -> DataFrame:
     name, kind = "CONTENT_ANALYTICS", "MOVIE_POPULARITY"
     summary = content.movie_popularity_summary(data.movies_seen)
-    key = lambda suffix: F.concat(F.lit("topMovie_"), F.col("movieId").cast("string"), F.lit(suffix))
+    key = lambda suffix: f"concat('topMovie_', movieId, '{suffix}')"
     titled = data.top.filter(F.col("title").isNotNull())
     parts = [
         _whole(summary, name, kind, "popularity_"),
@@ -249,10 +249,7 @@ def movie_popularity(data: Inputs) -> DataFrame:
     ]
     if data.tags is not None:
         used = content.top_movie_tags(data.top, data.tags)
-        tag_key = lambda suffix: F.concat(
-            F.lit("topMovie_"), F.col("movieId").cast("string"),
-            F.lit("_tag"), F.col("rank").cast("string"), F.lit(suffix),
-        )
+        tag_key = lambda suffix: f"concat('topMovie_', movieId, '_tag', rank, '{suffix}')"
         parts.append(metric_rows(used, name, kind, [(tag_key("_name"), "tag"), (tag_key("_count"), "tagCount")]))
         parts.append(constant_metrics(data.ratings.sparkSession, name, kind, {"tagAnalysisAvailable": True}))
     return union_all(parts)
@@ -269,8 +266,9 @@ def genre_distribution(data: Inputs) -> DataFrame:
         ])
     stats = data.genres.withColumn("ratingStdDev", F.coalesce("ratingStdDev", F.lit(0.0)))
     # A genre whose name has no letter or digit has no key of its own and is left out.
-    keyed = stats.filter(key_part("genre", "", "") != "")
-    key = lambda suffix: F.concat(F.lit("genre_"), key_part("genre", "", ""), F.lit(f"_{suffix}"))
+    safe_genre = key_part("genre", "", "")
+    keyed = stats.filter(f"{safe_genre} <> ''")
+    key = lambda suffix: f"concat('genre_', {safe_genre}, '_{suffix}')"
     return union_all([
         metric_rows(
             keyed, name, kind,
@@ -279,7 +277,7 @@ def genre_distribution(data: Inputs) -> DataFrame:
                 (key("uniqueUsers"), "uniqueUsers"), (key("uniqueMovies"), "uniqueMovies"),
                 (key("ratingStdDev"), "ratingStdDev"),
             ],
-            label="genre", seq=-F.col("ratingCount"),
+            label="genre", seq="-ratingCount",
         ),
         _whole(content.genre_extremes(stats), name, kind),
         constant_metrics(spark, name, kind, {"genreDataAvailable": True}),
@@ -304,12 +302,12 @@ def tag_analytics(data: Inputs) -> DataFrame:
     popular = tag_ops.popular_tags(data.tags, data.tag_counts)
     liked = tag_ops.tag_rating_affinity(data.tags, data.pairs)
     safe_tag = key_part("tag", "nulltag", "emptyTag")
-    popular_key = lambda s: F.concat(F.lit("popularTag_"), safe_tag, F.lit(f"_{s}"))
-    liked_key = lambda s: F.concat(F.lit("highRatedTag_"), safe_tag, F.lit(f"_{s}"))
+    popular_key = lambda suffix: f"concat('popularTag_', {safe_tag}, '_{suffix}')"
+    liked_key = lambda suffix: f"concat('highRatedTag_', {safe_tag}, '_{suffix}')"
     liked_rows = metric_rows(
         liked, name, kind,
         [(liked_key("name"), "tag"), (liked_key("avgRating"), "avgRating"), (liked_key("ratingCount"), "ratingCount")],
-        label="tag", seq=-F.col("avgRating"),
+        label="tag", seq="-avgRating",
     )
     any_liked = liked.agg((F.count("*") > 0).alias("tagRatingCorrelationAvailable"))
     parts = [
@@ -320,7 +318,7 @@ def tag_analytics(data: Inputs) -> DataFrame:
                 (popular_key("name"), "tag"), (popular_key("count"), "tagCount"),
                 (popular_key("moviesTagged"), "moviesTagged"), (popular_key("usersWhoTagged"), "usersWhoTagged"),
             ],
-            label="tag", seq=-F.col("tagCount"),
+            label="tag", seq="-tagCount",
         ),
         _whole(tag_ops.tag_sentiment(data.tag_counts), name, kind),
         liked_rows,
@@ -332,13 +330,11 @@ def tag_analytics(data: Inputs) -> DataFrame:
     ]
     if data.movies is not None:
         used = tag_ops.genre_top_tags(data.tags, data.movies)
-        genre_key = lambda s: F.concat(
-            F.lit("genre_"), key_part("genre", "nullgenre", "emptyGenre"),
-            F.lit("_topTag"), F.col("rank").cast("string"), F.lit(f"_{s}"),
-        )
+        safe_genre = key_part("genre", "nullgenre", "emptyGenre")
+        genre_key = lambda suffix: f"concat('genre_', {safe_genre}, '_topTag', rank, '_{suffix}')"
         parts.append(metric_rows(
             used, name, kind, [(genre_key("name"), "tag"), (genre_key("count"), "tagCount")],
-            label="genre", seq=F.col("rank"),
+            label="genre", seq="rank",
         ))
     return union_all(parts)
 

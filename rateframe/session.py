@@ -52,3 +52,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hold(df: DataFrame, rows: int) -> DataFrame:
+    """Keep a result that has at most ``rows`` rows by construction as a local table."""
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows > rows:
+        raise ValueError(f"expected at most {rows} rows")
+    return df.sparkSession.createDataFrame(found, df.schema)

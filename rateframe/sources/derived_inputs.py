@@ -6,7 +6,7 @@ and Catalyst reads only the columns that query needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rateframe.operators.ingest import clean_ratings
@@ -43,138 +43,101 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(GIVEN_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(labels: tuple[str, ...], position: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), position)
+def _pick(labels: tuple[str, ...], position: str) -> str:
+    listed = ", ".join(f"'{label}'" for label in labels)
+    return f"element_at(array({listed}), {position})"
 
 
 def rating_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: who (userId) dealt with what (movieId) and when (ts)."""
     line = given(spark, sf_dir, "lineitem")
-    order = given(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    heavy = F.col("o_custkey") % 3 == 0
-    user = F.when(heavy, F.col("o_custkey") % 50).otherwise(F.col("o_custkey")) + 1
-    part = F.col("l_partkey")
-    return (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("userId", user)
-        .withColumn(
-            "movieId",
-            F.when(F.col("userId") <= 10, part % 100)
-            .when(F.col("userId") <= 20, part % 400)
-            .otherwise(part)
-            + 1,
-        )
-        .select(
-            "l_orderkey",
-            "l_linenumber",
-            "l_suppkey",
-            "l_quantity",
-            "userId",
-            "movieId",
-            (
-                F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
-                + (F.col("l_orderkey") % 24) * 3600
-                + F.col("l_linenumber") * 60
-            ).alias("ts"),
-            F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("step"),
-        )
+    order = given(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as l_orderkey",
+        "case when o_custkey % 3 = 0 then o_custkey % 50 else o_custkey end + 1 as userId",
+    )
+    return line.join(order, "l_orderkey").selectExpr(
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
+        "l_quantity",
+        "userId",
+        "case when userId <= 10 then l_partkey % 100 when userId <= 20 then l_partkey % 400 "
+        "else l_partkey end + 1 as movieId",
+        "unix_seconds(cast(l_shipdate as timestamp)) + (l_orderkey % 24) * 3600 + l_linenumber * 60 as ts",
+        "cast(floor(l_discount * 100 + 0.5) as int) as step",
     )
 
 
 def typed_raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings before cleaning, already typed: null users and ratings, 5.5 stars, exact copies."""
-    order_key = F.col("l_orderkey")
-    step = F.col("step")
-    shifted = (
-        F.when(F.col("movieId") % 50 == 0, F.greatest(step, F.lit(8)))
-        .when(F.col("movieId") % 50 == 1, F.least(step, F.lit(2)))
-        .when(F.col("userId") % 5 == 0, F.greatest(step, F.lit(7)))
-        .when(F.col("userId") % 5 == 1, F.least(step, F.lit(3)))
-        .otherwise(step)
-    )
-    row = F.struct(
-        F.when(order_key % 307 != 0, F.col("userId")).cast("int").alias("userId"),
-        F.col("movieId").cast("int").alias("movieId"),
-        F.when(order_key % 211 != 0, (shifted + 1).cast("double") / 2).alias("ratingActual"),
-        F.col("ts").alias("timestampEpochSeconds"),
-        (order_key % 211 == 0).alias("unreadable"),
-    )
+    row = """named_struct(
+        'userId', cast(case when l_orderkey % 307 <> 0 then userId end as int),
+        'movieId', cast(movieId as int),
+        'ratingActual', case when l_orderkey % 211 <> 0 then cast(1 + case
+            when movieId % 50 = 0 then greatest(step, 8)
+            when movieId % 50 = 1 then least(step, 2)
+            when userId % 5 = 0 then greatest(step, 7)
+            when userId % 5 = 1 then least(step, 3)
+            else step end as double) / 2 end,
+        'timestampEpochSeconds', ts,
+        'unreadable', l_orderkey % 211 = 0
+    ) as row"""
     # Rows leave through a generator, so later filters see finished values: pushed below this
     # point they would repeat the expressions above many times over.
-    copies = F.when(order_key % 500 == 0, F.array(row, row)).otherwise(F.array(row))
-    return rating_facts(spark, sf_dir).select(F.inline(copies))
+    return (
+        rating_facts(spark, sf_dir)
+        .selectExpr("l_orderkey", row)
+        .selectExpr("inline(case when l_orderkey % 500 = 0 then array(row, row) else array(row) end)")
+    )
 
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ratings as the all-string rows a CSV file would hold."""
-    return typed_raw_ratings(spark, sf_dir).select(
-        F.col("userId").cast("string"),
-        F.col("movieId").cast("string"),
-        F.when(F.col("unreadable"), F.lit("bad"))
-        .otherwise(F.col("ratingActual").cast("string"))
-        .alias("rating"),
-        F.col("timestampEpochSeconds").cast("string").alias("timestamp"),
+    return typed_raw_ratings(spark, sf_dir).selectExpr(
+        "cast(userId as string) as userId",
+        "cast(movieId as string) as movieId",
+        "case when unreadable then 'bad' else cast(ratingActual as string) end as rating",
+        "cast(timestampEpochSeconds as string) as timestamp",
     )
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_ratings(
-        typed_raw_ratings(spark, sf_dir).select(
-            "userId",
-            "movieId",
-            F.col("ratingActual").alias("rating"),
-            F.col("timestampEpochSeconds").alias("timestamp"),
+        typed_raw_ratings(spark, sf_dir).selectExpr(
+            "userId", "movieId", "ratingActual as rating", "timestampEpochSeconds as timestamp"
         )
     )
 
 
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = given(spark, sf_dir, "part").filter(F.col("p_partkey") % 97 != 0)
-    listed = F.concat(F.col("p_type"), F.lit("|"), F.split_part("p_name", F.lit(" "), F.lit(2)))
-    return part.select(
-        (F.col("p_partkey") + 1).cast("int").alias("movieId"),
-        F.col("p_name").alias("title"),
-        F.when(F.col("p_size") % 17 == 0, F.lit("(no genres listed)")).otherwise(listed).alias("genres"),
+    return given(spark, sf_dir, "part").filter("p_partkey % 97 <> 0").selectExpr(
+        "cast(p_partkey + 1 as int) as movieId",
+        "p_name as title",
+        "case when p_size % 17 = 0 then '(no genres listed)' "
+        "else concat(p_type, '|', split_part(p_name, ' ', 2)) end as genres",
     )
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    movie = F.when(F.col("l_suppkey") % 20 == 0, F.col("movieId") + 1000000).otherwise(F.col("movieId"))
-    return (
-        rating_facts(spark, sf_dir)
-        .filter(F.col("l_linenumber") <= 2)
-        .select(
-            F.col("userId").cast("int"),
-            movie.cast("int").alias("movieId"),
-            _pick(TAG_LABELS, F.col("l_quantity").cast("int") % 12 + 1).alias("tag"),
-            F.col("ts").alias("timestamp"),
-        )
+    return rating_facts(spark, sf_dir).filter("l_linenumber <= 2").selectExpr(
+        "cast(userId as int) as userId",
+        "cast(case when l_suppkey % 20 = 0 then movieId + 1000000 else movieId end as int) as movieId",
+        f"{_pick(TAG_LABELS, 'cast(l_quantity as int) % 12 + 1')} as tag",
+        "ts as timestamp",
     )
 
 
-INTERACTION_SCHEMA = (
-    "eventId bigint, userId int, movieId int, eventType string, rating double, tsMicros bigint"
-)
-
-
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("value")
-    kind = F.col("event_type")
-    return given(spark, sf_dir, "events").select(
-        F.col("event_id").alias("eventId"),
-        (F.col("user_id") + 1).cast("int").alias("userId"),
-        F.when(
-            F.col("event_id") % 50 != 0, F.get_json_object("props", "$.k").cast("int") + 1
-        ).alias("movieId"),
-        F.when(kind == "purchase", "RATING_GIVEN")
-        .when(kind == "view", "movie-viewed")
-        .when(kind == "signup", "ADDED_TO_WATCHLIST")
-        .when((kind == "click") & (value > 150), "SEARCHED_FOR_MOVIE")
-        .when(kind == "click", "MOVIE_CLICKED")
-        .otherwise("error")
-        .alias("eventType"),
-        F.when(kind == "purchase", (F.floor(value) % 12).cast("double") / 2).alias("rating"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("tsMicros"),
+    return given(spark, sf_dir, "events").selectExpr(
+        "event_id as eventId",
+        "cast(user_id + 1 as int) as userId",
+        "case when event_id % 50 <> 0 then cast(get_json_object(props, '$.k') as int) + 1 end as movieId",
+        "case event_type when 'purchase' then 'RATING_GIVEN' when 'view' then 'movie-viewed' "
+        "when 'signup' then 'ADDED_TO_WATCHLIST' "
+        "when 'click' then case when value > 150 then 'SEARCHED_FOR_MOVIE' else 'MOVIE_CLICKED' end "
+        "else 'error' end as eventType",
+        "case when event_type = 'purchase' then cast(floor(value) % 12 as double) / 2 end as rating",
+        "unix_micros(cast(ts as timestamp)) as tsMicros",
     )
 
 
@@ -219,13 +182,10 @@ def recs(spark: SparkSession, sf_dir: str, rated: DataFrame | None = None) -> Da
 
 def analytics_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents with one metric value each, a gap in ids and an unknown type."""
-    key = F.col("event_id")
-    return given(spark, sf_dir, "events").filter(key % 9 != 0).select(
-        F.concat(F.lit("doc_"), key.cast("string")).alias("analyticsId"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("generatedAtMicros"),
-        _pick(DOCUMENT_TYPES, (key % 14).cast("int") + 1).alias("type"),
-        F.concat(
-            F.lit("Report on "), F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string")
-        ).alias("description"),
-        F.col("value").alias("metricValue"),
+    return given(spark, sf_dir, "events").filter("event_id % 9 <> 0").selectExpr(
+        "concat('doc_', cast(event_id as string)) as analyticsId",
+        "unix_micros(cast(ts as timestamp)) as generatedAtMicros",
+        f"{_pick(DOCUMENT_TYPES, 'cast(event_id % 14 as int) + 1')} as type",
+        "concat('Report on ', event_type, ' by user ', cast(user_id as string)) as description",
+        "value as metricValue",
     )

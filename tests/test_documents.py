@@ -96,7 +96,7 @@ def test_document_keeps_the_metric_written_last(spark):
 
 def test_blank_keys_and_empty_values_are_no_metrics(spark):
     df = spark.createDataFrame([(" ", 1.0), ("k", None), ("ok", 2.0)], "name string, v double")
-    got = metric_rows(df, "C", "T", [(F.col("name"), "v")]).collect()
+    got = metric_rows(df, "C", "T", [("name", "v")]).collect()
     assert [(r.metric_key, r.value_double) for r in got] == [("ok", 2.0)]
 
 
