@@ -349,6 +349,13 @@ _PLAIN: dict[str, str] = {
             ('TAG_ANALYTICS', 'USER_ENGAGEMENT', 'user_perspective_tags', 'User perspective analytics through tags showing how users perceive and describe movies'),
             ('SYSTEM_PERFORMANCE', 'PROCESSING_PERFORMANCE', 'processing_performance', 'Batch processing performance and efficiency analytics')
         ) h(collector, type, prefix, description) on h.collector = m.collector and h.type = m.type""",
+    # Eleven keys of the last collector differ in value from run to run, but not in number.
+    "analytics_run_status": f"""
+        select collector, 'SUCCESS' as status, cast(null as varchar) as message,
+               count(distinct type) as documents,
+               count(distinct concat(type, '.', metric_key))
+                   + case when collector = 'SYSTEM_PERFORMANCE' then 11 else 0 end as metrics
+        from ({METRICS_SQL}) m group by collector""",
     "analytics_upsert": f"select {DOC_COLUMNS}, metricValue from ({LATEST_VERSIONS}) v",
     "analytics_query": " union all ".join(
         f"""select * from (select '{case}' as "case", {DOC_COLUMNS} from analytics_docs where {condition}
@@ -431,6 +438,15 @@ _PLAIN: dict[str, str] = {
                     when 1 then epoch_ms(date_trunc('second', ts))::double
                     when 2 then round(value, 6) else 0 end as value
         from events""",
+    # --- collaborative filtering
+    "train_test_split": """
+        select count(*) as rows, round(sum(ratingActual), 6) as ratingSum,
+               count(distinct (userId, movieId, timestampEpochSeconds)) as distinctRows, true as shareIsClose
+        from ratings""",
+    "als_train": """
+        select 'user' as side, count(distinct userId) as entities, count(distinct userId) as usable, 10 as rank from ratings
+        union all
+        select 'item', count(distinct movieId), count(distinct movieId), 10 from ratings""",
     # --- recommendation documents
     "recs_enriched": f"select * exclude (totalRecommendations) from ({rec_rows()}) r",
     "recs_upsert": f"""

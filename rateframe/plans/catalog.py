@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.functions.expressions import round_doubles
+from rateframe.functions.expressions import round_doubles, vector_problem
 from rateframe.operators import (
     als,
     charts,
@@ -659,18 +659,27 @@ def _trained(spark: SparkSession, d: str):
 
 @query
 def train_test_split(spark, d):
+    """Both parts together, and whether the training part has about its share of rows."""
     train, test = _split(spark, d)
-    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    return both.groupBy("part").agg(F.count("*").alias("rows"), F.sum("ratingActual").alias("ratingSum"))
+    both = train.withColumn("inTrain", F.lit(1)).unionByName(test.withColumn("inTrain", F.lit(0)))
+    off = F.abs(F.avg("inTrain") - ALS_CONFIG.train_share)
+    return both.agg(
+        F.count("*").alias("rows"),
+        F.sum("ratingActual").alias("ratingSum"),
+        F.count_distinct("userId", "movieId", "timestampEpochSeconds").alias("distinctRows"),
+        (off < 0.05).alias("shareIsClose"),
+    )
 
 
 @query
 def als_train(spark, d):
-    model, _ = _trained(spark, d)
+    """Trained on all ratings: who and what the model knows, and how long its vectors are."""
+    model = als.als_train(materialize(src.ratings(spark, d), "als-ratings"), ALS_CONFIG)
     users_of = als.user_factors_of(model).select(F.lit("user").alias("side"), "features")
     items_of = als.item_factors_of(model).select(F.lit("item").alias("side"), "features")
+    usable = F.count_if(vector_problem("features").isNull())
     return users_of.unionByName(items_of).groupBy("side").agg(
-        F.count("*").alias("entities"), F.min(F.size("features")).alias("rank")
+        F.count("*").alias("entities"), usable.alias("usable"), F.min(F.size("features")).alias("rank")
     )
 
 

@@ -210,3 +210,31 @@ def start_recommendation_stream(
         .start()
         for name, df in outputs.items()
     ]
+
+
+def start_topic_outputs(
+    events: DataFrame,
+    known_users: DataFrame,
+    neighbors: DataFrame,
+    servers: str,
+    topics: dict[str, str],
+    checkpoint: str,
+    salts: int = 8,
+) -> list[StreamingQuery]:
+    """The same two outputs to Kafka topics, ``topics["messages"]`` and ``topics["processed"]``."""
+    processed = rt_processed_events(events, known_users, salts)
+    outputs = {
+        "messages": rt_output_messages(rt_recommendations(events, known_users, neighbors, salts)).drop("eventId"),
+        "processed": processed.select(
+            F.col("userId").cast("string").alias("key"), F.to_json(F.struct(*processed.columns)).alias("value")
+        ),
+    }
+    return [
+        df.writeStream.format("kafka")
+        .outputMode("append")
+        .option("kafka.bootstrap.servers", servers)
+        .option("topic", topics[name])
+        .option("checkpointLocation", f"{checkpoint}/{name}")
+        .start()
+        for name, df in outputs.items()
+    ]
