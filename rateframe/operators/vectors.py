@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from rateframe.fixed_values import FLOAT_BYTES, VECTOR_KEY_PREFIX
 from rateframe.functions.expressions import vector_problem, weighted_score
+from rateframe.session import hold
 
 BLOCK_ROWS = 16384
 COSINE_DIGITS = 9
+# Different vector lengths one search may hold; a model has one.
+MAX_DIMENSIONS = 1000
 
 
 # --- factor tables ------------------------------------------------------------
@@ -164,6 +167,9 @@ def blocked_nearest(
     asked_sizes = _blocks(asked.groupBy(*key).agg(F.count("*").alias("n")), block_rows, "queryBlocks")
     offered_sizes = _blocks(offered.groupBy(*key).agg(F.count("*").alias("n")), block_rows, "itemBlocks")
     sizes = asked_sizes.join(offered_sizes, key)
+    if not groups:
+        # One row per vector dimension. Joined by shuffle, it would send all vectors to one task.
+        sizes = F.broadcast(hold(sizes, MAX_DIMENSIONS))
     pair = [*key, "queryBlock", "itemBlock"]
     dealt = (
         asked.join(sizes, key)
