@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,30 +24,37 @@ def register_views(data: Inputs) -> None:
             df.createOrReplaceTempView(name)
 
 
+def _run_one(
+    collector: Collector, data: Inputs, run_id: str, generated_at_micros: int
+) -> tuple[tuple, DataFrame | None]:
+    try:
+        if not collector.can_process(data):
+            return (collector.name, "SKIPPED", "Insufficient data for processing", 0, 0), None
+        docs = analytics_documents(collector.collect(data), run_id, generated_at_micros)
+        kept = materialize(docs, f"documents-{collector.name.lower()}")
+        sizes = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("metrics")), F.lit(0)).alias("m")).first()
+        return (collector.name, "SUCCESS", None, sizes.n, sizes.m), kept
+    except Exception as error:
+        log.exception("collector %s failed", collector.name)
+        return (collector.name, "FAILURE", str(error).splitlines()[0], 0, 0), None
+
+
 def run_collectors(
     data: Inputs,
     run_id: str,
     generated_at_micros: int,
     collectors: tuple[Collector, ...] = COLLECTORS,
+    at_once: int = 4,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Run each collector; one that fails or cannot run does not stop the others.
+    """Run the collectors, several at a time; one that fails or cannot run does not stop the others.
 
     Returns a status row per collector and the stored documents of those that succeeded.
     """
     spark = data.ratings.sparkSession
     register_views(data)
-    statuses, stored = [], []
-    for collector in collectors:
-        if not collector.can_process(data):
-            statuses.append((collector.name, "SKIPPED", "Insufficient data for processing", 0, 0))
-            continue
-        try:
-            docs = analytics_documents(collector.collect(data), run_id, generated_at_micros)
-            kept = materialize(docs, f"documents-{collector.name.lower()}")
-            sizes = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("metrics")), F.lit(0)).alias("m")).first()
-            stored.append(kept)
-            statuses.append((collector.name, "SUCCESS", None, sizes.n, sizes.m))
-        except Exception as error:
-            log.exception("collector %s failed", collector.name)
-            statuses.append((collector.name, "FAILURE", str(error).splitlines()[0], 0, 0))
-    return spark.createDataFrame(statuses, STATUS_SCHEMA), union_all(stored) if stored else None
+    data.prepare()
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(lambda c: _run_one(c, data, run_id, generated_at_micros), collectors))
+    stored = [docs for _, docs in done if docs is not None]
+    statuses = spark.createDataFrame([status for status, _ in done], STATUS_SCHEMA)
+    return statuses, union_all(stored) if stored else None

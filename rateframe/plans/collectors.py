@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
@@ -15,6 +16,8 @@ from rateframe.operators import content, distribution, facts, platform, quality,
 from rateframe.operators.metrics import constant_metrics, metric_rows, plain_entries
 from rateframe.session import hold, materialize
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True, eq=False)
 class Inputs:
@@ -105,6 +108,23 @@ class Inputs:
     def top(self) -> DataFrame:
         return self._row(content.top_movies(self.popularity), rows=10)
 
+    def prepare(self) -> None:
+        """Compute the base tables once, before several collectors ask for them at the same time.
+
+        A base that cannot be computed fails again, and is reported, in the collectors that need it.
+        """
+        if not self.stored:
+            return
+        wanted = ["seen", "histogram", "pairs", "profile", "users_seen", "segments", "movie_facts",
+                  "movies_seen", "recent", "cube", "top"]
+        wanted += ["genres"] if self.movies is not None else []
+        wanted += ["tag_counts"] if self.tags is not None else []
+        for name in wanted:
+            try:
+                getattr(self, name)
+            except Exception:
+                log.exception("base table %s failed", name)
+
     def store(self) -> "Inputs":
         """Read the sources once, keep them as tables, and keep every base table as well."""
         return replace(
