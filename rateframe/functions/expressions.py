@@ -102,12 +102,9 @@ def event_type_name(raw: str | Column) -> Column:
 
 
 def event_weight(type_name: str | Column) -> Column:
-    name = col(type_name)
-    out = None
-    for event_type, weight in EVENT_WEIGHTS.items():
-        test = name == event_type
-        out = F.when(test, F.lit(weight)) if out is None else out.when(test, F.lit(weight))
-    return out.otherwise(F.lit(0.0))
+    """A lookup in a constant map, so a filter on the weight evaluates the name only once."""
+    weights = F.create_map(*[F.lit(x) for pair in EVENT_WEIGHTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(weights, col(type_name)), F.lit(0.0))
 
 
 def rec_budget(weight: str | Column) -> Column:
