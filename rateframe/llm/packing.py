@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rateframe.llm.encoding import encoder
-from rateframe.llm.textops import text_slices
+from rateframe.llm.textops import map_batches, text_slices
 from rateframe.session import materialize
 
 PIECE_BYTES = 8 << 20
@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", id_co
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"), F.spark_partition_id().alias("block"))
-    return rows.mapInArrow(encode, f"doc_id {kind}, block int, before long, n long, ids binary")
+    return map_batches(rows, encode, f"doc_id {kind}, block int, before long, n long, ids binary")
 
 
 def _cut(window: int):
@@ -90,7 +90,8 @@ def pack(
     bases = totals.select("block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     placed = written.join(bases, "block").select("doc_id", "n", "ids", (F.col("base") + F.col("before")).alias("first"))
     kind = written.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(
+    return map_batches(
+        placed,
         _cut(window),
         f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
         "cut_before boolean, cut_after boolean",

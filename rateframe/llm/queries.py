@@ -7,18 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import packing, token_counts
+from rateframe.llm import minhash, packing, token_counts
 from rateframe.llm.encoding import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX_TOKENS = 2048
 END_ID = 1
+SIMILAR_PERCENT = 75
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR_PERCENT)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents in sequences of production length, with a checksum in place of the ids."""
     pieces = packing.pack(docs, vocabulary_path(), END_ID, MAX_TOKENS)
@@ -37,6 +42,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op7_concatenate_and_cut": op7_concatenate_and_cut,
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }

@@ -6,13 +6,16 @@ are lower-cased first. Hashes have 64 bits and are the same in every process and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SLICE_BYTES = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -38,7 +41,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     """Parts of a batch with about ``limit`` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     part = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype("int64")) // limit
     cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
     for first, last in zip(cuts, cuts[1:]):
@@ -47,7 +50,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offset at which each begins; null counts as empty."""
-    texts = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], dtype="int64")[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype="uint8") if data is not None else np.zeros(0, dtype="uint8")
@@ -110,6 +113,15 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package where the driver has it, if nothing installed it there."""
+    paths = df.sparkSession.sparkContext.environment
+    known = paths.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_HOME not in known:
+        paths["PYTHONPATH"] = os.pathsep.join([p for p in known if p] + [PACKAGE_HOME])
+    return df.mapInArrow(function, schema)
+
+
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

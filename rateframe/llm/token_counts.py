@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateframe.llm.encoding import encoder
-from rateframe.llm.textops import text_slices
+from rateframe.llm.textops import map_batches, text_slices
 
 
 def count_tokens(
@@ -34,7 +35,7 @@ def count_tokens(
         for batch in batches:
             for part in text_slices(batch, "t"):
                 tokens = units.counts(part.column("t"))
-                length = pa.compute.fill_null(pa.compute.binary_length(part.column("t")), 0).cast(pa.int64())
+                length = pc.fill_null(pc.binary_length(part.column("t")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), length, pa.array(tokens, pa.int64()), pa.array(tokens > max_tokens)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -42,7 +43,7 @@ def count_tokens(
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(rows, count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def prefix_counts(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -65,7 +66,7 @@ def prefix_counts(docs: DataFrame, path: str, text: str = "text", id_column: str
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(count, f"doc_id {kind}, ends array<long>, counts array<long>")
+    return map_batches(rows, count, f"doc_id {kind}, ends array<long>, counts array<long>")
 
 
 def longest_prefix(budget: int, ends: str = "ends", counts: str = "counts") -> Column:
