@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import minhash, packing, token_counts
+from rateframe.llm import decontamination, minhash, packing, token_counts
 from rateframe.llm.encoding import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, benchmark, threshold=SIMILAR_PERCENT / 100)
+
+
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), MAX_TOKENS)
 
@@ -44,6 +49,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op7_concatenate_and_cut": op7_concatenate_and_cut,
+    "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }
 STATEMENTS: dict[str, str] = {}
