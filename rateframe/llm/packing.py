@@ -88,6 +88,7 @@ def pack(
     totals = written.groupBy("block").agg(F.sum("n").alias("total"))
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     bases = totals.select("block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    bases = materialize(bases, "packing-bases")  # so small a file that the join needs no shuffle of the tokens
     placed = written.join(bases, "block").select("doc_id", "n", "ids", (F.col("base") + F.col("before")).alias("first"))
     kind = written.schema["doc_id"].dataType.simpleString()
     return map_batches(
