@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, minhash, packing, token_counts
+from rateframe.llm import decontamination, minhash, packing, token_counts, toxicity
 from rateframe.llm.encoding import vocabulary_path
+from rateframe.llm.textops import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX_TOKENS = 2048
@@ -24,6 +25,20 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR_PERCENT)
 
 
+def toxic_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity of documents by a model that learns from all labelled ones among them but the held-out fifth."""
+    labels = table(docs.sparkSession, sf_dir, "labels")
+    model = toxicity.train(docs, labels, trainable=lambda doc_id: remainder(doc_id, 5) != 0)
+    return toxicity.toxicity(docs, model)
+
+
+def op6_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic_scores(table(spark, sf_dir, "documents"), sf_dir)
+    return scored.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents in sequences of production length, with a checksum in place of the ids."""
     pieces = packing.pack(docs, vocabulary_path(), END_ID, MAX_TOKENS)
@@ -48,6 +63,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
+    "op6_subsequence_kernel_toxicity": op6_subsequence_kernel_toxicity,
     "op7_concatenate_and_cut": op7_concatenate_and_cut,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_prefix_token_counts": op10_prefix_token_counts,
