@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, minhash, packing, token_counts, toxicity
+from rateframe.llm import decontamination, minhash, packing, pii, token_counts, toxicity
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
@@ -25,6 +25,15 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR_PERCENT)
 
 
+def op5_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
 def toxic_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity of documents by a model that learns from all labelled ones among them but the held-out fifth."""
     labels = table(docs.sparkSession, sf_dir, "labels")
@@ -63,6 +72,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
+    "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
     "op6_subsequence_kernel_toxicity": op6_subsequence_kernel_toxicity,
     "op7_concatenate_and_cut": op7_concatenate_and_cut,
     "op9_simhash_decontamination": op9_simhash_decontamination,
