@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, minhash, packing, pii, token_counts, toxicity
+from rateframe.llm import decontamination, interpolation, minhash, packing, pii, token_counts, toxicity
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
@@ -25,6 +25,12 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR_PERCENT)
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = interpolation.scores(table(spark, sf_dir, "documents"), train=remainder("doc_id", 7) != 2)
+    held_out = (remainder("doc_id", 7) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
@@ -72,6 +78,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
     "op6_subsequence_kernel_toxicity": op6_subsequence_kernel_toxicity,
     "op7_concatenate_and_cut": op7_concatenate_and_cut,
