@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, interpolation, minhash, packing, pii, token_counts, toxicity
+from rateframe.llm import decontamination, interpolation, language, minhash, packing, pii, token_counts, toxicity
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
@@ -67,6 +67,13 @@ def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op8_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, trainable=remainder("doc_id", 4) != 2)
+    found = language.languages(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.contaminated(docs, benchmark, threshold=SIMILAR_PERCENT / 100)
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
     "op6_subsequence_kernel_toxicity": op6_subsequence_kernel_toxicity,
     "op7_concatenate_and_cut": op7_concatenate_and_cut,
+    "op8_hierarchical_language": op8_hierarchical_language,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }
