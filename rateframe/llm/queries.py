@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, interpolation, language, minhash, packing, pii, token_counts, toxicity
+from rateframe.llm import decontamination, interpolation, language, minhash, packing, pii, token_counts, toxicity, va_search
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
@@ -25,6 +25,10 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR_PERCENT)
 
 
+def op3_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = interpolation.scores(table(spark, sf_dir, "documents"), train=remainder("doc_id", 7) != 2)
     held_out = (remainder("doc_id", 7) == 2).alias("held_out")
@@ -85,6 +89,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
+    "op3_vector_approximation": op3_vector_approximation,
     "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
     "op6_subsequence_kernel_toxicity": op6_subsequence_kernel_toxicity,
@@ -93,4 +98,20 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {
+    "op3_vector_approximation": """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id != c.vec_id
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}
