@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, interpolation, language, minhash, packing, pii, token_counts, toxicity, va_search
+from rateframe.llm import decontamination, interpolation, language, minhash, packing, pii, sharding, token_counts, toxicity, va_search
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX_TOKENS = 2048
 END_ID = 1
+SHARD_BYTES = 1 << 20
 SIMILAR_PERCENT = 75
 
 
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"))
+    return sharding.shards(docs, ["doc_id"], F.col("text_bytes"), SHARD_BYTES).select("doc_id", "bytes", "shard", "depth", "page")
+
+
 def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR_PERCENT)
 
@@ -88,6 +94,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_extendible_sharding": op1_extendible_sharding,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_vector_approximation": op3_vector_approximation,
     "op4_deleted_interpolation": op4_deleted_interpolation,
@@ -99,6 +106,22 @@ QUERIES: dict[str, Query] = {
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }
 STATEMENTS: dict[str, str] = {
+    "op1_extendible_sharding": f"""
+WITH hashed AS (
+    SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes,
+        CAST('0x' || substr(md5(coalesce('=' || CAST(doc_id AS VARCHAR), '-')), 1, 15) AS BIGINT) AS h
+    FROM documents
+), levels AS (
+    SELECT doc_id, bytes, h, depth, h >> (60 - depth) AS prefix FROM hashed, (SELECT unnest(range(0, 61)) AS depth)
+), sums AS (
+    SELECT depth, prefix FROM levels GROUP BY depth, prefix HAVING sum(bytes) <= {SHARD_BYTES} OR min(h) = max(h)
+), leaves AS (
+    SELECT doc_id, bytes, h, min(levels.depth) AS depth FROM levels JOIN sums USING (depth, prefix) GROUP BY doc_id, bytes, h
+)
+SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), CAST(depth AS INTEGER), '0') END AS shard,
+    CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page
+FROM leaves
+""",
     "op3_vector_approximation": """
 WITH whole AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
