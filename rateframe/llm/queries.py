@@ -44,21 +44,22 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    counts = [F.size(F.array_remove(F.transform(base, lambda s: s["kind"]), kind)) for kind in pii.KINDS]
+    counts = [(F.size(base) - n).cast("long").alias(f"n_{kind}") for kind, n in zip(pii.KINDS, counts)]
     return found.select(
         "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
     )
 
 
-def toxic_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity of documents by a model that learns from all labelled ones among them but the held-out fifth."""
+def toxicity_model(docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """A model that learns from labelled documents among ``docs``, but none of the held-out fifth."""
     labels = table(docs.sparkSession, sf_dir, "labels")
-    model = toxicity.train(docs, labels, trainable=lambda doc_id: remainder(doc_id, 5) != 0)
-    return toxicity.toxicity(docs, model)
+    return toxicity.train(docs, labels, trainable=lambda doc_id: remainder(doc_id, 5) != 0)
 
 
 def op6_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxic_scores(table(spark, sf_dir, "documents"), sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity_model(docs, sf_dir))
     return scored.select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
