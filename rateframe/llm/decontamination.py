@@ -163,6 +163,21 @@ def _search(index: ItemIndex, threshold: float):
     return search
 
 
+def _item_passes(benchmark: DataFrame, items_per_pass: int) -> Iterator[ItemIndex]:
+    """Indexes of the distinct items that have an id and a text, a bounded number in each."""
+    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+    ids: list[int] = []
+    texts: list[str] = []
+    for item in items.orderBy("item_id", "text").toLocalIterator():
+        if len(ids) == items_per_pass:
+            yield ItemIndex(ids, texts)
+            ids, texts = [], []
+        ids.append(item.item_id)
+        texts.append(item.text)
+    if ids:
+        yield ItemIndex(ids, texts)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -179,22 +194,31 @@ def contaminated(
     match each by itself. A benchmark of any size is searched in passes of ``items_per_pass`` items.
     An empty table on either side gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, first_word long, n_words long, similarity double"
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
-    found = spark.createDataFrame([], schema)
-    ids: list[int] = []
-    texts: list[str] = []
+    found = docs.sparkSession.createDataFrame([], schema)
+    for index in _item_passes(benchmark, items_per_pass):
+        found = found.union(map_batches(rows, _search(index, threshold), schema))
+    return found
 
-    def searched() -> DataFrame:
-        return map_batches(rows, _search(ItemIndex(ids, texts), threshold), schema)
 
-    for item in items.orderBy("item_id", "text").toLocalIterator():
-        if len(ids) == items_per_pass:
-            found = found.union(searched())
-            ids, texts = [], []
-        ids.append(item.item_id)
-        texts.append(item.text)
-    return found.union(searched()) if ids else found
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, text: str = "text", items_per_pass: int = ITEMS_PER_PASS
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark item by the rules of
+    ``contaminated``, each judged by its own text."""
+
+    def keep(index: ItemIndex):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_slices(batch, text):
+                    words = Words(part.column(text))
+                    kept = [next(index.matches(words.hash[a:b], threshold), None) is None for a, b in zip(words.first, words.first[1:])]
+                    yield part.filter(pa.array(kept, pa.bool_()))
+
+        return clean
+
+    for index in _item_passes(benchmark, items_per_pass):
+        docs = map_batches(docs, keep(index), docs.schema)
+    return docs

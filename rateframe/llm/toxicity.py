@@ -343,31 +343,40 @@ def _split(low: np.ndarray, high: np.ndarray) -> float:
 
 # --- documents ------------------------------------------------------------------
 
+class Scorer:
+    """Probabilities of text columns. Values of words seen before are remembered, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[int, float] = {}
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        model, words = self.model, Words(column)
+        hashes, example, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        missing = [i for i, k in enumerate(keys) if k not in self.known]
+        if len(self.known) + len(missing) > REMEMBERED_UNITS:
+            self.known, missing = {}, list(range(len(keys)))
+        units = [unit_of(words.word(example[i])) for i in missing]
+        values = np.full(len(units), model.constant)
+        filled = [i for i, u in enumerate(units) if u]
+        if model.alphabet:
+            values[filled] = model.units([units[i] for i in filled])
+        self.known.update(zip((keys[i] for i in missing), values.tolist()))
+        worst = np.full(len(column), model.constant)
+        np.maximum.at(worst, words.row, np.array([self.known[k] for k in keys])[which] if keys else np.zeros(0))
+        if model.alphabet:
+            for row, unit in _spelled(words):
+                worst[row] = max(worst[row], model.units([unit])[0])
+        return model.probability(worst)
+
+
 def _score(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, float] = {}
+        scorer = Scorer(model)
         for batch in batches:
             for part in text_slices(batch, "t"):
-                words = Words(part.column("t"))
-                hashes, example, which = np.unique(words.hash, return_index=True, return_inverse=True)
-                keys = hashes.tolist()
-                missing = [i for i, k in enumerate(keys) if k not in known]
-                if len(known) + len(missing) > REMEMBERED_UNITS:
-                    known, missing = {}, list(range(len(keys)))
-                units = [unit_of(words.word(example[i])) for i in missing]
-                values = np.full(len(units), model.constant)
-                filled = [i for i, u in enumerate(units) if u]
-                values[filled] = model.units([units[i] for i in filled]) if model.alphabet else -1.0
-                known.update(zip((keys[i] for i in missing), values.tolist()))
-                worst = np.full(part.num_rows, model.constant)
-                per_word = np.array([known[k] for k in keys])[which] if keys else np.zeros(0)
-                np.maximum.at(worst, words.row, per_word)
-                for row, unit in _spelled(words):
-                    if model.alphabet:
-                        worst[row] = max(worst[row], model.units([unit])[0])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(model.probability(worst))], ["doc_id", "score"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scorer(part.column("t")))], ["doc_id", "score"])
 
     return score
 
@@ -413,3 +422,15 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", id_column: str =
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"))
     return map_batches(rows, _score(model), f"doc_id {kind}, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below 0.5, each judged by its own text."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for part in text_slices(batch, text):
+                yield part.filter(pa.array(scorer(part.column(text)) < 0.5))
+
+    return map_batches(docs, keep, docs.schema)
