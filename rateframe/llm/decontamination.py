@@ -104,6 +104,12 @@ class ItemIndex:
             for length in self.lengths_of[at[position]]:
                 low = position - max(0, length - SHINGLE_WORDS)
                 starts.setdefault(length, []).append(np.arange(low, position + 1))
+        for length in self.groups:
+            if length < min(n, SHINGLE_WORDS):  # the whole window is its only shingle
+                runs = shingle_hashes(hashes, length)
+                at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
+                if len(begin := np.nonzero(self.known[at] == runs)[0]):
+                    starts.setdefault(length, []).append(begin)
         best: dict[int, tuple[float, int, int]] = {}
         for length, ranges in starts.items():
             width = min(length, n)
@@ -118,7 +124,7 @@ class ItemIndex:
 
     def _matched(self, length, width, begin, hashes, shingles, threshold) -> Iterator[tuple[int, int, float]]:
         run = max(1, width - SHINGLE_WORDS + 1)
-        if width < SHINGLE_WORDS <= len(hashes):  # short windows of a longer text have one shingle, the whole window
+        if width < min(len(hashes), SHINGLE_WORDS):
             rows = np.stack([shingle_hashes(hashes[b : b + width], SHINGLE_WORDS) for b in begin])
             sums = _signs(rows[:, 0])
         else:
