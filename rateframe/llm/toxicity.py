@@ -37,6 +37,7 @@ ROUNDS = 3
 ONE_SIDED = 12.0
 RIDGE = 1e-2
 STEEPNESS = 6.0
+FLOOR = 5.0  # how far below the threshold a text without any unit is
 LONGEST_UNIT = 16
 SAMPLED = {0: 2000, 1: 1000}  # labelled documents that a model is fitted on, at most
 REMEMBERED_UNITS = 1 << 20
@@ -358,12 +359,12 @@ class Scorer:
         if len(self.known) + len(missing) > REMEMBERED_UNITS:
             self.known, missing = {}, list(range(len(keys)))
         units = [unit_of(words.word(example[i])) for i in missing]
-        values = np.full(len(units), model.constant)
+        values = np.full(len(units), model.threshold - FLOOR)
         filled = [i for i, u in enumerate(units) if u]
         if model.alphabet:
             values[filled] = model.units([units[i] for i in filled])
         self.known.update(zip((keys[i] for i in missing), values.tolist()))
-        worst = np.full(len(column), model.constant)
+        worst = np.full(len(column), model.threshold - FLOOR)
         np.maximum.at(worst, words.row, np.array([self.known[k] for k in keys])[which] if keys else np.zeros(0))
         if model.alphabet:
             for row, unit in _spelled(words):
