@@ -37,6 +37,7 @@ ROUNDS = 3
 ONE_SIDED = 12.0
 RIDGE = 1e-2
 STEEPNESS = 6.0
+ABOVE_UNKNOWN = 0.25
 FLOOR = 5.0  # how far below the threshold a text without any unit is
 LONGEST_UNIT = 16
 SAMPLED = {0: 2000, 1: 1000}  # labelled documents that a model is fitted on, at most
@@ -282,7 +283,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         hard = sorted(among, key=lambda u: (-score[u], u))[: CLEAN_UNITS // 6]
         negative = list(dict.fromkeys([*negative, *hard]))
     top = lambda docs: np.array([max(score[u] for u in bags[i]) for i in docs])
-    model.threshold = _split(top(clean), top(toxic))
+    # A unit unlike all landmarks has the constant as its value, and is no insult.
+    model.threshold = max(_split(top(clean), top(toxic)), model.constant + ABOVE_UNKNOWN)
     return model
 
 
