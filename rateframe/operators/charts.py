@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rateframe.fixed_values import CHART_YEARS, MONTH_LABELS, WEEKDAY_LABELS
 from rateframe.functions.expressions import numeric_value, percent
+from rateframe.operators.documents import written_last
 
 
 def _of(metrics: DataFrame, collector: str, doc_type: str) -> DataFrame:
@@ -25,11 +26,13 @@ def _wide(metrics: DataFrame, pattern: str, fields: list[str]) -> DataFrame:
             F.regexp_extract("metric_key", pattern, 1).alias("name"),
             F.regexp_extract("metric_key", pattern, 2).alias("field"),
             value.alias("value"),
+            "seq",
+            "label",
         )
         .filter(F.col("name") != "")
         .groupBy("name")
         .pivot("field", fields)
-        .agg(F.first("value"))
+        .agg(F.max_by("value", written_last()))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rateframe.fixed_values import NO_GENRE
 from rateframe.functions.expressions import count_where, raw_genre_terms
 from rateframe.operators.facts import folded, mean, sample_stddev
+from rateframe.operators.ingest import one_row_per_movie
 
 
 def movie_facts(pairs: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def performance_overview(performance: DataFrame) -> DataFrame:
 
 def movie_popularity(performance: DataFrame, movies: DataFrame) -> DataFrame:
     """One row per rated movie with its metadata; ratings are folded before the join."""
-    return performance.join(movies.select("movieId", "title", "genres"), "movieId", "left").select(
+    return performance.join(one_row_per_movie(movies), "movieId", "left").select(
         "movieId",
         "title",
         "genres",

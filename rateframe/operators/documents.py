@@ -32,6 +32,11 @@ def analytics_type_catalog(spark: SparkSession) -> DataFrame:
 
 # --- building -----------------------------------------------------------------
 
+def written_last() -> Column:
+    """Orders metrics under one key; the highest is the one a document and a chart show."""
+    return F.struct("seq", F.coalesce("label", F.lit("")))
+
+
 def analytics_documents(metrics: DataFrame, run_id: str, generated_at_micros: int) -> DataFrame:
     """One document per (collector, type) with its metrics as a map of typed values.
 
@@ -39,10 +44,9 @@ def analytics_documents(metrics: DataFrame, run_id: str, generated_at_micros: in
     the collector has metric keys, which follows the number of genres and years, not of ratings.
     """
     spark = metrics.sparkSession
-    written_last = F.struct("seq", F.coalesce("label", F.lit("")))
     value = F.struct("value_double", "value_string", "value_bool")
     headers = spark.createDataFrame(list(DOCUMENTS), "collector string, prefix string, type string, description string")
-    kept = metrics.groupBy("collector", "type", "metric_key").agg(F.max_by(value, written_last).alias("value"))
+    kept = metrics.groupBy("collector", "type", "metric_key").agg(F.max_by(value, written_last()).alias("value"))
     maps = kept.groupBy("collector", "type").agg(
         F.map_from_entries(F.collect_list(F.struct("metric_key", "value"))).alias("metrics")
     )

@@ -12,6 +12,12 @@ from rateframe.functions.expressions import genre_list
 RAW_RATING_COLUMNS = ("userId", "movieId", "rating", "timestamp")
 
 
+def one_row_per_movie(movies: DataFrame) -> DataFrame:
+    """(movieId, title, genres); of several rows of one movie the one with the smallest title, then genres."""
+    entry = F.min(F.struct(F.col("title").isNull(), "title", F.col("genres").isNull(), "genres")).alias("entry")
+    return movies.groupBy("movieId").agg(entry).select("movieId", "entry.title", "entry.genres")
+
+
 def conform_columns(df: DataFrame, expected: tuple[str, ...] = RAW_RATING_COLUMNS) -> DataFrame:
     """Pick the expected columns, matched by trimmed, case-insensitive name.
 

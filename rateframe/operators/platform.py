@@ -56,15 +56,16 @@ def user_skew(profile: DataFrame) -> DataFrame:
 
 
 def partition_profile(df: DataFrame) -> DataFrame:
-    """Rows per non-empty partition, folded to one row without moving any data."""
+    """Rows per partition, empty ones included, folded to one row without moving any data."""
+    partitions = F.lit(df.rdd.getNumPartitions()).cast("bigint")
     mean = F.col("totalRecords") / F.col("partitionCount")
     return (
         df.groupBy(F.spark_partition_id().alias("partition"))
         .agg(F.count("*").alias("n"))
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("totalRecords"),
-            F.count("*").alias("partitionCount"),
-            F.min("n").alias("minRecordsPerPartition"),
+            partitions.alias("partitionCount"),
+            F.when(F.count("*") < partitions, 0).otherwise(F.min("n")).alias("minRecordsPerPartition"),
             F.max("n").alias("maxRecordsPerPartition"),
         )
         .select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rateframe.functions.expressions import genre_list
 from rateframe.operators.documents import keep_latest, upsert_counts
+from rateframe.operators.ingest import one_row_per_movie
 
 MAX_TOP_N = 10
 MAX_BATCH = 100
@@ -47,7 +48,7 @@ def recs_enriched(
     if movies is None:
         titled = rows.select("*", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("genres"))
     else:
-        titled = rows.join(movies.select("movieId", "title", "genres"), "movieId", "left")
+        titled = rows.join(one_row_per_movie(movies), "movieId", "left")
     genres = F.when(F.col("title").isNotNull(), genre_list("genres"))
     entry = F.struct(
         "movieId", "rating", "title", genres.alias("genres"), F.lit(generated_at).cast("bigint").alias("generatedAt")

@@ -8,9 +8,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rateframe.operators.documents import analytics_documents
+from rateframe.operators.documents import analytics_documents, analytics_upsert
 from rateframe.plans.collectors import COLLECTORS, Collector, Inputs, union_all
 from rateframe.session import materialize
+from rateframe.sources.files import upsert_table
 
 log = logging.getLogger(__name__)
 
@@ -29,7 +30,7 @@ def _run_one(
 ) -> tuple[tuple, DataFrame | None]:
     try:
         if not collector.can_process(data):
-            return (collector.name, "SKIPPED", "Insufficient data for processing", 0, 0), None
+            return (collector.name, "SKIPPED", "not enough input", 0, 0), None
         docs = analytics_documents(collector.collect(data), run_id, generated_at_micros)
         kept = materialize(docs, f"documents-{collector.name.lower()}")
         sizes = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("metrics")), F.lit(0)).alias("m")).first()
@@ -58,3 +59,8 @@ def run_collectors(
     stored = [docs for _, docs in done if docs is not None]
     statuses = spark.createDataFrame([status for status, _ in done], STATUS_SCHEMA)
     return statuses, union_all(stored) if stored else None
+
+
+def store_documents(documents: DataFrame, path: str) -> None:
+    """Documents into the table at ``path``; one with an id that is stored already replaces it."""
+    upsert_table(documents, path, analytics_upsert)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from rateframe.operators import als, serving, vectors
 from rateframe.session import materialize
+from rateframe.sources.files import upsert_table
 
 
 def run_training(
@@ -19,6 +20,7 @@ def run_training(
 ) -> dict[str, object]:
     """Train on clean ratings and write ``path``/model, /factors and /recommendations.
 
+    A user's new recommendations replace the stored ones; users the model does not know keep theirs.
     Everything large goes from executors to files; only the error measure returns to the driver.
     """
     train, test = als.train_test_split(materialize(ratings, "training-ratings"), config)
@@ -28,7 +30,6 @@ def run_training(
     vectors.factor_table(
         als.user_factors_of(model), als.item_factors_of(model), generated_at_micros, model_version
     ).write.mode("overwrite").parquet(f"{path}/factors")
-    serving.recs_enriched(
-        als.als_recommend_all(model, top), movies, generated_at_micros, model_version
-    ).write.mode("overwrite").parquet(f"{path}/recommendations")
+    incoming = serving.recs_enriched(als.als_recommend_all(model, top), movies, generated_at_micros, model_version)
+    upsert_table(incoming, f"{path}/recommendations", serving.recs_upsert)
     return {"rmse": rmse, "model_version": model_version, "path": path}

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from rateframe.operators.ingest import (
     clean_ratings,
+    conform_columns,
     parse_prediction_pairs,
     require_rows,
     typed_movies,
     typed_tags,
 )
+from rateframe.session import materialize
 
 RATINGS_SCHEMA = "userId string, movieId string, rating string, timestamp string"
 MOVIES_SCHEMA = "movieId string, title string, genres string"
@@ -19,17 +24,35 @@ TAGS_SCHEMA = "userId string, movieId string, tag string, timestamp string"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; rows that do not fit the schema are left out, empty cells are null."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", "UTF-8")
-        .option("mode", "DROPMALFORMED")
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .option("escape", '"')
-        .csv(path)
-    )
+    """CSV with a header, whose names decide which column is which, in any order and letter case.
+
+    Rows that do not fit the header are left out, empty cells are null. Without one of the expected columns
+    there are no rows.
+    """
+    expected = tuple(field.split()[0] for field in schema.split(", "))
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+    header = reader.option("inferSchema", False).csv(path).columns
+    in_file = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    reader = reader.schema(in_file if header else schema)
+    rows = reader.option("mode", "DROPMALFORMED").option("nullValue", "").option("emptyValue", "").csv(path)
+    return conform_columns(rows, expected) if header else rows
+
+
+def upsert_table(incoming: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Parquet at ``path`` after ``merge(stored, incoming)``; just ``incoming`` where nothing is stored.
+
+    The merged rows are written beside the table first, so a failed merge leaves the table as it was.
+    """
+    spark = incoming.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = incoming
+    else:
+        merged = materialize(merge(stored, incoming), "upsert")
+    merged.write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

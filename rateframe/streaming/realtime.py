@@ -18,6 +18,7 @@ from rateframe.functions.expressions import (
     score_multiplier,
     weighted_score,
 )
+from rateframe.session import materialize
 
 EVENT_SCHEMA = (
     "eventId bigint, userId int, movieId int, eventType string, rating double, tsMicros bigint"
@@ -158,6 +159,13 @@ def rt_recs_for_user(messages: DataFrame, user_id: int) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------------
 
+def checked_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events that pass validation, with a time, and the others with their reason."""
+    checked = event_validate(events, F.unix_micros(F.current_timestamp()))
+    accepted = checked.filter("accepted").select(*events.columns)
+    return accepted, checked.filter("NOT accepted").select(*events.columns, "reason")
+
+
 def read_event_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if files_per_trigger:
@@ -195,12 +203,23 @@ def start_recommendation_stream(
     checkpoint: str,
     salts: int = 8,
     trigger: dict | None = None,
+    validate: bool = False,
 ) -> list[StreamingQuery]:
-    """Two append-only outputs, messages and processed events, each with its own checkpoint."""
+    """Append-only outputs, each with its own checkpoint: messages and processed events. With ``validate`` only
+    accepted events are looked up, and the rejected ones are an output with their reason.
+
+    The neighbour lists are read from a stored copy, so that no micro-batch computes them again.
+    """
+    rejected = None
+    if validate:
+        events, rejected = checked_events(events)
+    neighbors = materialize(neighbors, "neighbors")
     outputs = {
         "messages": rt_output_messages(rt_recommendations(events, known_users, neighbors, salts)),
         "processed": rt_processed_events(events, known_users, salts),
     }
+    if rejected is not None:
+        outputs["rejected"] = rejected
     return [
         df.writeStream.format("parquet")
         .outputMode("append")
@@ -220,8 +239,13 @@ def start_topic_outputs(
     topics: dict[str, str],
     checkpoint: str,
     salts: int = 8,
+    validate: bool = False,
 ) -> list[StreamingQuery]:
-    """The same two outputs to Kafka topics, ``topics["messages"]`` and ``topics["processed"]``."""
+    """The same outputs to Kafka topics, ``topics["messages"]``, ``topics["processed"]`` and ``topics["rejected"]``."""
+    rejected = None
+    if validate:
+        events, rejected = checked_events(events)
+    neighbors = materialize(neighbors, "neighbors")
     processed = rt_processed_events(events, known_users, salts)
     outputs = {
         "messages": rt_output_messages(rt_recommendations(events, known_users, neighbors, salts)).drop("eventId"),
@@ -229,6 +253,10 @@ def start_topic_outputs(
             F.col("userId").cast("string").alias("key"), F.to_json(F.struct(*processed.columns)).alias("value")
         ),
     }
+    if rejected is not None:
+        outputs["rejected"] = rejected.select(
+            F.col("userId").cast("string").alias("key"), F.to_json(F.struct(*rejected.columns)).alias("value")
+        )
     return [
         df.writeStream.format("kafka")
         .outputMode("append")

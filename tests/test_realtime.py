@@ -111,3 +111,16 @@ def test_stream_equals_batch(spark, data, tmp_path):
     expected = realtime.rt_processed_events(source, users)
     assert sorted(r.eventId for r in done.collect()) == sorted(r.eventId for r in expected.collect())
     neighbours.unpersist()
+
+
+def test_validated_stream_keeps_rejected_events(spark, known, lists, tmp_path):
+    rows = [(1, 7, 1, "MOVIE_VIEWED", None, 5), (2, -1, 1, "MOVIE_VIEWED", None, 5), (3, 7, 1, "RATING_GIVEN", 9.0, 5)]
+    events(spark, rows).write.parquet(str(tmp_path / "events"))
+    running = realtime.start_recommendation_stream(
+        realtime.read_event_files(spark, str(tmp_path / "events")), known, lists, str(tmp_path / "out"),
+        str(tmp_path / "checkpoints"), trigger={"availableNow": True}, validate=True,
+    )
+    for query in running:
+        assert query.awaitTermination(120) and query.exception() is None
+    kept = {n: sorted(r.eventId for r in spark.read.parquet(str(tmp_path / "out" / n)).collect()) for n in ("messages", "rejected")}
+    assert kept == {"messages": [1], "rejected": [2, 3]}
