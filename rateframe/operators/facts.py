@@ -25,6 +25,26 @@ def pair_facts(ratings: DataFrame) -> DataFrame:
     )
 
 
+def direct_facts(ratings: DataFrame, key: str, other: str, distinct: str) -> DataFrame:
+    """Ratings folded straight to one row per ``key``, and the distinct values of ``other`` as ``distinct``.
+
+    A report that does not read ``distinct`` pays for one shuffle of one row per key and task; only the
+    distinct count makes Spark fold by both columns first.
+    """
+    rating, at = F.col("ratingActual"), F.col("timestampEpochSeconds")
+    return ratings.groupBy(key).agg(
+        F.count("*").alias("rows"),
+        F.count(rating).alias("n"),
+        F.sum(rating).alias("total"),
+        F.sum(rating * rating).alias("totalSquares"),
+        F.count_distinct(other).alias(distinct),
+        F.min(rating).alias("minRating"),
+        F.max(rating).alias("maxRating"),
+        F.min(at).alias("minTimestamp"),
+        F.max(at).alias("maxTimestamp"),
+    )
+
+
 def folded() -> list[Column]:
     """Aggregates that add facts up to a coarser key."""
     return [F.sum(c).alias(c) for c in ("n", "total", "totalSquares")]

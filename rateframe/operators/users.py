@@ -10,29 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateframe.functions.expressions import count_where, ladder, percent, share
-from rateframe.operators.facts import folded, mean, sample_stddev
+from rateframe.operators.facts import direct_facts, folded, mean, sample_stddev
 
 
 def user_profile(pairs: DataFrame) -> DataFrame:
     """Count, mean, deviation, distinct movies and time span per user, out of pair facts."""
-    return (
-        pairs.groupBy("userId")
-        .agg(
+    return _profile(
+        pairs.groupBy("userId").agg(
             *folded(),
             F.count("*").alias("uniqueMovies"),
             F.min("minTimestamp").alias("minTimestamp"),
             F.max("maxTimestamp").alias("maxTimestamp"),
         )
-        .select(
-            "userId",
-            F.col("n").alias("totalRatings"),
-            mean().alias("avgRating"),
-            sample_stddev().alias("ratingStdDev"),
-            "uniqueMovies",
-            "minTimestamp",
-            "maxTimestamp",
-            (F.col("maxTimestamp") - F.col("minTimestamp")).alias("engagementSpan"),
-        )
+    )
+
+
+def user_profile_of_ratings(ratings: DataFrame) -> DataFrame:
+    """The same straight from the ratings, for reports that may not need the distinct movies."""
+    return _profile(direct_facts(ratings, "userId", "movieId", "uniqueMovies"))
+
+
+def _profile(facts: DataFrame) -> DataFrame:
+    return facts.select(
+        "userId",
+        F.col("n").alias("totalRatings"),
+        mean().alias("avgRating"),
+        sample_stddev().alias("ratingStdDev"),
+        "uniqueMovies",
+        "minTimestamp",
+        "maxTimestamp",
+        (F.col("maxTimestamp") - F.col("minTimestamp")).alias("engagementSpan"),
     )
 
 

@@ -49,6 +49,8 @@ class Inputs:
 
     @cached_property
     def profile(self) -> DataFrame:
+        if not self.stored:
+            return users.user_profile_of_ratings(self.ratings)
         return self._base(users.user_profile(self.pairs), "profile")
 
     @cached_property
@@ -61,6 +63,8 @@ class Inputs:
 
     @cached_property
     def movie_facts(self) -> DataFrame:
+        if not self.stored:
+            return facts.direct_facts(self.ratings, "movieId", "userId", "raters")
         return self._base(content.movie_facts(self.pairs), "movie-facts")
 
     @cached_property

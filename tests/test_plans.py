@@ -124,3 +124,12 @@ def test_held_rows_are_bounded(spark):
 
 def test_intermediate_tables_go_where_the_session_says(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("name", [
+    "top_users", "user_activity_summary", "activity_levels", "segmentation_score", "user_skew", "movie_popularity",
+    "movie_popularity_summary", "top_movies", "top_movie_tags", "genre_fallback", "content_performance_flags", "dq_orphan_ratings",
+])
+def test_reports_without_distinct_counts_fold_ratings_once(spark, data, no_small_tables, name):
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(QUERIES[name](spark, data)))
+    assert dealt and not any("userId" in d and "movieId" in d for d in dealt)
