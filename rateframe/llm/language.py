@@ -25,6 +25,7 @@ BINS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 SAMPLED_PER_LANGUAGE = 400  # labelled documents of each language that the machines are fitted on, at most
 MOST_LANGUAGES = 400
+RANKED_PARTS = 64
 RIDGE = 1e-2
 STEEPNESS = 3.0
 UNDETERMINED = "und"
@@ -208,12 +209,22 @@ def _identify(model: Model | None):
 
 
 def train(docs: DataFrame, trainable, sampled: int = SAMPLED_PER_LANGUAGE) -> Model | None:
-    """Machines from at most ``sampled`` documents of each language, chosen by a hash of id and text, among
-    rows with a language for which the column ``trainable`` holds."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trainable)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    chosen = usable.select("doc_id", "lang", "text", F.row_number().over(order).alias("n")).filter(F.col("n") <= sampled)
-    found = collect_bounded(chosen, sampled * MOST_LANGUAGES).sort_by([("lang", "ascending"), ("n", "ascending")])
+    """Machines from at most ``sampled`` documents of each language, chosen by a hash of the id, among rows
+    with id, text and language for which the column ``trainable`` holds. Of several texts under one id the
+    smallest counts.
+
+    Ids alone are ranked, first within parts of a language, so no task gathers a language.
+    """
+    usable = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(trainable)
+    ids = usable.select("doc_id", "lang").distinct().withColumn("place", F.xxhash64("doc_id"))
+    ids = ids.withColumn("part", F.pmod("place", F.lit(RANKED_PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("place", "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order))
+        ids = ids.filter(F.col("n") <= sampled).drop("n")
+    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = collect_bounded(texts, sampled * MOST_LANGUAGES).sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     return fit(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
 
