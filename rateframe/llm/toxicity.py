@@ -406,13 +406,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, trainable, sampled: dict
         part = ids.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", "text", "toxic")
+    return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of several texts under one id
 
 
 def train(docs: DataFrame, labels: DataFrame, trainable, sampled: dict[int, int] = SAMPLED) -> Model:
     """A model from at most ``sampled[label]`` labelled documents of each label for which ``trainable(id)`` holds."""
     sample = labelled_sample(docs, labels, trainable, sampled)
-    found = collect_bounded(sample, 8 * sum(sampled.values())).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    found = collect_bounded(sample, sum(sampled.values())).sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(found.column("text").to_pylist(), found.column("toxic").to_pylist())
 
 
