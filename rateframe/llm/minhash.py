@@ -7,7 +7,8 @@ each bin is kept; an empty bin borrows from the bin that its own fixed random or
 Equal sets are one representative from the start. Each bucket is a star: every member is paired with the
 smallest one only, so pairs grow with the members. Pairs are confirmed on the full sets. A bucket with a
 pair that is not confirmed holds several groups: its members are dealt again by that band together with
-each of the following bands, and these finer buckets become stars too.
+each of the following bands. In these finer buckets two members, others in each, are the centres, and
+only members that were not linked to the same smallest one are paired with them.
 """
 
 from __future__ import annotations
@@ -140,12 +141,31 @@ def near_duplicates(
     dealt = in_mixed.select("rep", "band", "value").union(
         in_mixed.select(F.col("centre").alias("rep"), "band", "value").distinct()
     )
-    finer = dealt.join(reps.select("rep", "bands"), "rep").select(
-        "rep", "band", "value", F.explode(F.sequence(F.lit(1), F.lit(FOLLOWING))).alias("step"), "bands"
+    linked_to = materialize(
+        first.filter("linked").groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("linked_to")), "linked-to"
     )
-    finer = finer.withColumn("other", F.expr(f"bands[(band + step) % {BANDS}]")).drop("bands")
-    stars = _stars(materialize(finer, "finer"), ["band", "value", "step", "other"], "finer-centres")
-    more = stars.select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct().join(first.select("u", "v"), ["u", "v"], "left_anti")
+    finer = (
+        dealt.join(reps.select("rep", "bands"), "rep")
+        .join(linked_to, "rep", "left")
+        .select(
+            "rep", F.coalesce("linked_to", "rep").alias("label"), "band", "value", "bands",
+            F.explode(F.sequence(F.lit(1), F.lit(FOLLOWING))).alias("step"),
+        )
+        .withColumn("other", F.expr(f"bands[(band + step) % {BANDS}]"))
+        .drop("bands")
+    )
+    finer = materialize(finer, "finer")
+    keys = ["band", "value", "step", "other"]
+    member, place = F.struct("rep", "label"), F.xxhash64("rep", "band", "step")
+    centres = finer.groupBy(*keys).agg(
+        F.array_distinct(F.array(F.min_by(member, place), F.max_by(member, place))).alias("centres"),
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    )
+    centres = centres.filter("low != high").select(*keys, F.explode("centres").alias("centre"))
+    centres = materialize(centres, "finer-centres")
+    apart = finer.join(centres, keys).filter("label != centre.label AND rep != centre.rep")
+    more = apart.select(F.greatest("rep", "centre.rep").alias("u"), F.least("rep", "centre.rep").alias("v")).distinct()
+    more = more.join(first.select("u", "v"), ["u", "v"], "left_anti")
     second = _confirmed(materialize(more, "finer-pairs"), texts, percent)
 
     links = first.union(second).filter("linked").select("u", "v")
