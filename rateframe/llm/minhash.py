@@ -151,19 +151,17 @@ def near_duplicates(
             "rep", F.coalesce("linked_to", "rep").alias("label"), "band", "value", "bands",
             F.explode(F.sequence(F.lit(1), F.lit(FOLLOWING))).alias("step"),
         )
-        .withColumn("other", F.expr(f"bands[(band + step) % {BANDS}]"))
-        .drop("bands")
+        .select("rep", "label", F.xxhash64("band", "value", "step", F.expr(f"bands[(band + step) % {BANDS}]")).alias("bucket"))
     )
     finer = materialize(finer, "finer")
-    keys = ["band", "value", "step", "other"]
-    member, place = F.struct("rep", "label"), F.xxhash64("rep", "band", "step")
-    centres = finer.groupBy(*keys).agg(
+    member, place = F.struct("rep", "label"), F.xxhash64("rep", "bucket")
+    centres = finer.groupBy("bucket").agg(
         F.array_distinct(F.array(F.min_by(member, place), F.max_by(member, place))).alias("centres"),
         F.min("label").alias("low"), F.max("label").alias("high"),
     )
-    centres = centres.filter("low != high").select(*keys, F.explode("centres").alias("centre"))
+    centres = centres.filter("low != high").select("bucket", F.explode("centres").alias("centre"))
     centres = materialize(centres, "finer-centres")
-    apart = finer.join(centres, keys).filter("label != centre.label AND rep != centre.rep")
+    apart = finer.join(centres, "bucket").filter("label != centre.label AND rep != centre.rep")
     more = apart.select(F.greatest("rep", "centre.rep").alias("u"), F.least("rep", "centre.rep").alias("v")).distinct()
     more = more.join(first.select("u", "v"), ["u", "v"], "left_anti")
     second = _confirmed(materialize(more, "finer-pairs"), texts, percent)
