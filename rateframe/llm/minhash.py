@@ -6,9 +6,9 @@ each bin is kept; an empty bin borrows from the bin that its own fixed random or
 
 Equal sets are one representative from the start. Each bucket is a star: every member is paired with the
 smallest one only, so pairs grow with the members. Pairs are confirmed on the full sets. A bucket with a
-pair that is not confirmed holds several groups: its members are dealt again by that band together with
-each of the following bands. In these finer buckets two members, others in each, are the centres, and
-only members that were not linked to the same smallest one are paired with them.
+pair that is not confirmed may hold several groups. Its members are paired once more, with the member that
+shares most buckets with others. What then is in a bucket with documents of other components is compared by
+an exact rule: sets that overlap enough share one of their rarest shingles, so those are joined.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from rateframe.session import materialize
 SHINGLE_WORDS = 5
 BANDS = 32
 ROWS = 4
-FOLLOWING = 8
 _BINS = BANDS * ROWS
 _EDGES = np.array([(k << 64) // _BINS for k in range(_BINS)], dtype="uint64")
 _ORDERS = np.random.Generator(np.random.PCG64(20)).permuted(np.tile(np.arange(_BINS), (_BINS, 1)), axis=1).T
@@ -107,6 +106,64 @@ def _stars(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     return rows.join(centres, keys).filter("rep != centre")
 
 
+def _central_pairs(dealt: DataFrame, first: DataFrame) -> DataFrame:
+    """New pairs of the members of each bucket with the one that shares most buckets with other documents.
+
+    An original shares more buckets with its copies than they do with each other.
+    """
+    linked_to = first.filter("linked").groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("linked_to"))
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"))
+    shared = dealt.join(sizes, "bucket").groupBy("rep").agg(F.sum("size").alias("shared"))
+    shared = shared.join(linked_to, "rep", "left").select("rep", F.coalesce("linked_to", "rep").alias("label"), "shared")
+    weighed = materialize(dealt.join(shared, "rep"), "weighed")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("shared", "rep", "label")).alias("centre"))
+    apart = weighed.join(materialize(centres, "central"), "bucket").filter("label != centre.label AND rep != centre.rep")
+    pairs = apart.select(F.greatest("rep", "centre.rep").alias("u"), F.least("rep", "centre.rep").alias("v")).distinct()
+    return materialize(pairs.join(first, ["u", "v"], "left_anti"), "central-pairs")
+
+
+def _open(dealt: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, label) of all members of buckets with members of different components."""
+    named = dealt.join(labels, F.col("rep") == F.col("node"), "left")
+    named = materialize(named.select("rep", "bucket", F.coalesce("component", "rep").alias("label")), "labelled")
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    return materialize(named.join(several, "bucket", "left_semi").select("rep", "label").distinct(), "open")
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """All pairs of ``members`` (rep, label) of different labels whose sets can overlap enough, but for those compared.
+
+    Shingles are ordered: first those of one label only, which no such pair shares, then from rare to frequent. ``rest``
+    is how many of a set are left from a shingle on. The first shingle that a pair shares has all that it
+    shares after it in both sets, so a pair that overlaps enough meets where ``rest`` allows for it.
+    """
+    found = texts.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
+    sets = map_batches(found, _sets, "rep long, shingles array<long>").join(members, "rep")
+    shingles = sets.select("rep", "label", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("row"), F.explode("shingles").alias("shingle"))
+    shingles = materialize(shingles, "open-shingles")
+    counts = shingles.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"))
+    counts = counts.filter("low != high").select("shingle", "times")
+    ranked = (
+        shingles.join(counts, "shingle").groupBy("rep", "label", "n", "row")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("listed"))
+        .filter(100 * F.size("listed") >= percent * F.col("n"))
+        .select("rep", "label", "n", F.size("listed").cast("long").alias("m"), F.posexplode("listed"))
+        .select("rep", "label", "n", "col.shingle", (F.col("m") - F.col("pos")).alias("rest"))
+        .filter(100 * F.col("rest") >= percent * F.col("n"))
+    )
+    ranked = materialize(ranked, "rare-shingles")
+    # Of two labels one at least is not the most frequent of the shingle.
+    labels = ranked.groupBy("shingle", "label").agg(F.count("*").alias("times")).groupBy("shingle")
+    main = labels.agg(F.max(F.struct("times", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    met = materialize(ranked.join(main, "shingle"), "met")
+    a, b = met.filter("label != main").alias("a"), met.alias("b")
+    close = F.least("a.rest", "b.rest") * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))
+    once = (F.col("b.label") == F.col("b.main")) | (F.col("a.label") < F.col("b.label"))
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.label") != F.col("b.label")) & once & close)
+    pairs = pairs.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v")).distinct()
+    return materialize(pairs.join(compared, ["u", "v"], "left_anti"), "rare-pairs")
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 75, text: str = "text", id_column: str = "doc_id"
 ) -> DataFrame:
@@ -137,36 +194,16 @@ def near_duplicates(
 
     failed = first.filter("NOT linked").select(F.col("u").alias("rep"), F.col("v").alias("centre"))
     mixed = members.join(failed, ["rep", "centre"], "left_semi").select("band", "value").distinct()
-    in_mixed = members.join(mixed, ["band", "value"], "left_semi")
-    dealt = in_mixed.select("rep", "band", "value").union(
-        in_mixed.select(F.col("centre").alias("rep"), "band", "value").distinct()
-    )
-    linked_to = materialize(
-        first.filter("linked").groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("linked_to")), "linked-to"
-    )
-    finer = (
-        dealt.join(reps.select("rep", "bands"), "rep")
-        .join(linked_to, "rep", "left")
-        .select(
-            "rep", F.coalesce("linked_to", "rep").alias("label"), "band", "value", "bands",
-            F.explode(F.sequence(F.lit(1), F.lit(FOLLOWING))).alias("step"),
-        )
-        .select("rep", "label", F.xxhash64("band", "value", "step", F.expr(f"bands[(band + step) % {BANDS}]")).alias("bucket"))
-    )
-    finer = materialize(finer, "finer")
-    member, place = F.struct("rep", "label"), F.xxhash64("rep", "bucket")
-    centres = finer.groupBy("bucket").agg(
-        F.array_distinct(F.array(F.min_by(member, place), F.max_by(member, place))).alias("centres"),
-        F.min("label").alias("low"), F.max("label").alias("high"),
-    )
-    centres = centres.filter("low != high").select("bucket", F.explode("centres").alias("centre"))
-    centres = materialize(centres, "finer-centres")
-    apart = finer.join(centres, "bucket").filter("label != centre.label AND rep != centre.rep")
-    more = apart.select(F.greatest("rep", "centre.rep").alias("u"), F.least("rep", "centre.rep").alias("v")).distinct()
-    more = more.join(first.select("u", "v"), ["u", "v"], "left_anti")
-    second = _confirmed(materialize(more, "finer-pairs"), texts, percent)
-
-    links = first.union(second).filter("linked").select("u", "v")
+    in_mixed = members.join(mixed, ["band", "value"], "left_semi").select("rep", "centre", F.xxhash64("band", "value").alias("bucket"))
+    dealt = in_mixed.select("rep", "bucket").union(in_mixed.select(F.col("centre").alias("rep"), "bucket").distinct())
+    dealt = materialize(dealt, "dealt")
+    second = _confirmed(_central_pairs(dealt, first), texts, percent)
+    compared = first.union(second)
+    links = compared.filter("linked").select("u", "v")
+    labels = materialize(components(links, "stars"), "labels")
+    third = _confirmed(_rare_pairs(_open(dealt, labels), texts, compared, percent), texts, percent)
+
+    links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(third.filter("linked").select("u", "v"))
     placed = materialize(filled.join(reps.select(*key, "rep"), key).select("doc_id", "n_shingles", "rep"), "placed")
     repeated = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
     rows_of_one_id = placed.join(repeated, "doc_id", "left_semi")

@@ -54,6 +54,30 @@ def test_components_equal_brute_force(spark):
     check(spark, rows, extra=True)
 
 
+def test_copies_that_only_meet_in_their_original(spark):
+    original = prose(5, 300, 10**6)
+    rows = [(k, changed(original, 6, k)) for k in range(1000) if k != 500] + [(500, original)]
+    sets = {i: frozenset(shingles(words(t))) for i, t in rows}
+    assert all(100 * len(sets[500] & s) >= 75 * len(sets[500] | s) for s in sets.values())
+    assert 100 * len(sets[0] & sets[1]) < 75 * len(sets[0] | sets[1])
+    assert {r.component_id for r in minhash.near_duplicates(table(spark, rows)).collect()} == {0}
+
+
+def test_rare_shingles_find_all_pairs(spark):
+    passage = prose(1, 60)
+    rows = [(k, f"{passage} {prose(100 + k, 10 + k % 40)}") for k in range(40)]
+    rows += [(100 + k, changed(rows[k % 40][1], k % 4, k)) for k in range(120)]
+    sets = {i: frozenset(shingles(words(t))) for i, t in rows}
+    expected = {(i, j) for i in sets for j in sets if i > j and i % 7 != j % 7 and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    compared = {p for p in expected if sum(p) % 5 == 0}
+    texts = table(spark, rows).toDF("id", "t")
+    members = spark.createDataFrame([(i, i % 7) for i in sets], "rep long, label long")
+    compared_rows = spark.createDataFrame([(*p, False) for p in sorted(compared)], "u long, v long, linked boolean")
+    found = {(r.u, r.v) for r in minhash._rare_pairs(members, texts, compared_rows, 75).collect()}
+    assert compared and expected - compared <= found and not found & compared
+    assert all(i % 7 != j % 7 for i, j in found)
+
+
 def test_nulls_empty_short_and_repeated_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two three"), (None, "one"), (7, prose(7, 90)),
             (7, prose(7, 90)), (8, prose(7, 90) + "  "), (9, "one two three four five six"), (9, prose(9, 80)), (10, prose(9, 80)),
