@@ -166,10 +166,11 @@ def chart_monthly(metrics: DataFrame) -> DataFrame:
     )
 
 
-def chart_yearly(metrics: DataFrame) -> DataFrame:
+def chart_yearly(metrics: DataFrame, years: tuple[int, int] | None = CHART_YEARS) -> DataFrame:
+    """Years from the first to the last of ``years``, or all."""
     return (
         _temporal(metrics, "year", ["count", "avgRating", "activeUsers"])
-        .filter(F.col("part").between(*CHART_YEARS))
+        .filter(F.col("part").between(*years) if years else F.lit(True))
         .orderBy("part")
         .withColumnRenamed("part", "year")
     )

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from rateframe.fixed_values import FLOAT_BYTES, VECTOR_KEY_PREFIX
 from rateframe.functions.expressions import vector_problem, weighted_score
-from rateframe.session import hold
+from rateframe.session import materialize
 
 BLOCK_ROWS = 16384
 COSINE_DIGITS = 9
-# Different vector lengths one search may hold; a model has one.
+# Different vector lengths up to which their table is broadcast; a model has one.
 MAX_DIMENSIONS = 1000
 
 
@@ -169,7 +169,9 @@ def blocked_nearest(
     sizes = asked_sizes.join(offered_sizes, key)
     if not groups:
         # One row per vector dimension. Joined by shuffle, it would send all vectors to one task.
-        sizes = F.broadcast(hold(sizes, MAX_DIMENSIONS))
+        sizes = materialize(sizes, "sizes")
+        if sizes.count() <= MAX_DIMENSIONS:
+            sizes = F.broadcast(sizes)
     pair = [*key, "queryBlock", "itemBlock"]
     dealt = (
         asked.join(sizes, key)

@@ -174,17 +174,35 @@ def read_event_files(spark: SparkSession, path: str, files_per_trigger: int | No
 
 
 def parse_event_messages(messages: DataFrame) -> DataFrame:
-    """Events out of JSON message values; a message that is no event is dropped."""
-    return (
-        messages.select(F.from_json(F.col("value").cast("string"), EVENT_SCHEMA).alias("event"))
-        .select("event.*")
-        .filter(F.col("userId").isNotNull() & F.col("eventType").isNotNull())
+    """Events out of JSON message values, without the messages that ``unparsable_messages`` has."""
+    parsed = messages.select(F.from_json(F.col("value").cast("string"), EVENT_SCHEMA).alias("event"))
+    return parsed.select("event.*").filter(_is_event(F.col("userId"), F.col("eventType")))
+
+
+def unparsable_messages(messages: DataFrame) -> DataFrame:
+    """Messages that are no event: what was read of them, the reason, and the message."""
+    message = F.col("value").cast("string")
+    parsed = messages.select(F.from_json(message, EVENT_SCHEMA).alias("event"), message.alias("message"))
+    return parsed.filter(~_is_event(F.col("event.userId"), F.col("event.eventType"))).select(
+        "event.*", F.lit("NO_EVENT").alias("reason"), "message"
     )
 
 
-def read_event_topic(spark: SparkSession, servers: str, topic: str, per_trigger: int = 1_000_000) -> DataFrame:
-    """Events from a Kafka topic; needs the Kafka connector on the class path."""
-    source = (
+def _is_event(user: Column, kind: Column) -> Column:
+    return user.isNotNull() & kind.isNotNull()
+
+
+def _rejected(events: DataFrame | None, messages: DataFrame | None) -> DataFrame | None:
+    """Rejected events, and those of ``messages`` that are none."""
+    if messages is None:
+        return events
+    none = unparsable_messages(messages)
+    return none if events is None else events.unionByName(none, allowMissingColumns=True)
+
+
+def read_messages(spark: SparkSession, servers: str, topic: str, per_trigger: int = 1_000_000) -> DataFrame:
+    """Messages of a Kafka topic; needs the Kafka connector on the class path."""
+    return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
@@ -192,7 +210,11 @@ def read_event_topic(spark: SparkSession, servers: str, topic: str, per_trigger:
         .option("maxOffsetsPerTrigger", per_trigger)
         .load()
     )
-    return parse_event_messages(source)
+
+
+def read_event_topic(spark: SparkSession, servers: str, topic: str, per_trigger: int = 1_000_000) -> DataFrame:
+    """Events from a Kafka topic. Pass ``read_messages`` of it to the stream as well to keep what is no event."""
+    return parse_event_messages(read_messages(spark, servers, topic, per_trigger))
 
 
 def start_recommendation_stream(
@@ -204,15 +226,18 @@ def start_recommendation_stream(
     salts: int = 8,
     trigger: dict | None = None,
     validate: bool = False,
+    messages: DataFrame | None = None,
 ) -> list[StreamingQuery]:
     """Append-only outputs, each with its own checkpoint: messages and processed events. With ``validate`` only
-    accepted events are looked up, and the rejected ones are an output with their reason.
+    accepted events are looked up, and the rejected ones are an output with their reason. Of ``messages``, from
+    which ``events`` were parsed, those that are no event join that output.
 
     The neighbour lists are read from a stored copy, so that no micro-batch computes them again.
     """
     rejected = None
     if validate:
         events, rejected = checked_events(events)
+    rejected = _rejected(rejected, messages)
     neighbors = materialize(neighbors, "neighbors")
     outputs = {
         "messages": rt_output_messages(rt_recommendations(events, known_users, neighbors, salts)),
@@ -240,11 +265,13 @@ def start_topic_outputs(
     checkpoint: str,
     salts: int = 8,
     validate: bool = False,
+    messages: DataFrame | None = None,
 ) -> list[StreamingQuery]:
     """The same outputs to Kafka topics, ``topics["messages"]``, ``topics["processed"]`` and ``topics["rejected"]``."""
     rejected = None
     if validate:
         events, rejected = checked_events(events)
+    rejected = _rejected(rejected, messages)
     neighbors = materialize(neighbors, "neighbors")
     processed = rt_processed_events(events, known_users, salts)
     outputs = {

@@ -112,6 +112,12 @@ def test_segmentation_chart_always_has_nine_cells(spark):
     ]
 
 
+def test_yearly_chart_of_other_years(spark):
+    long = metrics(spark, [(f"year_{y}_count", None, 0, 1.0) for y in (1994, 1995, 2023, 2024)], "TEMPORAL_TRENDS", "TEMPORAL_TRENDS")
+    years = lambda *a: [r.year for r in charts.chart_yearly(long, *a).collect()]
+    assert (years(), years((2023, 2030)), years(None)) == ([1995, 2023], [2023, 2024], [1994, 1995, 2023, 2024])
+
+
 def test_weekly_chart_starts_on_sunday(spark):
     long = metrics(spark, [(f"dayOfWeek_{d}_count", None, 0, float(d)) for d in (7, 1, 2)], "TEMPORAL_TRENDS", "TEMPORAL_TRENDS")
     assert [(r.day, r.ratingCount) for r in charts.chart_weekly(long).collect()] == [("Sun", 1), ("Mon", 2), ("Sat", 7)]

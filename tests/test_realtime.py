@@ -92,6 +92,23 @@ def test_event_messages_parse_and_bad_ones_drop(spark):
     assert [(r.eventId, r.userId, r.movieId, r.rating) for r in got] == [(1, 2, 3, None)]
 
 
+def test_stream_keeps_messages_that_are_no_event(spark, known, lists, tmp_path):
+    values = ['{"eventId": 1, "userId": 7, "movieId": 1, "eventType": "MOVIE_VIEWED"}', "not json", '{"eventId": 4}', None,
+              '{"eventId": 5, "userId": -1, "movieId": 1, "eventType": "MOVIE_VIEWED"}']
+    spark.createDataFrame([(v,) for v in values], "value string").write.parquet(str(tmp_path / "in"))
+    messages = spark.readStream.schema("value string").parquet(str(tmp_path / "in"))
+    running = realtime.start_recommendation_stream(
+        realtime.parse_event_messages(messages), known, lists, str(tmp_path / "out"), str(tmp_path / "checkpoints"),
+        trigger={"availableNow": True}, validate=True, messages=messages,
+    )
+    for query in running:
+        assert query.awaitTermination(120) and query.exception() is None
+    rejected = spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()
+    assert sorted((r.reason, str(r.message)) for r in rejected) == sorted(
+        [("NO_EVENT", "not json"), ("NO_EVENT", '{"eventId": 4}'), ("NO_EVENT", "None"), ("USER_NOT_POSITIVE", "None")]
+    )
+
+
 def test_stream_equals_batch(spark, data, tmp_path):
     source = src.interactions(spark, data)
     source.repartition(5).write.parquet(str(tmp_path / "events"))
