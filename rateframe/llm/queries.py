@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, interpolation, language, minhash, packing, pii, sharding, token_counts, toxicity, va_search
+from rateframe.llm import decontamination, interpolation, language, merkle, minhash, packing, pii, sharding, token_counts, toxicity, va_search
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
@@ -94,6 +94,15 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), MAX_TOKENS)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    joined_lines = merkle.leaf_digest(*fields, F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.when(remainder("doc_id", 2) == 0, joined_lines)
+    found = merkle.fold(merkle.manifest(docs, merkle.leaf_digest(*fields, F.col("text")), replacement=tampered))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
@@ -105,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_hierarchical_language": op8_hierarchical_language,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_prefix_token_counts": op10_prefix_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 STATEMENTS: dict[str, str] = {
     "op1_extendible_sharding": f"""
