@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, interpolation, language, merkle, minhash, packing, pii, sharding, token_counts, toxicity, va_search
+from rateframe.llm import decontamination, interpolation, language, merkle, minhash, packing, pii, sharding, token_counts, toxicity, va_search, whitening
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
@@ -103,6 +103,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES: dict[str, Query] = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
@@ -115,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_prefix_token_counts": op10_prefix_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_qdwh_whitening": op12_qdwh_whitening,
 }
 STATEMENTS: dict[str, str] = {
     "op1_extendible_sharding": f"""
@@ -147,5 +152,68 @@ WITH whole AS (
     FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE rows_ AS (
+    SELECT doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS id_text FROM documents
+), crcs AS (
+    SELECT *, list_reduce(
+        list_concat([4294967295], flatten(list_transform(string_split(id_text, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END
+    ) & 1 = 1 AS even
+    FROM rows_
+), fields AS (
+    SELECT doc_id, source,
+        coalesce(strlen(id_text) || ':' || id_text, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-')
+            || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+        text, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS changed
+    FROM crcs
+), leaves AS (
+    SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS other
+    FROM fields
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+    FROM leaves
+), nodes AS (
+    SELECT source, 0 AS level, place, leaf AS hash, n FROM placed
+    UNION ALL
+    SELECT source, level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), (n + 2) // 3
+    FROM nodes WHERE n > 1 GROUP BY source, level, place // 3, n
+), subroots AS (
+    SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, level AS height, count(*) OVER () AS n
+    FROM nodes WHERE n = 1
+), top AS (
+    SELECT 0 AS level, place, subroot AS hash, n FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), (n + 2) // 3
+    FROM top WHERE n > 1 GROUP BY level, place // 3, n
+), runs AS (
+    SELECT 's' || coalesce('=' || source, '-') AS tree, level, place // 3 AS run, list(hash ORDER BY place) AS hashes
+    FROM nodes WHERE n > 1 GROUP BY ALL
+    UNION ALL
+    SELECT 'top', level, place // 3, list(hash ORDER BY place) FROM top WHERE n > 1 GROUP BY ALL
+), below AS (
+    SELECT doc_id, leaf, source, 0 AS level, place, other AS hash, '' AS proof, n FROM placed
+    UNION ALL
+    SELECT doc_id, leaf, source, b.level + 1, place // 3,
+        sha256(array_to_string(list_transform(hashes, lambda x, i: CASE WHEN i - 1 = place % 3 THEN hash ELSE x END), '')),
+        proof || array_to_string(list_filter(hashes, lambda x, i: i - 1 != place % 3), ''), (n + 2) // 3
+    FROM below b JOIN runs r ON r.tree = 's' || coalesce('=' || source, '-') AND r.level = b.level AND r.run = place // 3
+    WHERE n > 1
+), above AS (
+    SELECT doc_id, leaf, subroot, 0 AS level, s.place, hash, proof, s.n
+    FROM below b JOIN subroots s ON s.source IS NOT DISTINCT FROM b.source WHERE b.n = 1
+    UNION ALL
+    SELECT doc_id, leaf, subroot, a.level + 1, place // 3,
+        sha256(array_to_string(list_transform(hashes, lambda x, i: CASE WHEN i - 1 = place % 3 THEN hash ELSE x END), '')),
+        proof || array_to_string(list_filter(hashes, lambda x, i: i - 1 != place % 3), ''), (n + 2) // 3
+    FROM above a JOIN runs r ON r.tree = 'top' AND r.level = a.level AND r.run = place // 3
+    WHERE n > 1
+)
+SELECT doc_id, leaf, subroot, (SELECT hash FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, hash AS folded_root,
+    hash = (SELECT hash FROM top WHERE n = 1) AS verified
+FROM above WHERE n = 1
 """,
 }
