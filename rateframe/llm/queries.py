@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateframe.llm import decontamination, interpolation, language, merkle, minhash, packing, pii, sharding, token_counts, toxicity, va_search, whitening
+from rateframe.llm import decontamination, interpolation, language, merkle, minhash, packing, pii, pq_search, sharding, token_counts, toxicity, va_search, whitening
 from rateframe.llm.encoding import vocabulary_path
 from rateframe.llm.textops import remainder
 
@@ -107,6 +107,10 @@ def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op13_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_search.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES: dict[str, Query] = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
@@ -120,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op10_prefix_token_counts": op10_prefix_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_qdwh_whitening": op12_qdwh_whitening,
+    "op13_product_quantisation": op13_product_quantisation,
 }
 STATEMENTS: dict[str, str] = {
     "op1_extendible_sharding": f"""
