@@ -46,10 +46,10 @@ VIEWS: dict[str, str] = {
         where userId > 0 and movieId > 0 and ratingActual between 0.5 and 5.0
           and timestampEpochSeconds is not null""",
     "movies": """
-        select cast(p_partkey + 1 as int) as movieId, p_name as title,
+        select cast(case when p_partkey % 97 = 0 then p_partkey + 1000001 else p_partkey + 1 end as int) as movieId, p_name as title,
                case when p_size % 17 = 0 then '(no genres listed)'
                     else concat(p_type, '|', split_part(p_name, ' ', 2)) end as genres
-        from part where p_partkey % 97 <> 0""",
+        from part""",
     "movie_genres": """
         select movieId, genre
         from (select movieId, unnest(string_split(genres, '|')) as genre from movies) g
@@ -61,7 +61,7 @@ VIEWS: dict[str, str] = {
                  'worst ending','twist','good but bad','sci-fi','dark','based on a book'])
                  [cast(l_quantity as int) % 12 + 1] as tag,
                cast(ts as bigint) as "timestamp"
-        from base where l_linenumber <= 2""",
+        from base""",
     "interactions": """
         select event_id as eventId, cast(user_id + 1 as int) as userId,
                case when event_id % 50 = 0 then null
@@ -77,11 +77,13 @@ VIEWS: dict[str, str] = {
                epoch_us(ts) as tsMicros
         from events""",
     "item_factors": """
-        select cast(vec_id + 1 as int) as itemId, cast(embedding as double[]) as features
-        from embeddings where vec_id % 11 <> 0""",
+        select cast(case when vec_id % 11 = 0 then vec_id + 1000001 else vec_id + 1 end as int) as itemId,
+               cast(embedding as double[]) as features
+        from embeddings""",
     "user_factors": """
-        select cast(vec_id + 1 as int) as userId, cast(embedding as double[]) as features
-        from embeddings where vec_id % 7 <> 0""",
+        select cast(case when vec_id % 7 = 0 then vec_id + 1000001 else vec_id + 1 end as int) as userId,
+               cast(embedding as double[]) as features
+        from embeddings""",
     "recs": """
         select userId, movieId, rating, rk from (
             select userId, movieId, rating,
@@ -89,14 +91,14 @@ VIEWS: dict[str, str] = {
             from (select userId, movieId, avg(ratingActual) as rating from ratings group by userId, movieId) a
         ) b where rk <= 10""",
     "analytics_docs": """
-        select concat('doc_', cast(event_id as varchar)) as analyticsId, epoch_us(ts) as generatedAtMicros,
+        select concat(case when event_id % 9 = 0 then 'other_' else 'doc_' end, cast(event_id as varchar)) as analyticsId, epoch_us(ts) as generatedAtMicros,
                (['DATA_COMPLETENESS','DATA_FRESHNESS','DATA_QUALITY','USER_ACTIVITY','USER_ENGAGEMENT',
                  'USER_SEGMENTATION','MOVIE_POPULARITY','CONTENT_PERFORMANCE','RATING_DISTRIBUTION',
                  'GENRE_DISTRIBUTION','TEMPORAL_TRENDS','PROCESSING_PERFORMANCE','USER_SATISFACTION',
                  'MYSTERY_TYPE'])[cast(event_id % 14 as int) + 1] as type,
                concat('Report on ', event_type, ' by user ', cast(user_id as varchar)) as description,
                value as metricValue
-        from events where event_id % 9 <> 0""",
+        from events""",
     "type_catalog": """
         select * from (values
             ('DATA_COMPLETENESS', 'Data Quality', 'Tracks completeness and integrity of rating data'),

@@ -48,6 +48,11 @@ def _pick(labels: tuple[str, ...], position: str) -> str:
     return f"element_at(array({listed}), {position})"
 
 
+def _moved(key: str, every: int) -> str:
+    """An id from a key; every so often one that no other table refers to."""
+    return f"cast(case when {key} % {every} = 0 then {key} + 1000001 else {key} + 1 end as int)"
+
+
 def rating_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: who (userId) dealt with what (movieId) and when (ts)."""
     line = given(spark, sf_dir, "lineitem")
@@ -110,8 +115,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, sf_dir, "part").filter("p_partkey % 97 <> 0").selectExpr(
-        "cast(p_partkey + 1 as int) as movieId",
+    """Every part is a movie; some have ids of their own, so that ratings without a movie and the other way round occur."""
+    return given(spark, sf_dir, "part").selectExpr(
+        f"{_moved('p_partkey', 97)} as movieId",
         "p_name as title",
         "case when p_size % 17 = 0 then '(no genres listed)' "
         "else concat(p_type, '|', split_part(p_name, ' ', 2)) end as genres",
@@ -119,7 +125,7 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rating_facts(spark, sf_dir).filter("l_linenumber <= 2").selectExpr(
+    return rating_facts(spark, sf_dir).selectExpr(
         "cast(userId as int) as userId",
         "cast(case when l_suppkey % 20 = 0 then movieId + 1000000 else movieId end as int) as movieId",
         f"{_pick(TAG_LABELS, 'cast(l_quantity as int) % 12 + 1')} as tag",
@@ -142,15 +148,11 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 11 != 0).select(
-        (F.col("vec_id") + 1).cast("int").alias("itemId"), F.col("embedding").alias("features")
-    )
+    return given(spark, sf_dir, "embeddings").selectExpr(f"{_moved('vec_id', 11)} as itemId", "embedding as features")
 
 
 def user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 7 != 0).select(
-        (F.col("vec_id") + 1).cast("int").alias("userId"), F.col("embedding").alias("features")
-    )
+    return given(spark, sf_dir, "embeddings").selectExpr(f"{_moved('vec_id', 7)} as userId", "embedding as features")
 
 
 def damaged_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +184,8 @@ def recs(spark: SparkSession, sf_dir: str, rated: DataFrame | None = None) -> Da
 
 def analytics_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents with one metric value each, a gap in ids and an unknown type."""
-    return given(spark, sf_dir, "events").filter("event_id % 9 <> 0").selectExpr(
-        "concat('doc_', cast(event_id as string)) as analyticsId",
+    return given(spark, sf_dir, "events").selectExpr(
+        "concat(case when event_id % 9 = 0 then 'other_' else 'doc_' end, cast(event_id as string)) as analyticsId",
         "unix_micros(cast(ts as timestamp)) as generatedAtMicros",
         f"{_pick(DOCUMENT_TYPES, 'cast(event_id % 14 as int) + 1')} as type",
         "concat('Report on ', event_type, ' by user ', cast(user_id as string)) as description",
