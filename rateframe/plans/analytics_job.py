@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rateframe.operators.documents import analytics_documents, analytics_upsert
 from rateframe.plans.collectors import COLLECTORS, Collector, Inputs, union_all
 from rateframe.session import materialize
-from rateframe.sources.files import upsert_table
+from rateframe.sources.keyed_store import KeyedStore
 
 log = logging.getLogger(__name__)
 
@@ -61,6 +61,10 @@ def run_collectors(
     return statuses, union_all(stored) if stored else None
 
 
+def document_store(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, "analyticsId")
+
+
 def store_documents(documents: DataFrame, path: str) -> None:
-    """Documents into the table at ``path``; one with an id that is stored already replaces it."""
-    upsert_table(documents, path, analytics_upsert)
+    """Documents into the store at ``path``; one with an id that is stored already replaces it."""
+    document_store(documents.sparkSession, path).upsert(documents, analytics_upsert)

@@ -32,7 +32,7 @@ from rateframe.plans import analytics_job, collectors
 from rateframe.plans.collectors import Inputs
 from rateframe.session import fresh_path, materialize, use_utc
 from rateframe.sources import derived_inputs as src
-from rateframe.sources import files
+from rateframe.sources import files, keyed_store
 from rateframe.streaming import realtime
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,10 +490,17 @@ def _document_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
     )
 
 
+def _stored(key: str, merge: keyed_store.Merge, *batches: DataFrame) -> DataFrame:
+    """What a store holds after upserts of the batches."""
+    store = keyed_store.KeyedStore(batches[0].sparkSession, fresh_path(batches[0].sparkSession, f"store-{key}"), key)
+    for batch in batches:
+        store.upsert(batch, merge)
+    return store.read()
+
+
 @query
 def analytics_upsert(spark, d):
-    earlier, later = _document_versions(spark, d)
-    return documents.analytics_upsert(earlier, later)
+    return _stored("analyticsId", documents.analytics_upsert, *_document_versions(spark, d))
 
 
 DOCUMENT_QUERIES = {
@@ -744,7 +751,7 @@ def _rec_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def recs_upsert(spark, d):
-    return _flat(serving.recs_upsert(*_rec_versions(spark, d)))
+    return _flat(_stored("userId", serving.recs_upsert, *_rec_versions(spark, d)))
 
 
 @query

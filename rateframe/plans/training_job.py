@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from rateframe.operators import als, serving, vectors
 from rateframe.session import materialize
-from rateframe.sources.files import upsert_table
+from rateframe.sources.keyed_store import KeyedStore
+
+
+def recommendation_store(spark: SparkSession, path: str) -> KeyedStore:
+    """Recommendation documents that training jobs keep in ``path``."""
+    return KeyedStore(spark, f"{path}/recommendations", "userId")
 
 
 def run_training(
@@ -31,5 +36,5 @@ def run_training(
         als.user_factors_of(model), als.item_factors_of(model), generated_at_micros, model_version
     ).write.mode("overwrite").parquet(f"{path}/factors")
     incoming = serving.recs_enriched(als.als_recommend_all(model, top), movies, generated_at_micros, model_version)
-    upsert_table(incoming, f"{path}/recommendations", serving.recs_upsert)
+    recommendation_store(ratings.sparkSession, path).upsert(incoming, serving.recs_upsert)
     return {"rmse": rmse, "model_version": model_version, "path": path}

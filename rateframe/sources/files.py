@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,7 +14,6 @@ from rateframe.operators.ingest import (
     typed_movies,
     typed_tags,
 )
-from rateframe.session import materialize
 
 RATINGS_SCHEMA = "userId string, movieId string, rating string, timestamp string"
 MOVIES_SCHEMA = "movieId string, title string, genres string"
@@ -38,23 +35,6 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return conform_columns(rows, expected) if header else rows
 
 
-def upsert_table(incoming: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Parquet at ``path`` after ``merge(stored, incoming)``; just ``incoming`` where nothing is stored.
-
-    The merged rows are written beside the table first, so a failed merge leaves the table as it was.
-    """
-    spark = incoming.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        merged = incoming
-    else:
-        merged = materialize(merge(stored, incoming), "upsert")
-    merged.write.mode("overwrite").parquet(path)
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 

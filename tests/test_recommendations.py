@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rateframe.operators import als, serving
-from rateframe.plans.training_job import run_training
+from rateframe.plans.training_job import recommendation_store, run_training
 from rateframe.sources import files
 
 CONFIG = als.AlsConfig(rank=4, max_iter=3, reg_param=0.1, seed=7, blocks=2)
@@ -70,7 +70,7 @@ def test_training_job_end_to_end(spark, rated, tmp_path):
     movies = spark.createDataFrame([(m, f"title {m}", "A|B") for m in range(1, 16)], "movieId int, title string, genres string")
     result = run_training(rated, movies, CONFIG, 1000, "v1", str(tmp_path / "run"))
     assert result["rmse"] is not None
-    docs = spark.read.parquet(str(tmp_path / "run" / "recommendations"))
+    docs = recommendation_store(spark, str(tmp_path / "run")).read()
     assert docs.count() == 30 and spark.read.parquet(str(tmp_path / "run" / "factors")).count() == 50
     for doc in docs.collect():
         ratings = [x.rating for x in doc.recommendations]
