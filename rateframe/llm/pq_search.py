@@ -39,7 +39,6 @@ LEAST_FOR_LISTS = 256
 BLOCK_ROWS = 4096
 TABLE_ROWS = 256
 MARGIN = 0.25
-INDEXED = "rep long, copies long, d int, list int, borders array<int>, codes binary, error double, unit array<double>"
 FOUND = "rep long, n long, root long"
 
 
@@ -51,6 +50,25 @@ class Codebooks:
     parts: tuple[np.ndarray, ...]
     words: tuple[np.ndarray, ...]
 
+    def stacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per subspace the dimensions (subspaces, w), d where it has fewer than others, and the codewords
+        (subspaces, words, w), zero there."""
+        width, most = max(map(len, self.parts)), max(map(len, self.words))
+        places = np.full((len(self.parts), width), self.centroids.shape[1])
+        words = np.zeros((len(self.parts), most, width))
+        for m, (p, w) in enumerate(zip(self.parts, self.words)):
+            places[m, : len(p)] = p
+            words[m, : len(w), : len(p)] = w
+        return places, words
+
+
+def _units(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    """``n`` vectors of one length, none zero, scaled to length 1 in double precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
 # --- fitting --------------------------------------------------------------------
 
@@ -85,37 +103,20 @@ def _fit(x: np.ndarray, lists: int) -> Codebooks:
     return Codebooks(centroids, parts, tuple(_kmeans(residual[:, p], CODEWORDS, 2) for p in parts))
 
 
-def codebooks(units: DataFrame, sizes: dict[int, int]) -> dict[int, Codebooks]:
+def codebooks(kinds: DataFrame, sizes: dict[int, int]) -> dict[int, Codebooks]:
     """Codebooks of the given vector lengths, from the SAMPLE_ROWS vectors of each with the smallest hash of their id."""
     books = {}
     for d, n in sizes.items():
         rows = max(CODEWORDS, min(SAMPLE_ROWS, SAMPLE_NUMBERS // d))
-        sample = units.filter(F.col("d") == d).orderBy(F.xxhash64("rep"), "rep").limit(rows).select("unit")
-        sample = collect_bounded(sample, rows)["unit"].combine_chunks()
-        x = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        sample = kinds.filter(F.col("d") == d).orderBy(F.xxhash64("rep"), "rep").limit(rows).select("v")
+        sample = collect_bounded(sample, rows)["v"]
+        x = _units(sample, len(sample))
         books[d] = _fit(x, max(1, min(MOST_LISTS, round(n**0.5), len(x) // 16)))
     return books
 
 
 # --- indexing -------------------------------------------------------------------
 
-def _unit(batches):
-    """Vectors scaled to length 1 in double precision; none for zero vectors."""
-    for batch in batches:
-        units = []
-        for vector in batch["v"].to_pylist():
-            x = np.array(vector, dtype="float64")
-            x = x / np.abs(x).max()
-            units.append(x / np.linalg.norm(x))
-        lengths = [len(u) for u in units]
-        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32"))
-        flat = pa.array(np.concatenate(units) if units else np.zeros(0))
-        yield pa.RecordBatch.from_arrays(
-            [batch["rep"], batch["copies"], pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(ends, flat)],
-            names=["rep", "copies", "d", "unit"],
-        )
-
-
 def usual_margin(d: int) -> float:
     return min(1.0, max(MARGIN, 2 / d**0.5))
 
@@ -133,7 +134,7 @@ def _encode(books: dict[int, Codebooks], margin: float | None, radius: float):
                 if book is None:  # a length of few vectors: one list, no codes
                     columns = [pa.array(np.zeros(n, "int32")), pa.array([[]] * n, pa.list_(pa.int32())), pa.array([b""] * n, pa.binary()), pa.array(np.zeros(n))]
                 else:
-                    x = part["unit"].flatten().to_numpy(zero_copy_only=False).reshape(n, d)
+                    x = _units(part["v"], n)
                     home = _nearest(x, book.centroids)
                     own = book.centroids[home]
                     squares = (book.centroids**2).sum(axis=1)
@@ -152,8 +153,8 @@ def _encode(books: dict[int, Codebooks], margin: float | None, radius: float):
                         pa.array([c.tobytes() for c in codes.astype("uint8")], pa.binary()), pa.array(error),
                     ]
                 yield pa.RecordBatch.from_arrays(
-                    [part["rep"], part["copies"], part["d"], *columns, part["unit"]],
-                    names=["rep", "copies", "d", "list", "borders", "codes", "error", "unit"],
+                    [part["rep"], part["copies"], part["d"], *columns, part["v"]],
+                    names=["rep", "copies", "d", "list", "borders", "codes", "error", "v"],
                 )
 
     return encode
@@ -161,12 +162,18 @@ def _encode(books: dict[int, Codebooks], margin: float | None, radius: float):
 
 # --- comparing blocks ---------------------------------------------------------------
 
-def _candidates(queries: np.ndarray, centroid: np.ndarray, book: Codebooks, codes: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Which queries (rows) are within ``limit`` of which codes (columns) by table lookups."""
+def _candidates(
+    queries: np.ndarray, centroid: np.ndarray, stacked: tuple[np.ndarray, np.ndarray], codes: np.ndarray, limit: np.ndarray
+) -> np.ndarray:
+    """Which queries (rows) are within ``limit`` (a squared distance) of which codes (columns) by table lookups."""
+    places, words = stacked
+    residual = np.zeros((len(queries), queries.shape[1] + 1))
+    residual[:, :-1] = queries - centroid
+    parts = residual[:, places].transpose(1, 0, 2)
+    tables = (parts**2).sum(axis=2)[:, :, None] - 2 * parts @ words.transpose(0, 2, 1) + (words**2).sum(axis=2)[:, None, :]
+    tables = tables.astype("float32")
     total = np.zeros((len(queries), len(codes)), dtype="float32")
-    residual = queries - centroid
-    for m, (part, words) in enumerate(zip(book.parts, book.words)):
-        table = ((residual[:, part][:, None, :] - words[None]) ** 2).sum(axis=2).astype("float32")
+    for m, table in enumerate(tables):
         total += table[:, codes[:, m]]
     return total <= limit[None]
 
@@ -184,9 +191,10 @@ def _compare(books: dict[int, Codebooks], least: float, radius: float):
         second = first if low == high and a == b else np.nonzero((lists == high) & (right == b))[0]
         n, root = np.zeros(len(rep), dtype="int64"), rep.copy()
         if len(first) and len(second):
-            unit = rows["unit"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), d)
+            unit = _units(rows["v"], len(rep))
             book = books.get(d)
             if book is not None:
+                stacked = book.stacked()
                 codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype="uint8").reshape(len(rep), -1)[second]
                 limit = ((radius + rows["error"].to_numpy()[second]) ** 2 * (1 + 1e-5) + 1e-5).astype("float32")
             index = {}
@@ -195,7 +203,7 @@ def _compare(books: dict[int, Codebooks], least: float, radius: float):
                 if book is None:
                     near = np.ones((len(part), len(second)), dtype=bool)
                 else:
-                    near = _candidates(unit[part], book.centroids[high], book, codes, limit)
+                    near = _candidates(unit[part], book.centroids[high], stacked, codes, limit)
                 if second is first:
                     near &= rep[part][:, None] < rep[second][None]
                 columns = np.nonzero(near.any(axis=0))[0]
@@ -242,7 +250,7 @@ def _in_blocks(indexed: DataFrame) -> DataFrame:
     lefts = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda i: F.struct(F.col("left").alias("a"), i.alias("b")))
     rights = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("a"), F.col("right").alias("b")))
     blocks = F.when(F.col("low") == F.col("high"), one).when(F.col("list") == F.col("low"), lefts).otherwise(rights)
-    return dealt.withColumn("block", F.explode(blocks)).select(*key, "block.a", "block.b", "rep", "copies", "list", "left", "right", "codes", "error", "unit")
+    return dealt.withColumn("block", F.explode(blocks)).select(*key, "block.a", "block.b", "rep", "copies", "list", "left", "right", "codes", "error", "v")
 
 
 def near_duplicates(
@@ -259,15 +267,17 @@ def near_duplicates(
     """
     finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(x))
     usable = F.col(id_column).isNotNull() & F.col(vector).isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.when(usable, F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    kind = "float" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "double"
+    v = F.when(usable, F.transform(vector, lambda x: x.cast(kind)))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"))
     reps = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     # An id with several vectors names more than one representative, so they get numbers of their own.
-    reps = materialize(reps.select((F.monotonically_increasing_id()).alias("rep"), "first", "copies", "v"), "vector-kinds")
-    units = materialize(map_batches(reps.select("rep", "copies", "v"), _unit, "rep long, copies long, d int, unit array<double>"), "units")
-    large = units.groupBy("d").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FOR_LISTS).orderBy(F.desc("n"), "d").limit(MODELS)
-    books = codebooks(units, {r.d: r.n for r in large.collect()})
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "first", "copies", F.size("v").alias("d"), "v"), "vector-kinds")
+    large = reps.groupBy("d").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FOR_LISTS).orderBy(F.desc("n"), "d").limit(MODELS)
+    books = codebooks(reps, {r.d: r.n for r in large.collect()})
     radius = float(np.sqrt(2 - 2 * cosine))
-    indexed = materialize(map_batches(units, _encode(books, margin, radius), INDEXED), "indexed-vectors")
+    schema = f"rep long, copies long, d int, list int, borders array<int>, codes binary, error double, v array<{kind}>"
+    indexed = materialize(map_batches(reps.select("rep", "copies", "d", "v"), _encode(books, margin, radius), schema), "indexed-vectors")
     found = _in_blocks(indexed).groupBy("d", "low", "high", "a", "b").applyInArrow(_compare(books, cosine, radius), FOUND)
     found = materialize(found, "vector-links")
 

@@ -101,7 +101,7 @@ def test_codes_prune_and_lose_nothing():
     error = np.linalg.norm(x - decoded, axis=1)
     radius = math.sqrt(0.2)
     members = np.nonzero(home == 3)[0]
-    near = pq_search._candidates(x, book.centroids[3], book, codes[members], ((radius + error[members]) ** 2 * (1 + 1e-5) + 1e-5).astype("float32"))
+    near = pq_search._candidates(x, book.centroids[3], book.stacked(), codes[members], ((radius + error[members]) ** 2 * (1 + 1e-5) + 1e-5).astype("float32"))
     linked = x @ x[members].T >= 0.9
     assert linked.sum() > len(members) and not (linked & ~near).any()
     assert near.mean() < 0.2
