@@ -178,9 +178,8 @@ def _with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(model) if numbers <= BROADCAST_NUMBERS else model, "d")
 
 
-def fit(vectors: DataFrame, components: int) -> DataFrame:
-    """The model (d, n, sums, axes) per vector length of a table of (x array<long>, d)."""
-    different = materialize(vectors.select("x", "d").distinct(), "different-vectors")
+def fit(different: DataFrame, components: int) -> DataFrame:
+    """The model (d, n, sums, axes) per vector length of a table of different (x array<long>, d)."""
     sums = different.select("d", F.posexplode("x").alias("i", "x")).groupBy("d", "i").agg(F.count("*").alias("n"), F.sum("x").alias("sum"))
     sums = sums.groupBy("d").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "sum"))), lambda s: s["sum"]).alias("sums"))
     sums = materialize(sums, "vector-sums")
@@ -240,8 +239,9 @@ def whiten(vectors: DataFrame, components: int = 4, scale: int = 256, id_column:
     x = whole_numbers(F.col(vector), scale)
     rows = vectors.select(F.col(id_column).alias("vec_id"), x.alias("x")).filter("x IS NOT NULL AND size(x) > 0")
     rows = materialize(rows.withColumn("d", F.size("x")), "whole-vectors")
-    model = fit(rows, components)
-    errors = materialize(_identity_error(rows.select("x", "d").distinct(), model, components), "identity-errors")
+    different = materialize(rows.select("x", "d").distinct(), "different-vectors")
+    model = fit(different, components)
+    errors = materialize(_identity_error(different, model, components), "identity-errors")
     model = materialize(model.join(errors, "d"), "axes-checked")
     result = _projected(_with_model(rows, model))
     return result.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
