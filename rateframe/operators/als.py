@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rateframe.operators import mips
 from rateframe.operators.ingest import require_rows
 from rateframe.session import shared_dir
 
@@ -22,8 +22,8 @@ class AlsConfig:
     implicit: bool = False
     seed: int = 12345
     train_share: float = 0.8
-    # More blocks spread users and items over more tasks; use about one per core at scale.
-    blocks: int = 10
+    # Blocks that users and items are dealt to; by default one per core that the session has.
+    blocks: int | None = None
     checkpoint_interval: int = 5
 
 
@@ -37,6 +37,7 @@ def als_train(train: DataFrame, config: AlsConfig) -> ALSModel:
     context = train.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(train.sparkSession))
+    blocks = config.blocks or max(context.defaultParallelism, 1)
     return ALS(
         rank=config.rank,
         maxIter=config.max_iter,
@@ -44,8 +45,8 @@ def als_train(train: DataFrame, config: AlsConfig) -> ALSModel:
         alpha=config.alpha,
         implicitPrefs=config.implicit,
         seed=config.seed,
-        numUserBlocks=config.blocks,
-        numItemBlocks=config.blocks,
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         checkpointInterval=config.checkpoint_interval,
         userCol="userId",
         itemCol="movieId",
@@ -58,12 +59,8 @@ def als_rmse(model: ALSModel, test: DataFrame) -> float | None:
     """Root mean squared error, or None when there is nothing to compare."""
     if not {"userId", "movieId", "ratingActual"} <= set(test.columns):
         return None
-    predicted = model.transform(test)
-    if predicted.isEmpty():
-        return None
-    return RegressionEvaluator(
-        metricName="rmse", labelCol="ratingActual", predictionCol="prediction"
-    ).evaluate(predicted)
+    miss = F.col("ratingActual") - F.col("prediction")
+    return model.transform(test).agg(F.sqrt(F.avg(miss * miss))).first()[0]
 
 
 def als_predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
@@ -71,16 +68,23 @@ def als_predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
     return model.transform(pairs.select("userId", "movieId"))
 
 
-def _named(recommended: DataFrame) -> DataFrame:
-    return recommended.select("userId", F.col("recommendations").cast("array<struct<movieId:int,rating:float>>"))
+def _lists(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """One array per user, best first; as long as k or the number of items."""
+    found, _ = mips.top_products(users, items, k)
+    entry = F.struct("rank", F.col("itemId").alias("movieId"), F.col("score").cast("float").alias("rating"))
+    listed = F.array_sort(F.collect_list(entry))
+    rows = found.groupBy("userId").agg(listed.alias("recommendations"))
+    return rows.select("userId", F.transform("recommendations", lambda r: F.struct(r["movieId"].alias("movieId"), r["rating"].alias("rating"))).alias("recommendations"))
 
 
 def als_recommend_all(model: ALSModel, k: int = 10) -> DataFrame:
-    return _named(model.recommendForAllUsers(k))
+    return _lists(user_factors_of(model), item_factors_of(model), k)
 
 
 def als_recommend_subset(model: ALSModel, users: DataFrame, k: int = 10) -> DataFrame:
-    return _named(model.recommendForUserSubset(users.select("userId").distinct(), k))
+    """Lists of those of ``users`` that the model knows."""
+    wanted = users.select("userId").distinct()
+    return _lists(user_factors_of(model).join(wanted, "userId", "left_semi"), item_factors_of(model), k)
 
 
 def save_model(model: ALSModel, path: str) -> None:
