@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,44 +235,3 @@ def neighbor_lists(items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> Da
         .groupBy(F.col("queryId").alias("seedId"))
         .agg(F.array_sort(F.collect_list(entry)).alias("neighbors"))
     )
-
-
-# --- approximate search -----------------------------------------------------------
-
-def item_similar_items_ann(
-    items: DataFrame,
-    k: int,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Near neighbours among items that share a hash bucket in at least one table.
-
-    The hash is MLlib's random projection. Within a bucket the search is the exact blocked one,
-    so a bucket that holds most items is split over many tasks and never emits all its pairs.
-    """
-    usable = items.filter(vector_problem("features").isNull())
-    length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = F.transform("features", lambda x: x.cast("double") / F.col("length"))
-    vectors = (
-        usable.withColumn("length", length)
-        .filter(F.col("length") > 0)
-        .select("itemId", "features", array_to_vector(unit).alias("unit"))
-    )
-    hasher = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(vectors)
-    hashed = hasher.transform(vectors).select("itemId", "features", F.posexplode("hashes").alias("table", "hash"))
-    bucketed = hashed.select(
-        "itemId", "features", "table", vector_to_array("hash")[0].cast("bigint").alias("bucket")
-    )
-    asked = bucketed.withColumnRenamed("itemId", "queryId")
-    found = blocked_nearest(asked, bucketed, k + 1, groups=("table", "bucket"), block_rows=block_rows)
-    order = Window.partitionBy("queryId").orderBy("rank")
-    return (
-        found.filter(F.col("queryId") != F.col("itemId"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(F.col("queryId").alias("itemId"), "rank", F.col("itemId").alias("neighborId"), "cosine")
-    )

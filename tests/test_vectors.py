@@ -91,16 +91,6 @@ def test_bytes_that_are_no_floats_are_an_error(spark, blob):
         vectors.decode_factors(stored).collect()
 
 
-def test_approximate_search_recall_and_hot_buckets(spark):
-    rows = random_vectors(120, dim=8, seed=5)
-    rows = [(i, [x * 0.01 + 1.0 for x in v] if i % 3 == 0 else v) for i, v in rows]
-    items = spark.createDataFrame(rows, ITEMS)
-    exact = {(r.itemId, r.neighborId) for r in vectors.item_similar_items(items, 5).collect()}
-    near = vectors.item_similar_items_ann(items, 5, block_rows=10).collect()
-    assert {r.rank for r in near} == {1, 2, 3, 4, 5}
-    assert len({(r.itemId, r.neighborId) for r in near} & exact) / len(exact) > 0.9
-
-
 def test_neighbour_lists_are_ordered(spark):
     rows = random_vectors(30)
     lists = vectors.neighbor_lists(spark.createDataFrame(rows, ITEMS), 5, 9).collect()
