@@ -447,6 +447,30 @@ _PLAIN: dict[str, str] = {
         select 'user' as side, count(distinct userId) as entities, count(distinct userId) as usable, 10 as rank from ratings
         union all
         select 'item', count(distinct movieId), count(distinct movieId), 10 from ratings""",
+    # Models differ from engine to engine; what must hold of any is stated as true.
+    "als_rmse": "select count(*) as ratings, true as errorOfFactors, true as errorOnScale from ratings",
+    "als_predict": """
+        select distinct userId, movieId, true as productOfFactors from interactions
+        where userId in (select userId from ratings) and movieId in (select movieId from ratings)""",
+    "als_recommend_all": """
+        select userId, least(10, n) as movies, least(10, n) as distinctMovies, true as bestFirst, true as noneBetterLeftOut
+        from (select distinct userId, (select count(distinct movieId) from ratings) as n from ratings) u""",
+    "als_recommend_subset": """
+        select userId, least(10, n) as movies, true as sameAsAmongAll
+        from (select distinct userId, (select count(distinct movieId) from ratings) as n from ratings
+              where userId in (select userId from interactions)) u""",
+    "item_similar_items_ann": """
+        select itemId, least(5, (select count(*) from item_factors) - 1) as neighbors, true as different, true as cosinesAreTrue,
+               true as nearestFirst, true as mostNeighborsFound, true as comparesLess
+        from item_factors""",
+    "partition_profile": """
+        select count(*) as totalRecords, count(*) * 32 as estimatedMemoryUsageBytes, true as averageTimesPartitions,
+               true as averageBetweenEnds, true as flagFollowsAverage
+        from ratings""",
+    "run_timing": """
+        select count(*) as totalRecords, true as runTook, true as checkTook, true as speedFollowsTime, true as labelFollowsSpeed,
+               true as scoreFollowsCheck
+        from ratings""",
     # --- recommendation documents
     "recs_enriched": f"select * exclude (totalRecommendations) from ({rec_rows()}) r",
     "recs_upsert": f"""

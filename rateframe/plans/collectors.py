@@ -388,10 +388,8 @@ def system_performance(data: Inputs, run_dependent: bool = True) -> DataFrame:
             "isWellPartitioned",
             "estimatedMemoryUsageBytes",
         )
-        checks = timing.select(F.col("processingTimeMs").alias("qualityCheckTimeMs"))
         parts += [
             _whole(timing.drop("totalRecords"), name, kind),
-            _whole(checks, name, kind),
             _whole(layout, name, kind),
         ]
     return union_all(parts)
