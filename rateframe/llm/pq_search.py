@@ -111,7 +111,7 @@ def codebooks(kinds: DataFrame, sizes: dict[int, int]) -> dict[int, Codebooks]:
         sample = kinds.filter(F.col("d") == d).orderBy(F.xxhash64("rep"), "rep").limit(rows).select("v")
         sample = collect_bounded(sample, rows)["v"]
         x = _units(sample, len(sample))
-        books[d] = _fit(x, max(1, min(MOST_LISTS, round(n**0.5), len(x) // 16)))
+        books[d] = _fit(x, max(1, min(MOST_LISTS, round(n**0.5 / 2), len(x) // 16)))
     return books
 
 
