@@ -1,28 +1,22 @@
 """A table of rows with one key, kept in hash buckets, that is changed by whole versions.
 
-    path/data/<write>/bucket=<n>/part-*.parquet    rows, never changed once written
-    path/versions/<number>.json                    which folder holds each bucket in that version
-
-An upsert reads and writes only the buckets that its keys fall in, each by tasks of its own, and then adds one
-version file. Adding it is the commit: it appears whole or not at all, and one number is added only once. So a
-write that fails or is killed leaves the version before it as it was, readers see one version throughout, and of two
-writers at once the second merges again over what the first has stored.
+A version names the folder that holds each bucket. An upsert reads and writes only the buckets that its keys fall in, each by
+tasks of its own, and then commits. A write that fails or is killed leaves the version before it as it was, readers see
+one version throughout, and of two writers at once the second merges again over what the first has stored.
 """
 
 from __future__ import annotations
 
-import json
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rateframe.session import materialize
+from rateframe.sources.versions import VersionedFolder
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 BUCKETS = 32
@@ -40,66 +34,28 @@ class Version:
     schema: StructType
     folders: dict[int, str]
 
-    def text(self) -> str:
+    def content(self) -> dict:
         folders = {str(b): f for b, f in sorted(self.folders.items())}
-        return json.dumps({"buckets": self.buckets, "schema": self.schema.jsonValue(), "folders": folders})
+        return {"buckets": self.buckets, "schema": self.schema.jsonValue(), "folders": folders}
 
 
-class KeyedStore:
+class KeyedStore(VersionedFolder):
     """Rows by ``key``. The bucket count is fixed when the first rows are stored; ``rebucket`` changes it."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-
-    # --- versions ------------------------------------------------------------------
-
-    def _at(self, path: str):
-        return self._hadoop.Path(path)
-
-    def _files(self):
-        return self._at(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[tuple[str, int]]:
-        """Names in a folder and when each last changed, in ms."""
-        at, files = self._at(folder), self._files()
-        if not files.exists(at):
-            return []
-        return [(s.getPath().getName(), s.getModificationTime()) for s in files.listStatus(at)]
+        super().__init__(spark, path)
+        self.key, self.buckets = key, buckets
 
-    def versions(self) -> list[int]:
-        names = [name for name, _ in self._names(f"{self.path}/versions")]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+    def folders_of(self, content: dict) -> set[str]:
+        return set(content["folders"].values())
 
     def version(self, number: int | None = None) -> Version | None:
         """The given version or the newest; None where nothing is stored."""
-        known = self.versions()
-        if number is None and not known:
+        found = self.load(number)
+        if found is None:
             return None
-        if number is not None and number not in known:
-            raise ValueError(f"no version {number} in {self.path}")
-        number = known[-1] if number is None else number
-        text = self.spark.read.text(f"{self.path}/versions/{number:08d}.json", wholetext=True).first()[0]
-        found = json.loads(text)
-        return Version(number, found["buckets"], StructType.fromJson(found["schema"]), {int(b): f for b, f in found["folders"].items()})
-
-    def _commit(self, version: Version) -> bool:
-        """Adds the version file; False if that number is taken."""
-        draft = self._at(f"{self.path}/versions/.{version.number:08d}-{uuid.uuid4().hex}")
-        files = self._files()
-        out = files.create(draft, False)
-        out.write(bytearray(version.text(), "utf-8"))
-        out.close()
-        context = self._hadoop.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        never_replace = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(draft, self._at(f"{self.path}/versions/{version.number:08d}.json"), never_replace)
-        except Py4JJavaError as error:
-            files.delete(draft, False)
-            if "FileAlreadyExistsException" in str(error.java_exception):
-                return False
-            raise
-        return True
+        number, content = found
+        return Version(number, content["buckets"], StructType.fromJson(content["schema"]), {int(b): f for b, f in content["folders"].items()})
 
     # --- reading -----------------------------------------------------------------------
 
@@ -107,7 +63,7 @@ class KeyedStore:
         return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
 
     def _rows(self, of: Version, only: set[int] | None = None) -> DataFrame:
-        folders = [f"{self.path}/data/{f}/bucket={b}" for b, f in of.folders.items() if only is None or b in only]
+        folders = [f"{self.data(f)}/bucket={b}" for b, f in of.folders.items() if only is None or b in only]
         if not folders:
             return self.spark.createDataFrame([], of.schema)
         return self.spark.read.schema(of.schema).parquet(*folders)
@@ -132,10 +88,10 @@ class KeyedStore:
 
     def _write(self, rows: DataFrame, buckets: int) -> tuple[str, set[int]]:
         """Rows as new bucket files; the folder they are in and the buckets it has."""
-        write = uuid.uuid4().hex
+        write = self.fresh_folder()
         dealt = rows.withColumn("bucket", self._bucket(buckets))
-        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{write}")
-        names = [name for name, _ in self._names(f"{self.path}/data/{write}")]
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(self.data(write))
+        names = [name for name, _ in self._names(self.data(write))]
         return write, {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
 
     def upsert(self, incoming: DataFrame, merge: Merge) -> Version:
@@ -160,7 +116,7 @@ class KeyedStore:
                 raise ValueError(f"merge made rows in buckets {sorted(filled - touched)} that no incoming key falls in")
             kept = {b: f for b, f in current.folders.items() if b not in touched} if current else {}
             new = Version(current.number + 1 if current else 1, buckets, schema, kept | {b: write for b in filled})
-            if self._commit(new):
+            if self.commit(new.number, new.content()):
                 return new
             time.sleep(min(0.05 * 2**attempt, 2))
         raise Conflict(f"{ATTEMPTS} other writers came first in {self.path}")
@@ -172,23 +128,6 @@ class KeyedStore:
             raise ValueError(f"nothing stored in {self.path}")
         write, filled = self._write(self._rows(current), buckets)
         new = Version(current.number + 1, buckets, current.schema, {b: write for b in filled})
-        if not self._commit(new):
+        if not self.commit(new.number, new.content()):
             raise Conflict(f"another writer came first in {self.path}")
         return new
-
-    def vacuum(self, keep: int = 2, older_than_seconds: float = 86400.0) -> list[str]:
-        """Deletes all but the newest ``keep`` versions, and data that no version left refers to.
-
-        Younger data is spared, as a writer may be about to commit it.
-        """
-        known = self.versions()
-        files = self._files()
-        left = [self.version(n) for n in known[-keep:]]
-        for number in known[:-keep]:
-            files.delete(self._at(f"{self.path}/versions/{number:08d}.json"), False)
-        used = {folder for v in left for folder in v.folders.values()}
-        before = (time.time() - older_than_seconds) * 1000
-        gone = [name for name, changed in self._names(f"{self.path}/data") if name not in used and changed <= before]
-        for name in gone:
-            files.delete(self._at(f"{self.path}/data/{name}"), True)
-        return gone

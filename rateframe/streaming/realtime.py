@@ -18,7 +18,7 @@ from rateframe.functions.expressions import (
     score_multiplier,
     weighted_score,
 )
-from rateframe.session import materialize
+from rateframe.sources.versions import VersionedFolder
 
 EVENT_SCHEMA = (
     "eventId bigint, userId int, movieId int, eventType string, rating double, tsMicros bigint"
@@ -213,83 +213,145 @@ def read_messages(spark: SparkSession, servers: str, topic: str, per_trigger: in
 
 
 def read_event_topic(spark: SparkSession, servers: str, topic: str, per_trigger: int = 1_000_000) -> DataFrame:
-    """Events from a Kafka topic. Pass ``read_messages`` of it to the stream as well to keep what is no event."""
+    """Events from a Kafka topic. Give ``read_messages`` of it to a stream instead to keep what is no event."""
     return parse_event_messages(read_messages(spark, servers, topic, per_trigger))
 
 
+class ModelStore(VersionedFolder):
+    """What events are looked up in, as numbered versions: known users, and a neighbour list per movie."""
+
+    def publish(self, known_users: DataFrame, neighbors: DataFrame) -> int:
+        """Stores a model as the newest version and returns its number. Streams use it from their next batch on."""
+        folder = self.fresh_folder()
+        known_users.select("userId").distinct().write.parquet(f"{self.data(folder)}/users")
+        neighbors.write.parquet(f"{self.data(folder)}/neighbors")
+        while True:
+            number = max(self.versions(), default=0) + 1
+            if self.commit(number, {"folder": folder}):
+                return number
+
+    def newest(self) -> tuple[int, DataFrame, DataFrame]:
+        found = self.load()
+        if found is None:
+            raise ValueError(f"no model published in {self.path}")
+        number, content = found
+        folder = self.data(content["folder"])
+        return number, self.spark.read.parquet(f"{folder}/users"), self.spark.read.parquet(f"{folder}/neighbors")
+
+
+def outputs_of(
+    batch: DataFrame, known_users: DataFrame, neighbors: DataFrame, salts: int = 1, validate: bool = False
+) -> dict[str, DataFrame]:
+    """All outputs of events, or of messages with a ``value`` that events are parsed from: ``messages``, ``processed``, and
+    ``rejected`` if events are validated or messages may be none."""
+    is_message = "value" in batch.columns and "userId" not in batch.columns
+    events = parse_event_messages(batch) if is_message else batch
+    rejected = None
+    if validate:
+        events, rejected = checked_events(events)
+    rejected = _rejected(rejected, batch if is_message else None)
+    outputs = {
+        "messages": rt_output_messages(rt_recommendations(events, known_users, neighbors, salts)),
+        "processed": rt_processed_events(events, known_users, salts),
+    }
+    return outputs if rejected is None else {**outputs, "rejected": rejected}
+
+
+def _batch_log(spark: SparkSession, path: str, query_id: str) -> VersionedFolder:
+    return VersionedFolder(spark, f"{path}/{query_id}")
+
+
+def _store_batch(models: ModelStore, path: str, salts: int, validate: bool):
+    """Stores all outputs of a micro-batch under one commit that has its number."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log = _batch_log(spark, path, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        if batch_id in log.versions():
+            return  # committed before the stream noted it
+        number, known_users, neighbors = models.newest()
+        folder = log.fresh_folder()
+        batch = batch.persist()
+        try:
+            outputs = outputs_of(batch, known_users, neighbors, salts, validate)
+            for name, df in outputs.items():
+                df.write.parquet(f"{log.data(folder)}/{name}")
+        finally:
+            batch.unpersist()
+        log.commit(batch_id, {"folder": folder, "model": number, "outputs": sorted(outputs)})
+
+    return store
+
+
 def start_recommendation_stream(
-    events: DataFrame,
-    known_users: DataFrame,
-    neighbors: DataFrame,
+    source: DataFrame,
+    models: ModelStore,
     path: str,
     checkpoint: str,
     salts: int = 8,
     trigger: dict | None = None,
     validate: bool = False,
-    messages: DataFrame | None = None,
-) -> list[StreamingQuery]:
-    """Append-only outputs, each with its own checkpoint: messages and processed events. With ``validate`` only
-    accepted events are looked up, and the rejected ones are an output with their reason. Of ``messages``, from
-    which ``events`` were parsed, those that are no event join that output.
+) -> StreamingQuery:
+    """One stream of events or messages into all outputs; ``read_outputs`` reads them.
 
-    The neighbour lists are read from a stored copy, so that no micro-batch computes them again.
+    Each micro-batch looks its events up in the newest model. Its outputs become visible together, by one commit under the
+    batch's number. A batch that runs again after a failure is stored again if it was not committed and skipped if it was, so
+    each event is in each output once. With ``validate`` only accepted events are looked up, and rejected ones are an output.
     """
-    rejected = None
-    if validate:
-        events, rejected = checked_events(events)
-    rejected = _rejected(rejected, messages)
-    neighbors = materialize(neighbors, "neighbors")
-    outputs = {
-        "messages": rt_output_messages(rt_recommendations(events, known_users, neighbors, salts)),
-        "processed": rt_processed_events(events, known_users, salts),
-    }
-    if rejected is not None:
-        outputs["rejected"] = rejected
-    return [
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/{name}")
-        .option("checkpointLocation", f"{checkpoint}/{name}")
-        .trigger(**(trigger or {"processingTime": "5 seconds"}))
-        .start()
+    writer = source.writeStream.foreachBatch(_store_batch(models, path.rstrip("/"), salts, validate))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+def committed_batches(spark: SparkSession, path: str) -> DataFrame:
+    """(query, batch, model, folder, outputs) of all batches that streams have committed in ``path``."""
+    at = F.input_file_name()
+    content = F.from_json("value", "folder string, model long, outputs array<string>").alias("c")
+    rows = spark.read.text(f"{path.rstrip('/')}/*/versions/*.json", wholetext=True).select(at.alias("at"), content)
+    query, batch = F.regexp_extract("at", "/([^/]+)/versions/", 1), F.regexp_extract("at", "/versions/([0-9]+)", 1)
+    folder = F.concat(query, F.lit("/data/"), F.col("c.folder"))
+    return rows.select(query.alias("query"), batch.cast("bigint").alias("batch"), "c.model", folder.alias("folder"), "c.outputs")
+
+
+def read_outputs(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One output of all committed batches in ``path``."""
+    path = path.rstrip("/")
+    folders = committed_batches(spark, path).filter(F.array_contains("outputs", name)).select("folder")
+    found = [f"{path}/{r.folder}/{name}" for r in folders.toLocalIterator()]
+    if not found:
+        raise ValueError(f"no batch with {name} in {path}")
+    return spark.read.parquet(*found)
+
+
+def topic_rows(outputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Outputs as key and value: the user, and the row as JSON but for messages, whose value is theirs."""
+    key = F.col("userId").cast("string").alias("key")
+    return {
+        name: df.select("key", "value") if name == "messages" else df.select(key, F.to_json(F.struct(*df.columns)).alias("value"))
         for name, df in outputs.items()
-    ]
+    }
 
 
 def start_topic_outputs(
-    events: DataFrame,
-    known_users: DataFrame,
-    neighbors: DataFrame,
+    source: DataFrame,
+    models: ModelStore,
     servers: str,
     topics: dict[str, str],
     checkpoint: str,
     salts: int = 8,
     validate: bool = False,
-    messages: DataFrame | None = None,
-) -> list[StreamingQuery]:
-    """The same outputs to Kafka topics, ``topics["messages"]``, ``topics["processed"]`` and ``topics["rejected"]``."""
-    rejected = None
-    if validate:
-        events, rejected = checked_events(events)
-    rejected = _rejected(rejected, messages)
-    neighbors = materialize(neighbors, "neighbors")
-    processed = rt_processed_events(events, known_users, salts)
-    outputs = {
-        "messages": rt_output_messages(rt_recommendations(events, known_users, neighbors, salts)).drop("eventId"),
-        "processed": processed.select(
-            F.col("userId").cast("string").alias("key"), F.to_json(F.struct(*processed.columns)).alias("value")
-        ),
-    }
-    if rejected is not None:
-        outputs["rejected"] = rejected.select(
-            F.col("userId").cast("string").alias("key"), F.to_json(F.struct(*rejected.columns)).alias("value")
-        )
-    return [
-        df.writeStream.format("kafka")
-        .outputMode("append")
-        .option("kafka.bootstrap.servers", servers)
-        .option("topic", topics[name])
-        .option("checkpointLocation", f"{checkpoint}/{name}")
-        .start()
-        for name, df in outputs.items()
-    ]
+) -> StreamingQuery:
+    """The same outputs to Kafka topics, ``topics["messages"]``, ``topics["processed"]`` and ``topics["rejected"]``.
+
+    Topics have no commit over all of them: a batch that runs again after a failure is sent again.
+    """
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        _, known_users, neighbors = models.newest()
+        batch = batch.persist()
+        try:
+            for name, rows in topic_rows(outputs_of(batch, known_users, neighbors, salts, validate)).items():
+                rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topics[name]).save()
+        finally:
+            batch.unpersist()
+
+    return source.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).start()

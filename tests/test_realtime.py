@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from rateframe.operators import vectors
@@ -92,21 +93,38 @@ def test_event_messages_parse_and_bad_ones_drop(spark):
     assert [(r.eventId, r.userId, r.movieId, r.rating) for r in got] == [(1, 2, 3, None)]
 
 
-def test_stream_keeps_messages_that_are_no_event(spark, known, lists, tmp_path):
+@pytest.fixture
+def models(spark, known, lists, tmp_path):
+    store = realtime.ModelStore(spark, str(tmp_path / "models"))
+    store.publish(known, lists)
+    return store
+
+
+def run(source, models, tmp_path, **options):
+    query = realtime.start_recommendation_stream(
+        source, models, str(tmp_path / "out"), str(tmp_path / "checkpoint"), trigger={"availableNow": True}, **options
+    )
+    try:
+        assert query.awaitTermination(120)
+    except StreamingQueryException as error:
+        return error
+
+
+def output(spark, tmp_path, name):
+    return realtime.read_outputs(spark, str(tmp_path / "out"), name)
+
+
+def test_stream_keeps_messages_that_are_no_event(spark, models, tmp_path):
     values = ['{"eventId": 1, "userId": 7, "movieId": 1, "eventType": "MOVIE_VIEWED"}', "not json", '{"eventId": 4}', None,
               '{"eventId": 5, "userId": -1, "movieId": 1, "eventType": "MOVIE_VIEWED"}']
     spark.createDataFrame([(v,) for v in values], "value string").write.parquet(str(tmp_path / "in"))
     messages = spark.readStream.schema("value string").parquet(str(tmp_path / "in"))
-    running = realtime.start_recommendation_stream(
-        realtime.parse_event_messages(messages), known, lists, str(tmp_path / "out"), str(tmp_path / "checkpoints"),
-        trigger={"availableNow": True}, validate=True, messages=messages,
-    )
-    for query in running:
-        assert query.awaitTermination(120) and query.exception() is None
-    rejected = spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()
+    assert run(messages, models, tmp_path, validate=True) is None
+    rejected = output(spark, tmp_path, "rejected").collect()
     assert sorted((r.reason, str(r.message)) for r in rejected) == sorted(
         [("NO_EVENT", "not json"), ("NO_EVENT", '{"eventId": 4}'), ("NO_EVENT", "None"), ("USER_NOT_POSITIVE", "None")]
     )
+    assert [r.eventId for r in output(spark, tmp_path, "messages").collect()] == [1]
 
 
 def test_stream_equals_batch(spark, data, tmp_path):
@@ -114,30 +132,83 @@ def test_stream_equals_batch(spark, data, tmp_path):
     source.repartition(5).write.parquet(str(tmp_path / "events"))
     users = src.user_factors(spark, data)
     neighbours = vectors.neighbor_lists(src.item_factors(spark, data), 5).persist()
-    streamed = realtime.read_event_files(spark, str(tmp_path / "events"), files_per_trigger=2)
-    running = realtime.start_recommendation_stream(
-        streamed, users, neighbours, str(tmp_path / "out"), str(tmp_path / "checkpoints"), trigger={"availableNow": True}
-    )
-    for query in running:
-        assert query.awaitTermination(120)
-        assert query.exception() is None
+    models = realtime.ModelStore(spark, str(tmp_path / "models"))
+    models.publish(users, neighbours)
+    assert run(realtime.read_event_files(spark, str(tmp_path / "events"), files_per_trigger=2), models, tmp_path) is None
+    assert realtime.committed_batches(spark, str(tmp_path / "out")).count() == 3
     batch = realtime.rt_output_messages(realtime.rt_recommendations(source, users, neighbours))
-    got = spark.read.parquet(str(tmp_path / "out" / "messages"))
+    got = output(spark, tmp_path, "messages")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
-    done = spark.read.parquet(str(tmp_path / "out" / "processed"))
     expected = realtime.rt_processed_events(source, users)
-    assert sorted(r.eventId for r in done.collect()) == sorted(r.eventId for r in expected.collect())
+    assert sorted(r.eventId for r in output(spark, tmp_path, "processed").collect()) == sorted(r.eventId for r in expected.collect())
     neighbours.unpersist()
 
 
-def test_validated_stream_keeps_rejected_events(spark, known, lists, tmp_path):
+def test_validated_stream_keeps_rejected_events(spark, models, tmp_path):
     rows = [(1, 7, 1, "MOVIE_VIEWED", None, 5), (2, -1, 1, "MOVIE_VIEWED", None, 5), (3, 7, 1, "RATING_GIVEN", 9.0, 5)]
     events(spark, rows).write.parquet(str(tmp_path / "events"))
-    running = realtime.start_recommendation_stream(
-        realtime.read_event_files(spark, str(tmp_path / "events")), known, lists, str(tmp_path / "out"),
-        str(tmp_path / "checkpoints"), trigger={"availableNow": True}, validate=True,
-    )
-    for query in running:
-        assert query.awaitTermination(120) and query.exception() is None
-    kept = {n: sorted(r.eventId for r in spark.read.parquet(str(tmp_path / "out" / n)).collect()) for n in ("messages", "rejected")}
+    assert run(realtime.read_event_files(spark, str(tmp_path / "events")), models, tmp_path, validate=True) is None
+    kept = {n: sorted(r.eventId for r in output(spark, tmp_path, n).collect()) for n in ("messages", "rejected")}
     assert kept == {"messages": [1], "rejected": [2, 3]}
+
+
+def test_a_new_model_counts_from_the_next_batch_on(spark, known, lists, models, tmp_path):
+    arrive = lambda i: events(spark, [(i, 7, 1, "MOVIE_CLICKED", None, 5), (10 + i, 9, 1, "MOVIE_VIEWED", None, 5)]).write.mode("append").parquet(str(tmp_path / "events"))
+    arrive(1)
+    query = realtime.start_recommendation_stream(
+        realtime.read_event_files(spark, str(tmp_path / "events")), models, str(tmp_path / "out"), str(tmp_path / "checkpoint"),
+        trigger={"processingTime": "0 seconds"},
+    )
+    query.processAllAvailable()
+    other = spark.createDataFrame([(1, [(1, 8, 0.5)])], "seedId int, neighbors array<struct<rank:int,movieId:int,cosine:double>>")
+    assert models.publish(spark.createDataFrame([(9,)], "userId int"), other) == 2
+    arrive(2)
+    query.processAllAvailable()
+    query.stop()
+    done = {r.eventId: r.userId for r in output(spark, tmp_path, "processed").collect()}
+    assert done == {1: 7, 12: 9}
+    said = {r.eventId: [x["movieId"] for x in json.loads(r.value)] for r in output(spark, tmp_path, "messages").collect()}
+    assert said[12] == [8] and 2 not in said
+    assert [(r.batch, r.model) for r in realtime.committed_batches(spark, str(tmp_path / "out")).orderBy("batch").collect()] == [(0, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("when", ["while writing", "before the commit", "after the commit"])
+def test_a_restarted_stream_has_each_event_once_in_each_output(spark, models, tmp_path, monkeypatch, when):
+    rows = [(i, 7, 1, "MOVIE_VIEWED", None, 5) for i in range(20)]
+    events(spark, rows).repartition(4).write.parquet(str(tmp_path / "events"))
+    source = lambda: realtime.read_event_files(spark, str(tmp_path / "events"), files_per_trigger=2)
+    commit, outputs_of = realtime.VersionedFolder.commit, realtime.outputs_of
+
+    def killed(log, number, content):
+        if number == 1:
+            if when == "after the commit":
+                commit(log, number, content)
+            raise RuntimeError("killed")
+        return commit(log, number, content)
+
+    def halfway(batch, *rest):
+        found = outputs_of(batch, *rest)
+        found["processed"] = found["processed"].withColumn("lost", realtime.F.raise_error(realtime.F.lit("killed")).cast("string"))
+        return found
+
+    with monkeypatch.context() as m:
+        if when == "while writing":
+            m.setattr(realtime, "outputs_of", halfway)
+        else:
+            m.setattr(realtime.VersionedFolder, "commit", killed)
+        assert "killed" in str(run(source(), models, tmp_path))
+    assert run(source(), models, tmp_path) is None
+    for name in ("messages", "processed"):
+        assert sorted(r.eventId for r in output(spark, tmp_path, name).collect()) == list(range(20))
+
+
+def test_topic_rows(spark, known, lists):
+    rows = events(spark, [(1, 7, 1, "MOVIE_VIEWED", None, 5), (2, -1, 1, "MOVIE_VIEWED", None, 5)])
+    sent = realtime.topic_rows(realtime.outputs_of(rows, known, lists, validate=True))
+    assert {n: [r.key for r in df.collect()] for n, df in sent.items()} == {"messages": ["7"], "processed": ["7"], "rejected": ["-1"]}
+    assert json.loads(sent["rejected"].first().value)["reason"] == "USER_NOT_POSITIVE"
+
+
+def test_no_model_and_no_output(spark, tmp_path):
+    with pytest.raises(ValueError, match="no model"):
+        realtime.ModelStore(spark, str(tmp_path)).newest()
