@@ -17,6 +17,7 @@ from rateframe.fixed_values import (
     GENRE_FALLBACK_TEXT,
 )
 from rateframe.functions.expressions import percent
+from rateframe.operators.paging import page_of
 
 
 def analytics_type_catalog(spark: SparkSession) -> DataFrame:
@@ -115,6 +116,8 @@ SORT_FIELDS = {
     "description": "description",
 }
 MAX_PAGE_SIZE = 100
+# Pages that end within so many rows are top lists.
+SHALLOW_ROWS = 10_000
 
 
 def matching_documents(
@@ -160,15 +163,11 @@ def analytics_query(
     size: int = 20,
     **filters,
 ) -> DataFrame:
-    """One page of matching documents in order; documents that tie are ordered by id."""
+    """One page of matching documents in order; documents that tie are ordered by id. Deep pages come from a sorted copy."""
     _check_page(page, size)
     field = F.col(SORT_FIELDS[sort_by])
-    return (
-        matching_documents(docs, **filters)
-        .orderBy(field.asc() if ascending else field.desc(), F.asc("analyticsId"))
-        .offset(page * size)
-        .limit(size)
-    )
+    order = (field.asc() if ascending else field.desc(), F.asc("analyticsId"))
+    return page_of(matching_documents(docs, **filters), order, page * size, size, SHALLOW_ROWS)
 
 
 def analytics_count(docs: DataFrame, page: int = 0, size: int = 20, **filters) -> DataFrame:
