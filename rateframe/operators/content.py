@@ -106,28 +106,15 @@ def _movie_genres(movies: DataFrame) -> DataFrame:
     return movies.select("movieId", raw_genre_terms("genres").alias("terms"))
 
 
-def genre_stats(pairs: DataFrame, facts: DataFrame, movies: DataFrame) -> DataFrame:
-    """Count, mean, deviation, distinct users and movies per genre.
+def genre_stats(rows: DataFrame, movies: DataFrame) -> DataFrame:
+    """Count, mean, deviation, distinct users and movies per genre, out of pair facts or single ratings.
 
-    All but the users follow from one row per movie. A few genres hold most ratings, so users
-    are folded per (genre, user) on the map side and only then counted per genre.
+    One pass: Spark folds rows per (genre, user) and (genre, movie) on the map side and counts those, so no ratings are
+    dealt by user and movie, and a genre that holds most ratings is many rows until the last step.
     """
-    terms = _movie_genres(movies)
-    sums = (
-        facts.join(terms, "movieId")
-        .select("movieId", "n", "total", "totalSquares", F.posexplode("terms").alias("pos", "genre"), "terms")
-        .withColumn("firstTime", F.array_position("terms", F.col("genre")) == F.col("pos") + 1)
-        .groupBy("genre")
-        .agg(*folded(), count_where(F.col("firstTime")).alias("uniqueMovies"))
-    )
-    raters = (
-        pairs.select("movieId", "userId")
-        .join(terms, "movieId")
-        .select("userId", F.explode("terms").alias("genre"))
-        .groupBy("genre")
-        .agg(F.count_distinct("userId").alias("uniqueUsers"))
-    )
-    return sums.join(raters, "genre").select(
+    spread = rows.join(_movie_genres(movies), "movieId").select("movieId", "userId", "n", "total", "totalSquares", F.explode("terms").alias("genre"))
+    counts = spread.groupBy("genre").agg(*folded(), F.count_distinct("userId").alias("uniqueUsers"), F.count_distinct("movieId").alias("uniqueMovies"))
+    return counts.select(
         "genre",
         F.col("n").alias("ratingCount"),
         mean().alias("avgRating"),

@@ -45,6 +45,13 @@ def direct_facts(ratings: DataFrame, key: str, other: str, distinct: str) -> Dat
     )
 
 
+def single_facts(ratings: DataFrame) -> DataFrame:
+    """Each rating as the facts of itself, for reports that fold only once."""
+    rating = F.col("ratingActual")
+    n = F.when(rating.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    return ratings.select("userId", "movieId", n.alias("n"), rating.alias("total"), (rating * rating).alias("totalSquares"))
+
+
 def folded() -> list[Column]:
     """Aggregates that add facts up to a coarser key."""
     return [F.sum(c).alias(c) for c in ("n", "total", "totalSquares")]

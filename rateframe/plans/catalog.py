@@ -166,8 +166,7 @@ def dq_duplicates(spark, d):
 
 @query
 def dq_freshness(spark, d):
-    data = _rated(spark, d)
-    return quality.dq_freshness(data.ratings, data.seen)
+    return quality.dq_freshness(quality.recency(src.ratings(spark, d)))
 
 
 @query

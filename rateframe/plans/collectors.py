@@ -94,7 +94,7 @@ class Inputs:
 
     @cached_property
     def recent(self) -> DataFrame:
-        return self._row(quality.freshness_recent(self.ratings, self.seen))
+        return self._row(quality.freshness_recent(quality.recency(self.ratings)))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -106,7 +106,8 @@ class Inputs:
 
     @cached_property
     def genres(self) -> DataFrame:
-        return self._base(content.genre_stats(self.pairs, self.movie_facts, self.movies), "genres")
+        rows = self.pairs if self.stored else facts.single_facts(self.ratings)
+        return self._base(content.genre_stats(rows, self.movies), "genres")
 
     @cached_property
     def top(self) -> DataFrame:

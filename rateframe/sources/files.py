@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,21 +20,37 @@ from rateframe.operators.ingest import (
 RATINGS_SCHEMA = "userId string, movieId string, rating string, timestamp string"
 MOVIES_SCHEMA = "movieId string, title string, genres string"
 TAGS_SCHEMA = "userId string, movieId string, tag string, timestamp string"
+HEADERS_AT_ONCE = 8
+
+
+def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a path by their header line. Files without any line are left out."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("inferSchema", False)
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:  # each reads the first line of one file
+        headers = list(pool.map(lambda file: tuple(reader.csv(file).columns), files))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files):
+        if header:
+            found.setdefault(header, []).append(file)
+    return found
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header, whose names decide which column is which, in any order and letter case.
+    """CSV with headers, whose names decide which column is which, in any order and letter case, file by file.
 
-    Rows that do not fit the header are left out, empty cells are null. Without one of the expected columns
-    there are no rows.
+    Rows that do not fit their file's header are left out, empty cells are null. A file without one of the expected columns
+    has no rows.
     """
     expected = tuple(field.split()[0] for field in schema.split(", "))
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"')
-    header = reader.option("inferSchema", False).csv(path).columns
-    in_file = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    reader = reader.schema(in_file if header else schema)
-    rows = reader.option("mode", "DROPMALFORMED").option("nullValue", "").option("emptyValue", "").csv(path)
-    return conform_columns(rows, expected) if header else rows
+    rows = None
+    for header, files in _by_header(spark, path).items():
+        in_file = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        reader = spark.read.schema(in_file).option("header", True).option("encoding", "UTF-8").option("escape", '"')
+        part = reader.option("mode", "DROPMALFORMED").option("nullValue", "").option("emptyValue", "").csv(files)
+        part = conform_columns(part, expected)
+        rows = part if rows is None else rows.unionByName(part)
+    return spark.createDataFrame([], schema) if rows is None else rows
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -116,3 +116,15 @@ def test_header_names_decide_the_columns(spark, tmp_path):
     assert (row.userId, row.movieId, row.ratingActual) == (1, 20, 4.5)
     (tmp_path / "m.csv").write_text("movieId,name\n1,x\n")
     assert files.load_movies(spark, str(tmp_path / "m.csv")).count() == 0
+
+
+def test_each_file_of_a_folder_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("userId,movieId,rating,timestamp\n1,10,4.0,100\n")
+    (tmp_path / "b.csv").write_text("movieId,userId,rating,timestamp\n200,2,3.5,200\n")
+    (tmp_path / "c.csv").write_text("timestamp,extra,rating,movieid,UserId\n300,x,1.5,30,3\n")
+    (tmp_path / "d.csv").write_text("userId,rating,timestamp\n4,1.0,400\n")
+    (tmp_path / "e.csv").write_text("")
+    found = files.load_ratings(spark, str(tmp_path)).collect()
+    assert sorted((r.userId, r.movieId, r.ratingActual, r.timestampEpochSeconds) for r in found) == [
+        (1, 10, 4.0, 100), (2, 200, 3.5, 200), (3, 30, 1.5, 300)
+    ]

@@ -141,3 +141,20 @@ def test_intermediate_tables_go_where_the_session_says(spark):
 def test_reports_without_distinct_counts_fold_ratings_once(spark, data, no_small_tables, name):
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(QUERIES[name](spark, data)))
     assert dealt and not any("userId" in d and "movieId" in d for d in dealt)
+
+
+def test_genres_are_one_pass_with_few_shuffles(spark, data, no_small_tables):
+    shown = plan(QUERIES["genre_stats"](spark, data))
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", shown)
+    assert shown.count("FileScan") == 3  # lines, orders, parts
+    # Orders and lines, ratings and movies, then two steps of the distinct counts; none by user and movie alone.
+    assert len(dealt) == 6 and not any(re.match(r"userId#\d+, movieId#\d+,", d) or re.match(r"movieId#\d+, userId#\d+,", d) for d in dealt)
+
+
+@pytest.mark.parametrize("name", ["dq_freshness", "freshness_recent", "freshness_trend"])
+def test_freshness_reads_ratings_once(spark, data, monkeypatch, name):
+    plans = []
+    keep = quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, label: (plans.append(plan(df)), keep(df, label))[1])
+    plans.append(plan(QUERIES[name](spark, data)))
+    assert sum(p.count("lineitem.parquet") for p in plans) == 1 and sum(p.count("orders.parquet") for p in plans) == 1

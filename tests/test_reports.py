@@ -128,10 +128,18 @@ def test_recent_bounds_are_strict(spark):
     newest = 100 * DAY
     ages = [0, DAY - 1, DAY, 7 * DAY - 1, 7 * DAY, 30 * DAY - 1, 30 * DAY, 60 * DAY]
     df = ratings(spark, [(1, i, 3.0, newest - a) for i, a in enumerate(ages)])
-    row = one(quality.freshness_recent(df, quality.overview(df, 0)))
+    row = one(quality.freshness_recent(quality.recency(df.repartition(4))))
     assert (row["ratingsLast24Hours"], row["ratingsLast7Days"], row["recentRatings30Days"]) == (2, 4, 6)
 
 
+def test_recency_without_times_and_with_copies(spark):
+    empty = one(quality.recency(ratings(spark, [])))
+    assert (empty["newest"], empty["timestamps"], empty["recentRatings30Days"]) == (None, 0, 0)
+    df = ratings(spark, [(1, 1, 3.0, None), *[(1, i, 3.0, 10) for i in range(50)], *[(2, i, 3.0, 10 - 40 * DAY) for i in range(9)]])
+    row = one(quality.recency(df.repartition(5)))
+    assert (row["oldest"], row["newest"], row["timestamps"], row["ratingsLast24Hours"], row["recentRatings30Days"]) == (10 - 40 * DAY, 10, 59, 50, 50)
+
+
 @pytest.mark.parametrize("day, week, label", [(2, 7, "Increasing"), (1, 7, "Stable"), (0, 7, "Decreasing"), (1, 14, "Stable")])
 def test_trend(spark, day, week, label):
     recent = spark.createDataFrame([(day, week)], "ratingsLast24Hours bigint, ratingsLast7Days bigint")
@@ -181,7 +189,7 @@ TAGS = "userId int, movieId int, tag string"
 def test_genres_with_blanks_repeats_and_the_sentinel(spark):
     pairs = pair_facts(ratings(spark, [(1, 1, 4.0, 1), (2, 1, 2.0, 1), (1, 2, 5.0, 1), (1, 3, 5.0, 1)]))
     movies = spark.createDataFrame([(1, "a", "A||B|A"), (2, "b", "A"), (3, "c", "(no genres listed)")], MOVIES)
-    got = {r.genre: r for r in content.genre_stats(pairs, content.movie_facts(pairs), movies).collect()}
+    got = {r.genre: r for r in content.genre_stats(pairs, movies).collect()}
     assert set(got) == {"A", "B"}
     assert (got["A"].ratingCount, got["A"].uniqueUsers, got["A"].uniqueMovies) == (5, 2, 2)
     assert (got["B"].ratingCount, got["B"].uniqueUsers, got["B"].uniqueMovies) == (2, 2, 1)
