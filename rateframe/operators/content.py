@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rateframe.fixed_values import NO_GENRE
 from rateframe.functions.expressions import count_where, raw_genre_terms
+from rateframe.operators.bitmaps import counts_of, distinct_state
 from rateframe.operators.facts import folded, mean, sample_stddev
 from rateframe.operators.ingest import one_row_per_movie
 
@@ -106,24 +107,33 @@ def _movie_genres(movies: DataFrame) -> DataFrame:
     return movies.select("movieId", raw_genre_terms("genres").alias("terms"))
 
 
-def genre_stats(rows: DataFrame, movies: DataFrame) -> DataFrame:
-    """Count, mean, deviation, distinct users and movies per genre, out of pair facts or single ratings.
+GENRE_IDS, GENRE_SUMS = ("userId", "movieId"), ("n", "total", "totalSquares")
+
+
+def genre_state(rows: DataFrame, movies: DataFrame) -> DataFrame:
+    """Bitmaps of users and movies, and sums, per genre, out of pair facts or single ratings. States of several batches merge."""
+    spread = rows.join(_movie_genres(movies), "movieId").select(*GENRE_IDS, *GENRE_SUMS, F.explode("terms").alias("genre"))
+    return distinct_state(spread, "genre", GENRE_IDS, GENRE_SUMS)
+
 
-    One pass: Spark folds rows per (genre, user) and (genre, movie) on the map side and counts those, so no ratings are
-    dealt by user and movie, and a genre that holds most ratings is many rows until the last step.
-    """
-    spread = rows.join(_movie_genres(movies), "movieId").select("movieId", "userId", "n", "total", "totalSquares", F.explode("terms").alias("genre"))
-    counts = spread.groupBy("genre").agg(*folded(), F.count_distinct("userId").alias("uniqueUsers"), F.count_distinct("movieId").alias("uniqueMovies"))
+def genre_stats_of(state: DataFrame) -> DataFrame:
+    """Count, mean, deviation, distinct users and movies per genre."""
+    counts = counts_of(state, GENRE_IDS, GENRE_SUMS).withColumn("n", F.col("n").cast("bigint"))
     return counts.select(
-        "genre",
+        F.col("part").alias("genre"),
         F.col("n").alias("ratingCount"),
         mean().alias("avgRating"),
-        "uniqueUsers",
-        "uniqueMovies",
+        F.col("userId").alias("uniqueUsers"),
+        F.col("movieId").alias("uniqueMovies"),
         sample_stddev().alias("ratingStdDev"),
     )
 
 
+def genre_stats(rows: DataFrame, movies: DataFrame) -> DataFrame:
+    """In one pass over pair facts or single ratings, of which no row is dealt by user or movie to be counted."""
+    return genre_stats_of(genre_state(rows, movies))
+
+
 def genre_extremes(stats: DataFrame) -> DataFrame:
     """Most and least rated, best and worst rated genre; the first by name wins a tie."""
     genre, n, mean = F.col("genre"), F.col("ratingCount"), F.col("avgRating")

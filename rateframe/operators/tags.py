@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rateframe.fixed_values import NEGATIVE_WORDS, POSITIVE_WORDS
 from rateframe.functions.expressions import raw_genre_terms, share, sum_of
+from rateframe.operators.bitmaps import counts_of, distinct_state
 
 
 def tag_totals(tags: DataFrame) -> DataFrame:
@@ -35,13 +36,11 @@ def popular_tags(tags: DataFrame, counts: DataFrame, k: int = 20) -> DataFrame:
         .orderBy(F.desc("tagCount"), "topTag")
         .limit(k)
     )
-    return (
-        tags.join(F.broadcast(top), F.col("tag") == F.col("topTag"))
-        .groupBy("tag", "tagCount")
-        .agg(
-            F.count_distinct("movieId").alias("moviesTagged"),
-            F.count_distinct("userId").alias("usersWhoTagged"),
-        )
+    ids = ("movieId", "userId")
+    used = tags.join(F.broadcast(top), F.col("tag") == F.col("topTag")).select("tag", *ids)
+    found = counts_of(distinct_state(used, "tag", ids), ids)
+    return found.join(F.broadcast(top), F.col("part") == F.col("topTag")).select(
+        F.col("part").alias("tag"), "tagCount", F.col("movieId").alias("moviesTagged"), F.col("userId").alias("usersWhoTagged")
     )
 
 

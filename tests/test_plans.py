@@ -143,12 +143,11 @@ def test_reports_without_distinct_counts_fold_ratings_once(spark, data, no_small
     assert dealt and not any("userId" in d and "movieId" in d for d in dealt)
 
 
-def test_genres_are_one_pass_with_few_shuffles(spark, data, no_small_tables):
+def test_genres_are_one_pass_with_few_shuffles(spark, data):
     shown = plan(QUERIES["genre_stats"](spark, data))
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", shown)
     assert shown.count("FileScan") == 3  # lines, orders, parts
-    # Orders and lines, ratings and movies, then two steps of the distinct counts; none by user and movie alone.
-    assert len(dealt) == 6 and not any(re.match(r"userId#\d+, movieId#\d+,", d) or re.match(r"movieId#\d+, userId#\d+,", d) for d in dealt)
+    assert len(dealt) <= 4 and not any("userId" in d for d in dealt)
 
 
 @pytest.mark.parametrize("name", ["dq_freshness", "freshness_recent", "freshness_trend"])
