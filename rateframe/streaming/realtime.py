@@ -28,8 +28,11 @@ EVENT_SCHEMA = (
 # --- single events --------------------------------------------------------------
 
 def event_normalize(events: DataFrame) -> DataFrame:
-    name = event_type_name("eventType")
-    return events.withColumn("eventType", name).withColumn("weight", event_weight("eventType"))
+    """Events with their type by name and its weight. Only rating events keep a rating."""
+    named = events.withColumn("eventType", event_type_name("eventType")).withColumn("weight", event_weight("eventType"))
+    if "rating" not in events.columns:
+        return named
+    return named.withColumn("rating", F.when(F.col("eventType") == "RATING_GIVEN", F.col("rating")))
 
 
 def event_rec_budget(events: DataFrame) -> DataFrame:

@@ -212,3 +212,8 @@ def test_topic_rows(spark, known, lists):
 def test_no_model_and_no_output(spark, tmp_path):
     with pytest.raises(ValueError, match="no model"):
         realtime.ModelStore(spark, str(tmp_path)).newest()
+
+
+def test_only_rating_events_keep_a_rating(spark):
+    found = realtime.event_normalize(events(spark, [(1, 7, 1, "rating-given", 4.0, 5), (2, 7, 1, "MOVIE_VIEWED", 4.0, 5), (3, 7, 1, "x", 1.0, 5)]))
+    assert {r.eventId: r.rating for r in found.collect()} == {1: 4.0, 2: None, 3: None}

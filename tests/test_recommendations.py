@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rateframe.operators import als, serving
+from rateframe.plans.prediction_job import run_predictions
 from rateframe.plans.training_job import recommendation_store, run_training
 from rateframe.sources import files
 
@@ -136,3 +137,20 @@ def test_id_lists():
     assert serving.parse_user_ids("1, 2,3 ") == [1, 2, 3]
     with pytest.raises(ValueError):
         serving.parse_user_ids("1,x")
+
+
+def test_prediction_job_from_file_to_file(spark, model, tmp_path):
+    als.save_model(model, str(tmp_path / "model"))
+    pairs = [(1, 1), (1, 2), (2, 1), (2, 1), (999, 999), (1, 999), (999, 1)]
+    (tmp_path / "pairs.csv").write_text("userId,movieId\n" + "".join(f"{u},{m}\n" for u, m in pairs) + "no,pair\n")
+    counts = run_predictions(spark, str(tmp_path / "model"), str(tmp_path / "pairs.csv"), str(tmp_path / "out"))
+    assert counts == {"predictions": 4, "unknown": 3}
+    predicted = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "predictions"))
+    expected = als.als_predict(model, spark.createDataFrame(pairs[:3], "userId int, movieId int"))
+    assert {(r.userId, r.movieId, round(r.prediction, 4)) for r in predicted.collect()} == {
+        (r.userId, r.movieId, round(r.prediction, 4)) for r in expected.collect()
+    }
+    unknown = spark.read.option("header", True).csv(str(tmp_path / "out" / "unknown")).collect()
+    assert {(r.userId, r.movieId, r.reason) for r in unknown} == {
+        ("999", "999", "UNKNOWN_USER_AND_MOVIE"), ("1", "999", "UNKNOWN_MOVIE"), ("999", "1", "UNKNOWN_USER")
+    }
