@@ -162,8 +162,7 @@ VIEWS: dict[str, str] = {
         select ratingActual, count(*) as n from ratings group by ratingActual""",
     "profile": """
         select userId, count(ratingActual) as totalRatings, avg(ratingActual) as avgRating,
-               case when count(*) > 1 then sqrt(greatest(0.0, count(*) * sum(ratingActual * ratingActual)
-                    - sum(ratingActual) * sum(ratingActual)) / (count(*) * (count(*) - 1.0))) end as ratingStdDev,
+               round(stddev_samp(ratingActual), 12) as ratingStdDev,
                count(distinct movieId) as uniqueMovies,
                min(timestampEpochSeconds) as minTimestamp, max(timestampEpochSeconds) as maxTimestamp,
                max(timestampEpochSeconds) - min(timestampEpochSeconds) as engagementSpan
