@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 
 from rateframe.fixed_values import FLOAT_BYTES, VECTOR_KEY_PREFIX
 from rateframe.functions.expressions import vector_problem, weighted_score
-from rateframe.session import materialize
 
 BLOCK_ROWS = 16384
 COSINE_DIGITS = 9
-# Different vector lengths up to which their table is broadcast; a model has one.
-MAX_DIMENSIONS = 1000
 
 
 # --- factor tables ------------------------------------------------------------
@@ -166,10 +163,9 @@ def blocked_nearest(
     offered_sizes = _blocks(offered.groupBy(*key).agg(F.count("*").alias("n")), block_rows, "itemBlocks")
     sizes = asked_sizes.join(offered_sizes, key)
     if not groups:
-        # One row per vector dimension. Joined by shuffle, it would send all vectors to one task.
-        sizes = materialize(sizes, "sizes")
-        if sizes.count() <= MAX_DIMENSIONS:
-            sizes = F.broadcast(sizes)
+        # One small row per vector dimension, so never more rows than the longest vector has numbers. Joined by shuffle, it
+        # would send all vectors of one dimension to one task.
+        sizes = F.broadcast(sizes)
     pair = [*key, "queryBlock", "itemBlock"]
     dealt = (
         asked.join(sizes, key)
