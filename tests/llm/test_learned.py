@@ -4,73 +4,90 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rateframe.llm import interpolation, language, queries, toxicity
-from rateframe.llm.textops import remainder
+from rateframe.llm.textops import Words, remainder
 from tests.llm.helpers import prose, table, words
 
 
 # --- deleted interpolation ----------------------------------------------------------
 
-def brute_force_scores(rows, contexts):
-    """(n_tokens, n_known, base, score) by id, with the same mixture weights learned from plain counts."""
+def brute_force_scores(rows, trained_on):
+    """(n_tokens, n_known, training tokens, base, score) by id, from plain counts of every word and pair."""
     tokens = {i: [*words(t), "\0"] for i, t in rows}
-    train = [i for i in tokens if i % 3]
-    count, seen = Counter(w for i in train for w in tokens[i]), Counter(w for i in tokens for w in tokens[i])
+    train = [i for i in tokens if trained_on(i)]
+    count = Counter(w for i in train for w in tokens[i])
     total, size = sum(count.values()), len(count)
-    return tokens, train, count, seen, total, size
-
-
-def test_scores_equal_brute_force(spark, monkeypatch):
+    follow = {i: list(zip(["<begin>", *own[:-1]], own)) for i, own in tokens.items()}
+    pairs, before = Counter(p for i in train for p in follow[i]), Counter(p[0] for i in train for p in follow[i])
+    bucket = lambda h: int(math.log2(before[h])) + 1 if before[h] else 0
+    cells = {}
+    for i in train:
+        for h, w in follow[i]:
+            deleted = ((pairs[h, w] - 1) / (before[h] - 1) if before[h] > 1 else 0.0, (count[w] - 1) / (total - 1))
+            level = interpolation._level(np.array(deleted))
+            cell = (bucket(h) * 256 + int(level[0])) * 256 + int(level[1])
+            n, a, b = cells.get(cell, (0, 0.0, 0.0))
+            cells[cell] = (n + 1, a + deleted[0], b + deleted[1])
+    cell = np.array(sorted(cells))
+    n, a, b = np.array([cells[c] for c in cell]).T
+    weights = interpolation.mixture_weights(cell, n, a / n, b / n, 1 / (size + 1))
+    result = {}
+    for i, own in tokens.items():
+        score = 0.0
+        for h, w in follow[i]:
+            m = weights[bucket(h)]
+            score += math.log10(m[0] * pairs[h, w] / max(before[h], 1) + m[1] * count[w] / total + m[2] / (size + 1))
+        base = sum(math.log10((count[w] + 1) / (total + size + 1)) for w in own)
+        result[i] = len(own), sum(count[w] > 0 for w in own), total, base, score
+    return result
+
+
+def test_scores_equal_brute_force_however_few_words_tasks_hold(spark, monkeypatch):
     monkeypatch.setattr(interpolation, "TOKENS_PER_PART", 700)
     monkeypatch.setattr(interpolation, "CHUNK_BYTES", 4000)
-    rows = [(i, prose(i, 5 + i * 3 % 200, 60)) for i in range(60)] + [(100, None), (101, ""), (102, "Unseen WORDS only"), (103, "w1 " * 3000)]
+    monkeypatch.setattr(interpolation, "HOT_TEXTS", 3)
+    rows = [(i, f"w1 w2 w1 w2 {prose(i, 5 + i * 3 % 200, 60)}") for i in range(60)]
+    rows += [(60 + i, f"{prose(i, 40, 900)} {prose(i % 7, 20, 9000)}") for i in range(40)]
+    rows += [(100, None), (101, ""), (102, "Unseen WORDS only"), (103, "w1 " * 3000)]
     docs = table(spark, rows, extra=True)
-    tokens, train, count, seen, total, size = brute_force_scores(rows, None)
-    for contexts in (1000, 12):
-        found = {r.doc_id: r for r in interpolation.scores(docs, F.col("doc_id") % 3 != 0, contexts=contexts).collect()}
-        assert len(found) == len(rows)
-        hashes = {w: h for w, h in zip(*_hashes(seen))}
-        end_last = sorted(seen, key=lambda w: (w != "\0", -seen[w], np.uint64(hashes[w]).view("int64") if w != "\0" else 0))
-        kept = set(end_last[: contexts])
-        follow = lambda i: zip(["<begin>"] + [w if w in kept else "<rare>" for w in tokens[i][:-1]], tokens[i])
-        pairs = Counter(p for i in train for p in follow(i))
-        before = Counter(p[0] for i in train for p in follow(i))
-        bucket = {h: interpolation.BUCKETS - 1 if h == "<rare>" else int(math.log2(max(n, 1))) for h, n in before.items()}
-        cells = {}
-        for i in train:
-            for h, w in follow(i):
-                deleted = ((pairs[h, w] - 1) / max(before[h] - 1, 1) if before[h] > 1 else 0.0, (count[w] - 1) / (total - 1))
-                level = interpolation._level(np.array(deleted))
-                cell = (bucket[h] * 256 + int(level[0])) * 256 + int(level[1])
-                n, a, b = cells.get(cell, (0, 0.0, 0.0))
-                cells[cell] = (n + 1, a + deleted[0], b + deleted[1])
-        cell = np.array(sorted(cells))
-        n, a, b = np.array([cells[c] for c in cell]).T
-        weights = interpolation.mixture_weights(cell, n, a / n, b / n, 1 / (size + 1))
-        for i, own in tokens.items():
-            r, score = found[i], 0.0
-            for h, w in follow(i):
-                m = weights[bucket.get(h, 0)]
-                score += math.log10(m[0] * pairs[h, w] / max(before[h], 1) + m[1] * count[w] / total + m[2] / (size + 1))
-            base = sum(math.log10((count[w] + 1) / (total + size + 1)) for w in own)
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), total)
-            assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-6), (contexts, i)
-
-
-def _hashes(seen):
-    import pyarrow as pa
-
-    from rateframe.llm.textops import Words
-
-    known = [w for w in seen if w != "\0"]
-    return known, Words(pa.array([" ".join(known)])).hash
+    expected = brute_force_scores(rows, lambda i: i % 3)
+    for frequent in (5000, 12, 1):
+        found = {r.doc_id: r for r in interpolation.scores(docs, F.col("doc_id") % 3 != 0, frequent=frequent).collect()}
+        assert found.keys() == expected.keys()
+        for i, (n_tokens, n_known, total, base, score) in expected.items():
+            r = found[i]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, total), (frequent, i)
+            assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-6), (frequent, i)
+
+
+def test_query_equals_brute_force(spark, data):
+    rows = [(r.doc_id, r.text, r.held) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held")).collect()]
+    held = {i for i, _, h in rows if h}
+    expected = brute_force_scores([(i, t) for i, t, _ in rows], lambda i: i not in held)
+    found = {r.doc_id: r for r in queries.op4_deleted_interpolation(spark, data).collect()}
+    assert found.keys() == expected.keys()
+    for i, (n_tokens, n_known, total, base, score) in expected.items():
+        r = found[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, n_tokens, n_known, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-6)
+
+
+def test_a_pair_of_all_texts_has_few_entries_in_its_part(monkeypatch):
+    monkeypatch.setattr(interpolation, "HOT_TEXTS", 4)
+    batch = pa.RecordBatch.from_pydict({"t": ["of the of the"] * 900 + ["of the"], "id": list(range(901)), "train": [True] * 901, "pid": [0] * 901})
+    hashes = np.sort(np.append(Words(pa.array(["of the"])).hash, interpolation.END))
+    held = interpolation.Dictionary(hashes, np.array([1801, 1801, 901]), 5000, 3, 5000)
+    dealt = pa.Table.from_batches(interpolation._deal(held, 1, deleted=False)([batch])).to_pylist()
+    entries = {r["kind"]: r["n"] for r in dealt}
+    assert entries[interpolation.ASK_PAIR] == 4 and interpolation.COMMON not in entries
 
 
 def test_probabilities_of_all_words_sum_to_one():
     weights = interpolation.mixture_weights(np.array([5 * 65536 + 3 * 256 + 2]), np.array([10.0]), np.array([0.2]), np.array([0.1]), 0.01)
-    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all()
+    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all() and weights[0][0] == 0
 
 
 def test_scores_of_rows_without_id_and_empty_table(spark):
