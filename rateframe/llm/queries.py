@@ -91,7 +91,14 @@ def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), MAX_TOKENS)
+    """Also ``kept_points``: code points of the longest prefix, in whole units, within the limit."""
+    docs = table(spark, sf_dir, "documents")
+    stored = token_counts.prefix_counts(docs, vocabulary_path())
+    tokens = token_counts.total_tokens()
+    return stored.select(
+        "doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > MAX_TOKENS).alias("over_limit"),
+        token_counts.longest_prefix(MAX_TOKENS).alias("kept_points"),
+    )
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,8 @@ def count_tokens(
 
 
 def prefix_counts(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row per document: ``ends``, the code point at which each unit ends, and ``counts``, the exact
-    number of tokens of the text up to there. Both are empty for a null, empty or blank text. Ids may be
+    """One row per document: ``n_bytes``, its UTF-8 bytes; ``ends``, the code point at which each unit ends, and ``counts``, the exact
+    number of tokens of the text up to there. The lists are empty for a null, empty or blank text. Ids may be
     null or repeated; an empty table gives an empty result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +62,18 @@ def prefix_counts(docs: DataFrame, path: str, text: str = "text", id_column: str
                 before = np.concatenate([[0], counts])[cuts[:-1]]
                 arrays = (points[end] - points[offsets[row]], counts - before[row])
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(a, pa.int64())) for a in arrays]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *lists], ["doc_id", "ends", "counts"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(np.diff(offsets), pa.int64()), *lists], ["doc_id", "n_bytes", "ends", "counts"]
+                )
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    return map_batches(rows, count, f"doc_id {kind}, ends array<long>, counts array<long>")
+    return map_batches(rows, count, f"doc_id {kind}, n_bytes long, ends array<long>, counts array<long>")
+
+
+def total_tokens(counts: str = "counts") -> Column:
+    """Tokens of the whole text: the last prefix count."""
+    return F.coalesce(F.get(counts, F.size(counts) - 1), F.lit(0).cast("long"))
 
 
 def longest_prefix(budget: int, ends: str = "ends", counts: str = "counts") -> Column:

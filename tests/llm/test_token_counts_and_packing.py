@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rateframe.llm import encoding, packing, token_counts
+from rateframe.llm import encoding, packing, queries, token_counts
 from tests.llm.helpers import prose, table
 
 PATH = encoding.vocabulary_path()
@@ -41,6 +41,18 @@ def test_every_prefix_count_equals_encoding_the_prefix(spark):
         assert row.cut == max([e for e, c in zip(row.ends, row.counts) if c <= 7], default=0)
 
 
+def test_query_answers_from_stored_prefixes(spark, data):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    rows = queries.op10_prefix_token_counts(spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), size(text), size(text) > queries.MAX_TOKENS)
+        assert size(text[: r.kept_points]) <= queries.MAX_TOKENS and (r.over_limit or r.kept_points == len(text.rstrip()))
+
+
 def test_tokens_until_a_point(spark):
     counts = token_counts.prefix_counts(table(spark, [(1, "one two three")]), PATH)
     assert [counts.select(token_counts.tokens_until(p)).first()[0] for p in (0, 3, 4, 13)] == [0, 1, 1, 3]
