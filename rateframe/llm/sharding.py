@@ -17,11 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rateframe.llm.textops import own_names, unpacked
 from rateframe.session import materialize
 
 HASH_BITS = 60
 MORE_BITS = 6
 SLACK_BITS = 3
+ADDED = ("bytes", "shard", "depth", "page")
 
 
 def key_hash(columns: Sequence[Column]) -> Column:
@@ -88,17 +90,13 @@ def shards(docs: DataFrame, key: Sequence[str], size: Column, limit: int) -> Dat
 
     Rows of one (shard, page) have at most ``limit`` bytes together, except that a row larger than the limit
     has a page of its own. A null size counts as 0; null keys are one key. An empty table gives no rows.
-    Columns of ``docs`` stay; names that this operator adds are refused.
+    Columns of ``docs`` stay; one with the name of an added column is called ``own_`` and that name.
     """
-    taken = {"bytes", "shard", "depth", "page", "cell", "hash_key", "hash_row"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are taken")
-    columns = docs.columns
     rows = docs.select(
-        "*",
+        F.struct("*").alias("row"),
         F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"),
         key_hash([F.col(c) for c in key]).alias("hash_key"),
-        key_hash([F.col(c) for c in columns]).alias("hash_row"),
+        key_hash([F.col(c) for c in docs.columns]).alias("hash_row"),
     )
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(1, (total // limit)).bit_length() + SLACK_BITS)
@@ -107,6 +105,7 @@ def shards(docs: DataFrame, key: Sequence[str], size: Column, limit: int) -> Dat
     # Only buckets of one key can still be over the limit.
     sums = placed.groupBy("bucket").agg(F.sum("bytes").alias("sum"))
     large = materialize(sums.filter(F.col("sum") > limit).select("bucket", "sum"), "large-buckets")
+    columns = unpacked("row", own_names(docs.columns, ADDED))
     result = [*columns, "bytes", F.col("bucket").alias("shard"), "depth", F.lit(0).cast("long").alias("page")]
     if large.isEmpty():
         return placed.select(*result)
@@ -121,7 +120,7 @@ def shards(docs: DataFrame, key: Sequence[str], size: Column, limit: int) -> Dat
     equal = materialize(sums.filter(F.col("sum") > limit).select("shard"), "equal-buckets")
     single = below.join(equal, "shard", "left_anti").withColumn("page", F.lit(0).cast("long"))
     paged = _pages(below.join(equal, "shard", "left_semi"), ["shard"], limit)
-    names = [*columns, "bytes", "shard", "depth", "page"]
+    names = [*columns, *ADDED]
     return fitting.unionByName(single.select(*names)).unionByName(paged.select(*names))
 
 

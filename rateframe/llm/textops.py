@@ -128,6 +128,23 @@ def remainder(doc_id: Column | str, divisor: int) -> Column:
     return (F.crc32(column.cast("string").cast("binary")) % divisor).cast("int")
 
 
+def own_names(columns: list[str], added: tuple[str, ...]) -> dict[str, str]:
+    """The name under which each column stays beside ``added``: one that clashes gets ``own_`` in front, until it is free."""
+    given, known = {c.lower() for c in columns}, {a.lower() for a in added}
+    names = {}
+    for column in columns:
+        name = column
+        while name.lower() in known or (name != column and name.lower() in given):
+            name = f"own_{name}"
+        names[column] = name
+    return names
+
+
+def unpacked(row: str, names: dict[str, str]) -> list[Column]:
+    """The fields of a struct column as columns of these names."""
+    return [F.col(row).getField(c).alias(name) for c, name in names.items()]
+
+
 def empty_if_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -75,8 +75,12 @@ def test_shards_of_little_and_nothing(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
     assert {(r.shard, r.depth, r.page) for r in sharding.shards(docs, ["doc_id"], F.octet_length("text"), 10).collect()} == {("", 0, 0)}
     assert sharding.shards(docs.limit(0), ["doc_id"], F.octet_length("text"), 10).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shards(docs.withColumn("page", F.lit(1)), ["doc_id"], F.octet_length("text"), 10)
+    for name in ("page", "bucket", "sum", "partition", "base", "cell", "hash_key", "row"):
+        docs = docs.withColumn(name, F.lit(name))
+    for limit in (10, 1):
+        found = sharding.shards(docs, ["doc_id"], F.octet_length("text"), limit)
+        assert found.columns == [c if c != "page" else "own_page" for c in docs.columns] + ["bytes", "shard", "depth", "page"]
+        assert {(r.own_page, r.bucket, r["sum"], r.partition, r.base) for r in found.collect()} == {("page", "bucket", "sum", "partition", "base")}
 
 
 def test_written_shards_read_back(spark, tmp_path):
