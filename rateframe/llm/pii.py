@@ -7,6 +7,9 @@ Votes are counted by pattern over the whole table. Expectation-maximisation on t
 reliable each labeler is and how likely each pattern is right; a logistic classifier is then trained on the
 expected labels and decides on the candidates that are no base spans.
 
+A text is handled in pieces that end where no span can go on, so the work grows with its length, not with
+its square; only a run without such a place (digits and spaces, say) stays one piece however long.
+
 Text positions are code points. Repeated groups would recurse in the regex engine on long texts. So the dots of
 domains and the separators inside digit runs are first replaced by one mark, which keeps all positions,
 and the patterns are runs of single characters.
@@ -14,6 +17,7 @@ and the patterns are runs of single characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
@@ -21,11 +25,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rateframe.llm.textops import collect_bounded
+from rateframe.llm.textops import collect_bounded, own_names, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 MARK = "\ue000"  # private use; where a text has it, another private character stands in
 CONTEXT = 32
+PIECE = 4000
+# A character of no pattern, or a space that no pattern goes across.
+_CUT = "(?:[^A-Za-z0-9\\u00C0-\\u024F._%+@ ()\\[\\]-]|[A-Za-z] (?=[A-Za-z0-9+])|[0-9] (?=[A-Za-z+]))"
 EM_ROUNDS = 100
 START_SHARE = 0.4
 _NEAR_LETTER = "[A-Za-z0-9_\\u00C0-\\u024F]"
@@ -51,9 +58,35 @@ def _empty() -> Column:
     return F.expr("CAST(array() AS array<struct<start: int, stop: int, found: string>>)")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of at least PIECE code points (the last one of any length), each with its place and
+    the characters before it. They end where every pattern of this module has to stop."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{{PIECE}}}.*?{_CUT}|.+"), F.lit(0))
+
+    def placed(own: Column) -> Column:
+        sums = F.aggregate(
+            own, F.array(F.lit(0)), lambda done, piece: F.concat(done, F.array(F.element_at(done, -1) + F.length(piece)))
+        )
+        before = lambda i: F.coalesce(F.right(F.get(own, i - 1), F.lit(CONTEXT)), F.lit(""))
+        return _once(
+            sums, lambda at: F.transform(own, lambda p, i: F.struct(F.get(at, i).alias("at"), before(i).alias("before"), p.alias("own")))
+        )
+
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), text.alias("own")))
+    return F.when(F.length(text) <= PIECE, whole).otherwise(_once(cut, placed))
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """All matches with begin and end, by adding up the pieces between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """All matches with begin and end, by adding up the text between them."""
+    return _once(text, lambda t: _once(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: _summed(t, pattern, found)))
+
+
+def _summed(text: Column, pattern: str, found: Column) -> Column:
     pieces = F.zip_with(found, F.split(text, pattern), lambda m, piece: F.struct(m.alias("m"), piece.alias("piece")))
     start = F.struct(F.lit(0).alias("at"), _empty().alias("spans"))
 
@@ -150,10 +183,12 @@ def _gazetteer(kind: str, found: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
 
-def _candidate(kind: str, order: int, text: Column, exact: Column, span: Column) -> Column:
-    first = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.lower(F.substring(text, first + 1, span["start"] - first))
-    after = F.substring(text, span["stop"] + 1, F.lit(1))
+def _candidate(kind: str, order: int, wide: Column, lead: Column, exact: Column, span: Column) -> Column:
+    """The span with its votes. ``wide`` is its piece with the ``lead`` characters before it."""
+    begin = span["start"] + lead
+    first = F.greatest(begin - CONTEXT, F.lit(0))
+    before = F.lower(F.substring(wide, first + 1, begin - first))
+    after = F.substring(wide, span["stop"] + lead + 1, F.lit(1))
     glued = before.rlike(f"{_NEAR_LETTER}$") | after.rlike(f"^{_NEAR_LETTER}")
     return F.struct(
         span["start"].alias("start"),
@@ -169,29 +204,37 @@ def _candidate(kind: str, order: int, text: Column, exact: Column, span: Column)
     )
 
 
-def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``candidates``: base spans and the looser ones that overlap none of them, with votes."""
-    clean = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, "\ue001")
-    for name in ("pii_text", "pii_base", "pii_loose", "candidates"):
-        if name in docs.columns:
-            raise ValueError(f"column {name} is taken")
-    frame = docs.withColumn("pii_text", clean)
-    base, loose = base_spans(F.col("pii_text")), loose_spans(F.col("pii_text"))
-    frame = frame.withColumn("pii_base", F.struct(*[base[k].alias(k) for k in KINDS]))
-    frame = frame.withColumn("pii_loose", F.struct(*[loose[k].alias(k) for k in KINDS]))
-    every = []
-    for order, kind in enumerate(KINDS):
-        voted = partial(_candidate, kind, order, F.col("pii_text"))
-        every.append(F.transform(F.col(f"pii_base.{kind}"), partial(voted, F.lit(True))))
-        other = F.filter(
-            F.col(f"pii_loose.{kind}"),
-            lambda s: ~F.exists(
-                F.concat(*[F.col(f"pii_base.{k}") for k in KINDS]),
-                lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]),
-            ),
-        )
-        every.append(F.transform(other, partial(voted, F.lit(False))))
-    return frame.withColumn("candidates", F.array_sort(F.concat(*every))).drop("pii_text", "pii_base", "pii_loose")
+def _with_votes(text: Column, wide: Column, lead: Column) -> Column:
+    """Base spans of one piece, and the looser ones that overlap none of them, in order."""
+
+    def voted(base: Column, loose: Column) -> Column:
+        every = []
+        for order, kind in enumerate(KINDS):
+            vote = partial(_candidate, kind, order, wide, lead)
+            every.append(F.transform(base[kind], partial(vote, F.lit(True))))
+            apart = F.filter(
+                loose[kind],
+                lambda s: ~F.exists(F.concat(*[base[k] for k in KINDS]), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
+            )
+            every.append(F.transform(apart, partial(vote, F.lit(False))))
+        return F.array_sort(F.concat(*every))
+
+    def kinds(spans: dict[str, Column]) -> Column:
+        return F.struct(*[spans[k].alias(k) for k in KINDS])
+
+    return _once(kinds(base_spans(text)), lambda base: _once(kinds(loose_spans(text)), lambda loose: voted(base, loose)))
+
+
+def pieces_with_candidates(text: Column) -> Column:
+    """The pieces of a text (null: none), each with ``at``, its ``own`` text and ``candidates`` placed within it."""
+
+    def filled(piece: Column) -> Column:
+        wide = F.translate(F.concat(piece["before"], piece["own"]), MARK, "\ue001")
+        own = F.translate(piece["own"], MARK, "\ue001")
+        found = _once(own, lambda t: _once(wide, lambda w: _with_votes(t, w, F.length(piece["before"]))))
+        return F.struct(piece["at"].alias("at"), piece["own"].alias("own"), found.alias("candidates"))
+
+    return F.transform(_pieces(F.coalesce(text, F.lit(""))), filled)
 
 
 # --- aggregation and classifier ---------------------------------------------------
@@ -246,10 +289,11 @@ def fit_logistic(x: np.ndarray, label: np.ndarray, counts: np.ndarray, ridge: fl
     return w
 
 
-def train(found: DataFrame) -> SpanModel:
-    """Labeler accuracies and the span classifier, from the ``candidates`` of all rows. Only the number of
+def train(docs: DataFrame, text: str = "text") -> SpanModel:
+    """Labeler accuracies and the span classifier, from the candidates of all rows. Only the number of
     candidates of each kind and vote pattern is collected. Without candidates the classifier says no."""
-    one = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.base", *[f"c.{name}" for name in LABELERS])
+    pieces = docs.select(F.explode(pieces_with_candidates(F.col(text))).alias("piece"))
+    one = pieces.select(F.explode("piece.candidates").alias("c")).select("c.kind", "c.base", *[f"c.{name}" for name in LABELERS])
     bound = 2 * len(KINDS) * 3 ** len(LABELERS)
     patterns = collect_bounded(one.groupBy("kind", "base", *LABELERS).count(), bound).to_pandas()
     if not len(patterns):
@@ -264,20 +308,34 @@ def train(found: DataFrame) -> SpanModel:
     return SpanModel(accuracy, fit_logistic(features, right, 10 * np.log1p(counts)))  # rare patterns count too
 
 
+def _accepted(model: SpanModel, candidates: Column) -> Column:
+    return F.filter(candidates, lambda c: F.when(c["base"], True).otherwise(model.probability(c) >= 0.5))
+
+
 def personal_data(docs: DataFrame, text: str = "text", model: SpanModel | None = None) -> DataFrame:
     """``docs`` with ``spans``: array of (start, order, stop, kind, base), by start and kind.
 
     A null text counts as empty and has no spans. Rows are handled each by itself, whatever their ids. An
-    empty table gives an empty result. Columns of ``docs`` stay; names that this operator adds are refused.
+    empty table gives an empty result. Columns of ``docs`` stay; one called ``spans`` becomes ``own_spans``.
     """
-    if "spans" in docs.columns:
-        raise ValueError("column spans is taken")
-    found = with_candidates(docs, text)
-    chosen = model or train(with_candidates(docs.select(text), text))
-    accepted = F.filter("candidates", lambda c: F.when(c["base"], True).otherwise(chosen.probability(c) >= 0.5))
-    fields = ("start", "order", "stop", "kind", "base")
-    kept = F.transform(accepted, lambda c: F.struct(*[c[f].alias(f) for f in fields]))
-    return found.withColumn("spans", kept).drop("candidates")
+    chosen = model or train(docs, text)
+
+    def moved(piece: Column) -> Column:
+        fields = lambda c: [(c["start"] + piece["at"]).alias("start"), c["order"].alias("order"), (c["stop"] + piece["at"]).alias("stop")]
+        return F.transform(
+            _accepted(chosen, piece["candidates"]), lambda c: F.struct(*fields(c), c["kind"].alias("kind"), c["base"].alias("base"))
+        )
+
+    spans = F.flatten(F.transform(pieces_with_candidates(F.col(text)), moved))
+    packed = docs.select(F.struct("*").alias("row"), spans.alias("spans"))
+    return packed.select(*unpacked("row", own_names(docs.columns, ("spans",))), "spans")
+
+
+def masked_text(text: Column, model: SpanModel) -> Column:
+    """The text with every accepted span, overlapping ones together, replaced by its kind in square brackets.
+    Null stays null."""
+    parts = F.transform(pieces_with_candidates(text), lambda p: _once(_accepted(model, p["candidates"]), lambda s: masked(p["own"], s)))
+    return F.when(text.isNotNull(), F.array_join(parts, ""))
 
 
 def listed(spans: Column) -> Column:

@@ -1,7 +1,8 @@
 import hashlib
+import random
 import re
+import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from rateframe.llm import pii
@@ -69,6 +70,38 @@ def test_expectation_maximisation_finds_the_unreliable_labeler():
     assert np.abs(accuracy - right).max() < 0.04 and ((found > 0.5) == truth).mean() > 0.95
 
 
+def test_pieces_cut_no_span(spark, monkeypatch):
+    draw = random.Random(7)
+    bits = ["a@b.cc", "1.2.3.4", "+1 (456) 555-2186", "4111 1111 1111 1111", "joe [at] mail [dot] com", "456-555-2186", "call", "é", ",", "\n", " ", "x", "7", "+", ".", "-"]
+    texts = ["".join(draw.choice(bits) + draw.choice(["", "", " "]) for _ in range(60)) for _ in range(150)]
+    docs = table(spark, list(enumerate(texts)))
+    model = pii.train(docs)
+    text = F.col("text")
+
+    def seen(size):
+        monkeypatch.setattr(pii, "PIECE", size)
+        found = pii.personal_data(docs, model=model)
+        rows = found.select("doc_id", F.to_json("spans"), pii.listed(F.filter("spans", lambda s: s["base"])), pii.masked_text(text, model), pii.masked(text, F.col("spans")))
+        return {tuple(r) for r in rows.collect()}, docs.select(F.sum(F.size(pii._pieces(text)))).first()[0]
+
+    (whole, one), (cut, many) = seen(10_000), seen(5)
+    assert whole == cut and one == len(texts) and many > 10 * len(texts)
+    for doc_id, _, spans, masked, by_spans in cut:
+        assert spans == base(texts[doc_id]) and masked == by_spans
+
+
+def test_time_grows_with_the_number_of_spans(spark):
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i}.com" for i in range(n))
+        docs, begin = table(spark, [(1, text)]), time.time()
+        row = pii.personal_data(docs).select(F.size("spans").alias("n"), F.length(pii.masked_text(F.col("text"), pii.train(docs))).alias("m")).first()
+        assert (row.n, row.m) == (n, 8 * n - 1)
+        return time.time() - begin
+
+    seconds(10)
+    assert seconds(40_000) < 60
+
+
 def test_masking(spark):
     rows = [(1, "é a@b.cc, +1 (456) 555-2186!"), (2, None), (3, "plain"), (4, "1.2.3.4.5@x.yy end")]
     found = pii.personal_data(table(spark, rows))
@@ -80,8 +113,10 @@ def test_repeated_rows_empty_tables_and_taken_names(spark):
     rows = [(None, "a@b.cc"), (None, "a@b.cc"), (1, "a@b.cc"), (1, "a@b.cc")]
     assert [len(r.spans) for r in pii.personal_data(table(spark, rows)).collect()] == [1, 1, 1, 1]
     assert pii.personal_data(table(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        pii.personal_data(table(spark, rows).withColumn("spans", F.lit(1)))
+    odd = table(spark, rows).select("*", *[F.lit(1).alias(c) for c in ("spans", "candidates", "pii_text", "at", "own", "a.b")])
+    found = pii.personal_data(odd)
+    assert found.columns == [*table(spark, rows).columns, "own_spans", "candidates", "pii_text", "at", "own", "a.b", "spans"]
+    assert all(len(r.spans) == 1 and r.own_spans == 1 for r in found.collect())
 
 
 def test_no_python_in_the_plan(spark, data):
