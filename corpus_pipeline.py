@@ -35,9 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind in brackets in place of personal data, and n_chars to match. Nulls stay."""
-    found = pii.personal_data(docs)
-    text = F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col("spans")))
-    result = found.withColumn("text", text).drop("spans")
+    result = docs.withColumn("text", pii.masked_text(F.col("text"), pii.train(docs)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
