@@ -46,7 +46,7 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """Benchmark items of one pass: shingles, fingerprints by length, and their blocks."""
 
-    def __init__(self, item_ids: list[int], texts: list[str]):
+    def __init__(self, item_ids: list[int | None], texts: list[str]):
         words = Words(pa.array(texts, pa.string()))
         self.item_id, self.shingles, self.weights = item_ids, [], []
         by_length: dict[int, list[int]] = {}
@@ -170,9 +170,9 @@ def _search(index: ItemIndex, threshold: float):
 
 
 def _item_passes(benchmark: DataFrame, items_per_pass: int) -> Iterator[ItemIndex]:
-    """Indexes of the distinct items that have an id and a text, a bounded number in each."""
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
-    ids: list[int] = []
+    """Indexes of the distinct items that have a text, a bounded number in each."""
+    items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+    ids: list[int | None] = []
     texts: list[str] = []
     for item in items.orderBy("item_id", "text").toLocalIterator():
         if len(ids) == items_per_pass:
@@ -180,7 +180,7 @@ def _item_passes(benchmark: DataFrame, items_per_pass: int) -> Iterator[ItemInde
             ids, texts = [], []
         ids.append(item.item_id)
         texts.append(item.text)
-    if ids:
+    if texts:
         yield ItemIndex(ids, texts)
 
 
@@ -196,8 +196,8 @@ def contaminated(
     several) by its first word, its number of words, and the similarity, at least ``threshold``.
 
     An item of fewer than five words is one shingle; a text shorter than an item is one window. Null, empty
-    and wordless texts or items match nothing, and items without id are not searched. Repeated rows
-    match each by itself. A benchmark of any size is searched in passes of ``items_per_pass`` items.
+    and wordless texts or items match nothing. Items without id are searched like others, and each different
+    text among them has rows of its own with a null item_id. Repeated rows match each by itself. A benchmark of any size is searched in passes of ``items_per_pass`` items.
     An empty table on either side gives no rows; other columns are not read.
     """
     kind = docs.schema[id_column].dataType.simpleString()

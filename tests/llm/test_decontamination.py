@@ -29,10 +29,12 @@ def test_matches_equal_brute_force(spark):
     for k, (_, item) in enumerate(items * 4):
         docs.append((10 + k, prose(500 + k, 40) + "\n" + changed(item.strip(), k // len(items), k).upper() + " " + prose(600 + k, 30)))
     docs += [(100, items[5][1]), (101, " ".join(items[5][1].split()[:50])), (102, "a b " * 40), (103, items[6][1])]
-    benchmark = spark.createDataFrame([*items, (30, None), (31, ""), (None, prose(77, 30)), items[0]], "item_id long, text string")
+    items.append((None, prose(77, 30)))
+    benchmark = spark.createDataFrame([*items, (30, None), (31, ""), (None, None), items[-1], items[0]], "item_id long, text string")
     for per_pass in (4, 1000):
         found = d.contaminated(table(spark, docs, extra=True), benchmark, items_per_pass=per_pass).collect()
         assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == {k: round(v, 9) for k, v in brute_force(docs, items).items()}
+    assert {(r.doc_id, r.item_id) for r in found} >= {(3, None)}
     texts = dict(docs)
     for r in found:
         window = words(texts[r.doc_id])[r.first_word : r.first_word + r.n_words]
