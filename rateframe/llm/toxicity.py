@@ -42,6 +42,7 @@ FLOOR = 5.0  # how far below the threshold a text without any unit is
 LONGEST_UNIT = 16
 SAMPLED = {0: 2000, 1: 1000}  # labelled documents that a model is fitted on, at most
 REMEMBERED_UNITS = 1 << 20
+MATRIX_ROWS = 256  # a matrix has a column for each of up to 816 subsequences
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _DROPPED = re.compile(r"[\W_]+")
 _TRIPLES = {
@@ -91,8 +92,8 @@ def _matrices(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, s in enumerate(strings):
         by_length.setdefault(len(s), []).append(i)
     for places in by_length.values():
-        for first in range(0, len(places), 4096):
-            part = places[first : first + 4096]
+        for first in range(0, len(places), MATRIX_ROWS):
+            part = places[first : first + MATRIX_ROWS]
             joined = "".join(strings[i] for i in part).encode("utf-32-le", "surrogatepass")
             yield np.array(part), np.frombuffer(joined, dtype="<u4").reshape(len(part), -1)
 
@@ -347,27 +348,32 @@ def _split(low: np.ndarray, high: np.ndarray) -> float:
 # --- documents ------------------------------------------------------------------
 
 class Scorer:
-    """Probabilities of text columns. Values of words seen before are remembered, up to a bound."""
+    """Probabilities of text columns. Values of words seen before are remembered, up to a bound: 16 bytes a word."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[int, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.values = np.zeros(0, dtype="uint64"), np.zeros(0)  # by rising hash
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         model, words = self.model, Words(column)
         hashes, example, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED_UNITS:
-            self.known, missing = {}, list(range(len(keys)))
-        units = [unit_of(words.word(example[i])) for i in missing]
+        new = ~np.isin(hashes, self.known, assume_unique=True)
+        if len(self.known) + new.sum() > REMEMBERED_UNITS:
+            self.forget()
+            new[:] = True
+        units = [unit_of(words.word(i)) for i in example[new]]
         values = np.full(len(units), model.threshold - FLOOR)
         filled = [i for i, u in enumerate(units) if u]
         if model.alphabet:
             values[filled] = model.units([units[i] for i in filled])
-        self.known.update(zip((keys[i] for i in missing), values.tolist()))
+        known = np.concatenate([self.known, hashes[new]])
+        order = np.argsort(known, kind="stable")
+        self.known, self.values = known[order], np.concatenate([self.values, values])[order]
         worst = np.full(len(column), model.threshold - FLOOR)
-        np.maximum.at(worst, words.row, np.array([self.known[k] for k in keys])[which] if keys else np.zeros(0))
+        np.maximum.at(worst, words.row, self.values[np.searchsorted(self.known, hashes)][which])
         if model.alphabet:
             for row, unit in _spelled(words):
                 worst[row] = max(worst[row], model.units([unit])[0])

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rateframe.llm import interpolation, language, queries, toxicity
+from rateframe.llm import interpolation, language, queries, textops, toxicity
 from rateframe.llm.textops import Words, remainder
 from tests.llm.helpers import prose, table, words
 
@@ -173,3 +173,29 @@ def test_language_of_nothing_learned(spark):
     assert language.languages(table(spark, []), None).count() == 0
     one = language.fit(["abc def", "abc"], ["en", "en"])
     assert language.languages(table(spark, [(1, "abc")]), one).first().lang_pred == "en"
+
+
+def test_remembered_words_take_16_bytes_each_and_change_no_score(monkeypatch):
+    texts = [prose(i, 300, 3000) + (" zorgblat" if i % 4 == 0 else "") for i in range(80)]
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(80)])
+    column = pa.array([*texts, None, "", "... !"])
+    whole = toxicity.Scorer(model)
+    expected = whole(column)
+    assert np.array_equal(whole(column), expected)
+    assert len(whole.known) > 2000
+    assert whole.known.nbytes + whole.values.nbytes == 16 * len(whole.known)
+    monkeypatch.setattr(toxicity, "REMEMBERED_UNITS", 500)
+    small = toxicity.Scorer(model)
+    parts = [small(column.slice(i, 7)) for i in range(0, len(column), 7)]
+    assert np.array_equal(np.concatenate(parts), expected)
+
+
+def test_texts_travel_in_batches_of_bounded_rows(spark):
+    spark.conf.set(textops.BATCH_CONF, "10000")
+    rows = spark.range(3000).coalesce(1).selectExpr("id as doc_id", "'a b' as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    assert max(r.n for r in textops.map_batches(rows, sizes, "n long").collect()) <= textops.BATCH_ROWS
