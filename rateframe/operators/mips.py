@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rateframe.functions.expressions import vector_problem
+from rateframe.operators.vectors import at_least_kth
 from rateframe.session import materialize
 
 BLOCK_ITEMS = 4096
@@ -97,8 +98,7 @@ def _best_in_block(k: int) -> Callable:
             user_ids, keep = users["userId"].to_numpy(), min(k, len(ids))
             for start in range(0, len(asked), 512):
                 score = asked[start : start + 512] @ items.T
-                kth = np.partition(score, -keep, axis=1)[:, -keep]
-                row, column = np.nonzero(score >= kth[:, None])
+                row, column = at_least_kth(score, keep)
                 value = score[row, column]
                 ranked = np.lexsort((column, -value, row))
                 row, column, value = row[ranked], column[ranked], value[ranked]

@@ -6,16 +6,20 @@ each pair of blocks is one Spark group, and a group hands back only the k neares
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rateframe.fixed_values import FLOAT_BYTES, VECTOR_KEY_PREFIX
 from rateframe.functions.expressions import vector_problem, weighted_score
 
-BLOCK_ROWS = 16384
+LEAST_BLOCKS = 8
+SMALL_BLOCK = 4096
+BLOCK_NUMBERS = 1 << 22  # in the vectors of a block
+CHUNK_CELLS = 1 << 20
 COSINE_DIGITS = 9
+NEAREST = "queryId int, itemId int, cosine double"
 
 
 # --- factor tables ------------------------------------------------------------
@@ -97,107 +101,174 @@ def vector_validation(factors: DataFrame, id_column: str = "itemId") -> DataFram
 
 # --- exact search ---------------------------------------------------------------
 
+def _shares_of(rows: int, items: int) -> Iterator[slice]:
+    """Slices of ``rows`` that meet ``items`` in a matrix of bounded size."""
+    step = max(1, CHUNK_CELLS // max(items, 1))
+    return (slice(first, first + step) for first in range(0, rows, step))
+
+
+def at_least_kth(scores, keep: int, slack: float = 0.0):
+    """(row, column) of all scores that can be among the ``keep`` best of their row, and maybe more.
+
+    The kth best of the maxima of parts of a row is no better than the kth best of the row, and found in one pass.
+    """
+    import numpy as np
+
+    rows, n = scores.shape
+    parts = max(keep, min(n, 256))
+    width = n // parts
+    tops = scores[:, : parts * width].reshape(rows, parts, width).max(axis=2)
+    return np.nonzero(scores >= np.partition(tops, -keep, axis=1)[:, -keep][:, None] - slack)
+
+
+def _units(table):
+    """Vectors of a table as rows of length 1; a vector of zeros stays."""
+    import numpy as np
+
+    flat = table["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    rows = flat.reshape(table.num_rows, -1).astype("float64")
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    rows /= np.where(norm == 0.0, 1.0, norm)[:, None]
+    return rows
+
+
 def _nearest_in_block(k: int, digits: int) -> Callable:
+    """Nearest items of a block of queries in a block of items: of all of them or, where queries have ``lists`` and items a
+    ``list``, of those in the lists that a query looks into."""
+
     def nearest(queries, candidates):
         import numpy as np
         import pyarrow as pa
 
-        def unit(table):
-            flat = table["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            rows = flat.astype("float64").reshape(table.num_rows, -1)
-            norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-            return rows / np.where(norm == 0.0, 1.0, norm)[:, None]
-
         ids = {"queryId": [], "itemId": [], "cosine": []}
-        if queries.num_rows and candidates.num_rows:
-            candidates = candidates.sort_by("itemId")
-            item_ids = candidates["itemId"].to_numpy()
-            query_ids = queries["queryId"].to_numpy()
-            items, asked = unit(candidates), unit(queries)
+
+        def keep_best(query_ids, asked, item_ids, items):
             keep = min(k, len(item_ids))
-            for start in range(0, len(asked), 256):
-                cosine = np.round(asked[start:start + 256] @ items.T, digits)
-                kth = np.partition(cosine, -keep, axis=1)[:, -keep]
-                row, column = np.nonzero(cosine >= kth[:, None])
-                value = cosine[row, column]
+            for part in _shares_of(len(asked), len(item_ids)):
+                cosine = asked[part] @ items.T
+                # Wide enough that rounding cannot lift a cosine past the kth.
+                row, column = at_least_kth(cosine, keep, 2 * 10.0**-digits)
+                value = np.round(cosine[row, column], digits)
                 order = np.lexsort((column, -value, row))
                 row, column, value = row[order], column[order], value[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                first = rank < keep
-                ids["queryId"].append(query_ids[start + row[first]])
+                first = np.arange(len(row)) - np.searchsorted(row, row) < keep
+                ids["queryId"].append(query_ids[part][row[first]])
                 ids["itemId"].append(item_ids[column[first]])
                 ids["cosine"].append(value[first])
+
+        if queries.num_rows and candidates.num_rows:
+            item_ids, query_ids = candidates["itemId"].to_numpy(), queries["queryId"].to_numpy()
+            items, asked = _units(candidates), _units(queries)
+            if "lists" not in queries.column_names:
+                order = np.argsort(item_ids, kind="stable")
+                keep_best(query_ids, asked, item_ids[order], items[order])
+            else:
+                list_of = candidates["list"].to_numpy()
+                order = np.lexsort((item_ids, list_of))
+                list_of, item_ids, items = list_of[order], item_ids[order], items[order]
+                wanted = queries["lists"].combine_chunks()
+                looked = wanted.flatten().to_numpy()
+                asker = np.repeat(np.arange(len(asked)), wanted.value_lengths().to_numpy())
+                by_list = np.argsort(looked, kind="stable")
+                looked, asker = looked[by_list], asker[by_list]
+                for at in np.unique(list_of):
+                    mine = slice(*np.searchsorted(list_of, [at, at + 1]))
+                    who = asker[slice(*np.searchsorted(looked, [at, at + 1]))]
+                    if len(who):
+                        keep_best(query_ids[who], asked[who], item_ids[mine], items[mine])
         kinds = {"queryId": "int32", "itemId": "int32", "cosine": "float64"}
-        return pa.table({
+        found = {
             name: np.concatenate(parts).astype(kinds[name]) if parts else np.array([], dtype=kinds[name])
             for name, parts in ids.items()
-        })
+        }
+        if "lists" in queries.column_names:
+            found = _best_of_lists(found, k)
+        return pa.table(found)
 
     return nearest
 
 
-def _blocks(sizes: DataFrame, block_rows: int, name: str) -> DataFrame:
-    return sizes.withColumn(name, F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
+def _best_of_lists(found: dict, k: int) -> dict:
+    """The k best items of each query, each once with its best cosine."""
+    import numpy as np
 
+    def cut(order, places):
+        return {name: values[order][places] for name, values in found.items()}
 
-def blocked_nearest(
-    queries: DataFrame,
-    candidates: DataFrame,
-    k: int,
-    groups: tuple[str, ...] = (),
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """The k nearest candidates by cosine for every query of the same group and dimension.
+    order = np.lexsort((-found["cosine"], found["itemId"], found["queryId"]))
+    q, i = found["queryId"][order], found["itemId"][order]
+    found = cut(order, np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])[: len(q)])
+    order = np.lexsort((found["itemId"], -found["cosine"], found["queryId"]))
+    q = found["queryId"][order]
+    return cut(order, np.arange(len(q)) - np.searchsorted(q, q) < k)
+
+
+def block_count(n: Column, dimension: Column, block_rows: int | None) -> Column:
+    """Blocks that n vectors are dealt to. Without ``block_rows`` there are LEAST_BLOCKS, so that what is sent grows with n and
+    not with its square; fewer for few vectors, and more once a block would pass BLOCK_NUMBERS."""
+    if block_rows is not None:
+        return F.ceil(n / block_rows).cast("int")
+    most = F.greatest(F.lit(256), F.lit(BLOCK_NUMBERS) / dimension)
+    return F.greatest(F.ceil(n / most), F.least(F.lit(LEAST_BLOCKS), F.ceil(n / SMALL_BLOCK))).cast("int")
+
+
+def _blocks(sizes: DataFrame, block_rows: int | None, name: str) -> DataFrame:
+    return sizes.withColumn(name, block_count(F.col("n"), F.col("dimension"), block_rows)).drop("n")
+
+
+def nearest_first(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each query, with their rank: by cosine and then itemId."""
+    order = Window.partitionBy("queryId").orderBy(F.desc("cosine"), "itemId")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def blocked_nearest(queries: DataFrame, candidates: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
+    """The k nearest candidates by cosine for every query of the same dimension.
 
     ``queries`` has queryId and features, ``candidates`` itemId and features. Blocks are dealt by a
-    hash of the id, so a group that holds most vectors becomes many blocks of bounded size. The
-    order is cosine (to 9 digits) and then itemId, in blocks and overall, so the result is exact.
+    hash of the id. The order is cosine (to 9 digits) and then itemId, in blocks and overall, so the result is exact.
     """
-    key = [*groups, "dimension"]
 
     def usable(df: DataFrame) -> DataFrame:
         return df.filter(vector_problem("features").isNull()).withColumn("dimension", F.size("features"))
 
     asked, offered = usable(queries), usable(candidates)
-    asked_sizes = _blocks(asked.groupBy(*key).agg(F.count("*").alias("n")), block_rows, "queryBlocks")
-    offered_sizes = _blocks(offered.groupBy(*key).agg(F.count("*").alias("n")), block_rows, "itemBlocks")
-    sizes = asked_sizes.join(offered_sizes, key)
-    if not groups:
-        # One small row per vector dimension, so never more rows than the longest vector has numbers. Joined by shuffle, it
-        # would send all vectors of one dimension to one task.
-        sizes = F.broadcast(sizes)
-    pair = [*key, "queryBlock", "itemBlock"]
+    asked_sizes = _blocks(asked.groupBy("dimension").agg(F.count("*").alias("n")), block_rows, "queryBlocks")
+    offered_sizes = _blocks(offered.groupBy("dimension").agg(F.count("*").alias("n")), block_rows, "itemBlocks")
+    # One small row per vector dimension, so never more rows than the longest vector has numbers. Joined by shuffle, it
+    # would send all vectors of one dimension to one task.
+    sizes = F.broadcast(asked_sizes.join(offered_sizes, "dimension"))
+    pair = ["dimension", "queryBlock", "itemBlock"]
     dealt = (
-        asked.join(sizes, key)
+        asked.join(sizes, "dimension")
         .withColumn("queryBlock", F.pmod(F.xxhash64("queryId"), F.col("queryBlocks")).cast("int"))
         .withColumn("itemBlock", F.explode(F.sequence(F.lit(0), F.col("itemBlocks") - 1)))
         # New names for the same columns: queries and candidates may come from one table.
         .select(*[F.col(c).alias(c) for c in (*pair, "queryId", "features")])
     )
     offers = (
-        offered.join(sizes, key)
+        offered.join(sizes, "dimension")
         .withColumn("itemBlock", F.pmod(F.xxhash64("itemId"), F.col("itemBlocks")).cast("int"))
         .withColumn("queryBlock", F.explode(F.sequence(F.lit(0), F.col("queryBlocks") - 1)))
         .select(*pair, "itemId", "features")
     )
-    near = (
-        dealt.groupBy(*pair)
-        .cogroup(offers.groupBy(*pair))
-        .applyInArrow(_nearest_in_block(k, COSINE_DIGITS), "queryId int, itemId int, cosine double")
-    )
-    if groups:
-        near = near.groupBy("queryId", "itemId").agg(F.max("cosine").alias("cosine"))
-    nearest_first = Window.partitionBy("queryId").orderBy(F.desc("cosine"), "itemId")
-    return near.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+    return nearest_first(compared(dealt, offers, pair, k), k)
+
+
+def compared(queries: DataFrame, candidates: DataFrame, pair: list[str], k: int) -> DataFrame:
+    """(queryId, itemId, cosine): the best k of each query in each pair of blocks."""
+    return queries.groupBy(*pair).cogroup(candidates.groupBy(*pair)).applyInArrow(_nearest_in_block(k, COSINE_DIGITS), NEAREST)
 
 
-def nearest_items(items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For every item its k nearest items, itself included."""
+def nearest_items(items: DataFrame, k: int, block_rows: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """For every item, or every one whose id is among ``seeds`` (movieId), its k nearest items, itself included."""
     asked = items.select(F.col("itemId").alias("queryId"), "features")
+    if seeds is not None:
+        asked = asked.join(seeds.select(F.col("movieId").alias("queryId")).distinct(), "queryId", "left_semi")
     return blocked_nearest(asked, items.select("itemId", "features"), k, block_rows=block_rows)
 
 
-def item_similar_items(items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def item_similar_items(items: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     """For every item its k nearest other items."""
     found = nearest_items(items, k + 1, block_rows).filter(F.col("queryId") != F.col("itemId"))
     order = Window.partitionBy("queryId").orderBy("rank")
@@ -209,7 +280,7 @@ def item_similar_items(items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -
 
 
 def user_similar_items(
-    users: DataFrame, items: DataFrame, k: int, weight: float, block_rows: int = BLOCK_ROWS
+    users: DataFrame, items: DataFrame, k: int, weight: float, block_rows: int | None = None
 ) -> DataFrame:
     """For every user vector the k nearest items, scored for an event of the given weight."""
     asked = users.select(F.col("userId").alias("queryId"), "features")
@@ -223,11 +294,11 @@ def user_similar_items(
     )
 
 
-def neighbor_lists(items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per item: an array of its k nearest items (itself included), nearest first."""
+def neighbor_lists(items: DataFrame, k: int, block_rows: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """One row per item, or per item among ``seeds`` (movieId): an array of its k nearest items (itself included), nearest first."""
     entry = F.struct("rank", F.col("itemId").alias("movieId"), "cosine")
     return (
-        nearest_items(items, k, block_rows)
+        nearest_items(items, k, block_rows, seeds)
         .groupBy(F.col("queryId").alias("seedId"))
         .agg(F.array_sort(F.collect_list(entry)).alias("neighbors"))
     )

@@ -63,3 +63,17 @@ def test_vectors_that_cannot_be_compared(spark):
     items = spark.createDataFrame(rows, ITEMS)
     assert neighbours(vector_index.item_similar_items_ann(items, 3)) == {(1, 2), (2, 1)}
     assert vector_index.item_similar_items_ann(items.limit(0), 3).count() == 0
+
+
+def test_a_query_is_sent_once_per_block_and_not_once_per_list(spark):
+    """With each of its lists in the block that holds it, and in all blocks of a list that is split."""
+    model = {"lists": np.random.default_rng(7).standard_normal((40, 4)).tolist(), "probes": 30}
+    blocks_of = [[i // 20] for i in range(39)] + [[1, 2]]
+    unit = np.random.default_rng(8).standard_normal((25, 4))
+    rows = spark.createDataFrame([(i, v.tolist(), v.tolist()) for i, v in enumerate(unit)], "queryId int, features array<float>, unit array<double>")
+    schema = "queryId int, features array<float>, block int, lists array<int>"
+    sent = rows.mapInArrow(vector_index._lists_by_block(model, blocks_of), schema).collect()
+    assert len(sent) == len({(r.queryId, r.block) for r in sent}) <= 3 * 25
+    nearest = vector_index._with_lists(rows, model, 30, "queryId").collect()
+    wanted = {(r.queryId, b, x) for r in nearest for x in r.lists for b in blocks_of[x]}
+    assert {(r.queryId, r.block, x) for r in sent for x in r.lists} == wanted

@@ -98,3 +98,30 @@ def test_neighbour_lists_are_ordered(spark):
         assert [n.rank for n in r.neighbors] == [1, 2, 3, 4, 5]
         assert r.neighbors[0].movieId == r.seedId
         assert [n.cosine for n in r.neighbors] == sorted((n.cosine for n in r.neighbors), reverse=True)
+
+
+def test_what_a_search_sends_grows_with_its_vectors_and_blocks_stay_bounded(spark):
+    sizes = [4000, 40_000, 400_000, 615_000]
+    rows = spark.createDataFrame([(n, 64) for n in sizes], "n bigint, dimension int")
+    blocks = [r.b for r in rows.select("n", vectors.block_count(F.col("n"), F.col("dimension"), None).alias("b")).orderBy("n").collect()]
+    assert blocks == [1, 8, 8, 10]
+    assert all(n / b * 64 <= vectors.BLOCK_NUMBERS for n, b in zip(sizes, blocks))
+
+
+def test_scores_that_can_be_among_the_best(monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK_CELLS", 50)
+    assert max(s.stop - s.start for s in vectors._shares_of(1000, 7)) * 7 <= 50
+    draw = np.random.default_rng(5)
+    for n, keep in ((1, 1), (5, 5), (300, 4), (1000, 10)):
+        scores = np.round(draw.standard_normal((20, n)), 1)
+        found = set(zip(*(x.tolist() for x in vectors.at_least_kth(scores, keep))))
+        kth = np.sort(scores, axis=1)[:, -keep]
+        assert {(r, c) for r in range(20) for c in range(n) if scores[r, c] >= kth[r]} <= found
+
+
+def test_lists_of_seeds_are_those_among_all(spark):
+    items = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(6).tolist()) for i in range(60)], ITEMS)
+    seeds = spark.createDataFrame([(3,), (3,), (17,), (None,), (999,)], "movieId int")
+    every = {r.seedId: r.neighbors for r in vectors.neighbor_lists(items, 4).collect()}
+    some = {r.seedId: r.neighbors for r in vectors.neighbor_lists(items, 4, seeds=seeds).collect()}
+    assert some == {i: every[i] for i in (3, 17)}
