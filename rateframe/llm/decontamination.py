@@ -30,6 +30,7 @@ ITEMS_PER_PASS = 20_000
 WINDOWS_AT_ONCE = 8192
 _BITS = 128
 _DISTANCE = np.array([bin(x).count("1") for x in range(256)], dtype="uint8")
+_NEAR = _DISTANCE[np.arange(256)[:, None] ^ np.arange(256)[None]] <= RADIUS // BLOCKS
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -44,7 +45,10 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """Benchmark items of one pass: shingles, fingerprints by length, and their blocks."""
+    """Benchmark items of one pass: shingles, and fingerprints by length, a byte for each block.
+
+    Every worker holds one, so nothing is kept per length and value of a block.
+    """
 
     def __init__(self, item_ids: list[int | None], texts: list[str]):
         words = Words(pa.array(texts, pa.string()))
@@ -65,22 +69,19 @@ class ItemIndex:
         self.lengths_of = [sorted(lengths) for lengths in holders]
         self.groups = {length: self._group(items) for length, items in by_length.items()}
 
-    def _group(self, items: list[int]) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+    def _group(self, items: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         prints = np.stack(
             [_fingerprints((_signs(self.shingles[i]) * self.weights[i][:, None]).sum(axis=0)[None])[0] for i in items]
         )
-        near = _DISTANCE[np.arange(256)[:, None] ^ np.arange(256)[None]] <= RADIUS // BLOCKS
-        blocks = [[np.nonzero(near[value, prints[:, b]])[0] for value in range(256)] for b in range(BLOCKS)]
-        return np.array(items), prints, blocks
+        return np.array(items), prints, np.ascontiguousarray(prints.T)
 
     def near(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item) within the radius, found by their blocks."""
         items, own, blocks = self.groups[length]
         hit = np.zeros((len(prints), len(items)), dtype=bool)
         for b in range(BLOCKS):
-            for value in np.unique(prints[:, b]):
-                if len(found := blocks[b][value]):
-                    hit[np.ix_(np.nonzero(prints[:, b] == value)[0], found)] = True
+            values, which = np.unique(prints[:, b], return_inverse=True)
+            hit |= _NEAR[values][:, blocks[b]][which]
         window, which = np.nonzero(hit)
         close = _DISTANCE[prints[window] ^ own[which]].sum(axis=1) <= RADIUS
         return window[close], items[which[close]]

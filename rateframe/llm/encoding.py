@@ -14,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from rateframe.llm.textops import range_hashes, text_bytes
+from rateframe.llm.textops import range_hashes, remembered, text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 REMEMBERED_UNITS = 1 << 20
@@ -27,7 +27,6 @@ _KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
 _KIND[48:58] = _DIGIT
 _KIND[65:91] = _KIND[97:123] = _LETTER
 _KIND[[39, 124]] = _ODD  # apostrophe: contractions; bar: special tokens
-_ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -37,10 +36,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def encoder(path: str) -> UnitEncoder:
-    """The encoder of this Python worker; what it remembers serves later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of this Python worker; what it remembers serves later tasks of the same map too."""
+    return remembered(path, lambda: UnitEncoder(path))
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,8 @@
+import pickle
 from collections import Counter
 
+import pyarrow as pa
+
 from rateframe.llm import decontamination as d
 from tests.llm.helpers import prose, shingles, table, words
 from tests.llm.test_minhash import changed
@@ -66,3 +69,14 @@ def test_empty_tables(spark):
     assert d.contaminated(docs, none).count() == 0
     assert d.contaminated(table(spark, []), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
     assert d.without_contaminated(docs, none).count() == 1
+
+
+def test_an_index_is_small_whatever_the_lengths_of_its_items():
+    """Each worker of the pipeline holds one: tables for every length took 25 KB an item."""
+    texts = [prose(900 + n, n) for n in range(5, 65)]
+    index = d.ItemIndex(list(range(len(texts))), texts)
+    assert len(index.groups) == len(texts)
+    assert len(pickle.dumps(index)) < 2000 * len(texts)
+    for i, text in enumerate(texts):
+        hashes = d.Words(pa.array([text])).hash
+        assert (i, 0, i + 5, 1.0) in list(index.matches(hashes, 0.75))

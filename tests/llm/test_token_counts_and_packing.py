@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rateframe.llm import encoding, packing, queries, token_counts
+from rateframe.llm import encoding, packing, queries, textops, token_counts
 from tests.llm.helpers import prose, table
 
 PATH = encoding.vocabulary_path()
@@ -97,3 +98,20 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none, PATH, 10).count() == 0
     assert token_counts.prefix_counts(none, PATH).count() == 0
     assert packing.pack(none, PATH, 1, 8).count() == 0
+
+
+def test_a_worker_forgets_its_encoder_when_another_map_begins(spark):
+    """The encoder of a worker stayed through all later stages, which held it beside their own."""
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(textops._REMEMBERED)] * batch.num_rows, pa.int64())], ["n"])
+
+    def held_after_loading(batches):
+        encoding.encoder(encoding.vocabulary_path())
+        yield from held(batches)
+
+    docs = spark.range(4).coalesce(1)
+    for _ in range(2):
+        assert {r.n for r in textops.map_batches(docs, held_after_loading, "n long").collect()} == {2}
+        assert {r.n for r in textops.map_batches(docs, held, "n long").collect()} == {1}
