@@ -3,23 +3,26 @@
 Items are kept in blocks in falling order of their length, |v|. As u.v <= |u| |v|, a user whose kth best score so far
 reaches |u| times the longest vector of a block is done: no later item can enter the list. Blocks are scanned in
 rounds of growing size. A round deals each user who is still open to those of its blocks that can matter, compares blocks of
-users with blocks of items in one task each, and merges k rows per user.
+users with blocks of items in one task each, and merges k rows per user. Users who are done leave with their rows, and those
+who stay are dealt to fewer blocks of users, so later rounds cost what their few users cost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rateframe.functions.expressions import vector_problem
 from rateframe.operators.vectors import at_least_kth
-from rateframe.session import materialize
+from rateframe.session import hold, materialize
 
 BLOCK_ITEMS = 4096
 BLOCK_USERS = 16384
 MOST_BLOCKS_A_ROUND = 512
+MOST_TASKS_A_ROUND = 4096
 SLACK = 1 + 1e-9
 
 
@@ -88,14 +91,14 @@ def _best_in_block(k: int) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        out = {"userId": [], "itemId": [], "score": []}
+        out = {"userId": [], "length": [], "itemId": [], "score": []}
         if users.num_rows and blocks.num_rows:
             ids = blocks["ids"].combine_chunks().flatten().to_numpy()
             asked = users["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(users.num_rows, -1)
             items = blocks["vectors"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(ids), -1)
             order = np.argsort(ids)
             ids, items = ids[order], items[order]
-            user_ids, keep = users["userId"].to_numpy(), min(k, len(ids))
+            user_ids, lengths, keep = users["userId"].to_numpy(), users["length"].to_numpy(), min(k, len(ids))
             for start in range(0, len(asked), 512):
                 score = asked[start : start + 512] @ items.T
                 row, column = at_least_kth(score, keep)
@@ -104,9 +107,10 @@ def _best_in_block(k: int) -> Callable:
                 row, column, value = row[ranked], column[ranked], value[ranked]
                 first = np.arange(len(row)) - np.searchsorted(row, row) < keep
                 out["userId"].append(user_ids[start + row[first]])
+                out["length"].append(lengths[start + row[first]])
                 out["itemId"].append(ids[column[first]])
                 out["score"].append(value[first])
-        kinds = {"userId": "int32", "itemId": "int32", "score": "float64"}
+        kinds = {"userId": "int32", "length": "float64", "itemId": "int32", "score": "float64"}
         return pa.table({c: np.concatenate(v).astype(kinds[c]) if v else np.zeros(0, kinds[c]) for c, v in out.items()})
 
     return best
@@ -123,33 +127,46 @@ def _rounds(longest: list[float]) -> Iterator[tuple[int, int]]:
 
 def _search(asked: DataFrame, blocks: DataFrame, longest: list[float], k: int) -> tuple[DataFrame, int]:
     """Best rows of users of one dimension, and how many (user block, item block) pairs were compared."""
-    parts = -(-asked.count() // BLOCK_USERS)
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("userId"), F.lit(max(parts, 1))).cast("int"))
     open_ = asked.withColumn("kth", F.lit(None).cast("double"))
-    best, compared = None, 0
-    by_score = Window.partitionBy("userId").orderBy(F.desc("score"), "itemId")
+    left, done, compared = None, [], 0
+    of_user = Window.partitionBy("userId")
+    by_score = of_user.orderBy(F.desc("score"), "itemId")
     for first, last in _rounds(longest):
         lengths = F.array(*[F.lit(x) for x in longest[first - 1 : last - 1]])
-        # Falling lengths: the blocks that can matter to a user come first.
+        # Falling lengths: the blocks that can matter to a user come first. An open user needs one at least.
         needed = F.size(F.filter(lengths, lambda x: F.col("kth").isNull() | (x * F.col("length") * SLACK >= F.col("kth"))))
-        pairs = open_.withColumn("needed", needed).filter("needed > 0")
-        pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(first - 1) + F.col("needed")))).select("part", "block", "userId", "features")
-        wanted = materialize(pairs.select("part", "block").distinct(), "wanted-blocks")
-        met = wanted.count()
-        if not met:
-            break
+        parts = max(-(-open_.count() // BLOCK_USERS), 1)
+        asking = open_.withColumn("part", F.pmod(F.xxhash64("userId"), F.lit(parts)).cast("int")).withColumn("needed", needed)
+
+        def upto(column: str):
+            return F.explode(F.sequence(F.lit(first), F.lit(first - 1) + F.col(column))).alias("block")
+
+        # One row per block of users, from which its pairs with blocks of items follow.
+        wanted = hold(asking.groupBy("part").agg(F.max("needed").alias("most")), parts)
+        met = wanted.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
         compared += met
-        offers = wanted.join(blocks.filter(F.col("block").between(first, last - 1)), "block")
-        found = pairs.groupBy("part", "block").cogroup(offers.groupBy("part", "block")).applyInArrow(
-            _best_in_block(k), "userId int, itemId int, score double"
+        # Dealt by number, as a pair of blocks is much work in few bytes.
+        tasks = min(max(2 * met, 1), MOST_TASKS_A_ROUND)
+        pairs = asking.select("part", upto("needed"), "userId", "length", "features").repartition(tasks, "part", "block")
+        offers = wanted.select("part", upto("most")).join(blocks.filter(F.col("block").between(first, last - 1)), "block")
+        found = pairs.groupBy("part", "block").cogroup(offers.repartition(tasks, "part", "block").groupBy("part", "block")).applyInArrow(
+            _best_in_block(k), "userId int, length double, itemId int, score double"
         )
-        found = found if best is None else best.union(found)
-        best = materialize(found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).drop("rank"), "best-so-far")
+        found = found if left is None else left.union(found)
+        best = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+        kth = F.when(F.max("rank").over(of_user) >= k, F.min("score").over(of_user))
+        best = materialize(best.withColumn("kth", kth).drop("rank"), "best-so-far")
         if last > len(longest):
+            done.append(best)
+            break
+        stays = F.col("kth").isNull() | (F.lit(longest[last - 1]) * F.col("length") * SLACK >= F.col("kth"))
+        done.append(best.filter(~stays))
+        staying = best.filter(stays)
+        open_ = materialize(open_.drop("kth").join(staying.groupBy("userId").agg(F.min("kth").alias("kth")), "userId"), "open-users")
+        left = staying.drop("kth")
+        if open_.isEmpty():
             break
-        kth = best.groupBy("userId").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        open_ = asked.join(kth, "userId", "left")
-    return best, compared
+    return reduce(DataFrame.union, done).select("userId", "itemId", "score"), compared
 
 
 def top_products(users: DataFrame, items: DataFrame, k: int, block_items: int = BLOCK_ITEMS) -> tuple[DataFrame, dict[str, int]]:

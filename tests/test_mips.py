@@ -50,6 +50,20 @@ def test_long_vectors_end_the_scan_early(spark, monkeypatch):
     assert counts["all"] >= 160 and counts["compared"] < 0.5 * counts["all"]
 
 
+def test_users_who_are_done_are_not_dealt_again(spark, monkeypatch):
+    """One user in 20 has to look at every block; the others end with the first one."""
+    monkeypatch.setattr(mips, "BLOCK_USERS", 20)
+    users = np.tile(np.array([[1.0, 0.0]], "float32"), (200, 1))
+    users[::20] = [0.0, 1.0]
+    lengths = np.linspace(2, 1, 400, dtype="float32")
+    items = np.stack([lengths, np.zeros(400, "float32")], axis=1)
+    items[::40] = np.stack([np.zeros(10, "float32"), lengths[::-40]], axis=1) / 10
+    items[:40, 0], items[40::40, 0] = 3, 0.1
+    found, counts = mips.top_products(*frames(spark, users, items), 5, 40)
+    assert lists(found) == brute_force(users, items, 5)
+    assert counts == {"all": 100, "compared": counts["compared"]} and counts["compared"] <= 10 + 9
+
+
 def test_ties_bad_vectors_other_dimensions_and_few_items(spark):
     items = spark.createDataFrame(
         [(5, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [0.0, 1.0]), (1, None), (2, []), (4, [float("nan"), 1.0]), (8, [1.0, 1.0, 1.0]), (7, [0.0, 0.0])], ITEMS
