@@ -68,23 +68,28 @@ def als_predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
     return model.transform(pairs.select("userId", "movieId"))
 
 
-def _lists(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def item_blocks_of(model: ALSModel) -> DataFrame:
+    """The stored items of a model, for several searches over it."""
+    return mips.item_blocks(item_factors_of(model))
+
+
+def _lists(users: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """One array per user, best first; as long as k or the number of items."""
-    found, _ = mips.top_products(users, items, k)
+    found, _ = mips.top_products_of(users, blocks, k)
     entry = F.struct("rank", F.col("itemId").alias("movieId"), F.col("score").cast("float").alias("rating"))
     listed = F.array_sort(F.collect_list(entry))
     rows = found.groupBy("userId").agg(listed.alias("recommendations"))
     return rows.select("userId", F.transform("recommendations", lambda r: F.struct(r["movieId"].alias("movieId"), r["rating"].alias("rating"))).alias("recommendations"))
 
 
-def als_recommend_all(model: ALSModel, k: int = 10) -> DataFrame:
-    return _lists(user_factors_of(model), item_factors_of(model), k)
+def als_recommend_all(model: ALSModel, k: int = 10, blocks: DataFrame | None = None) -> DataFrame:
+    return _lists(user_factors_of(model), blocks if blocks is not None else item_blocks_of(model), k)
 
 
-def als_recommend_subset(model: ALSModel, users: DataFrame, k: int = 10) -> DataFrame:
+def als_recommend_subset(model: ALSModel, users: DataFrame, k: int = 10, blocks: DataFrame | None = None) -> DataFrame:
     """Lists of those of ``users`` that the model knows."""
     wanted = users.select("userId").distinct()
-    return _lists(user_factors_of(model).join(wanted, "userId", "left_semi"), item_factors_of(model), k)
+    return _lists(user_factors_of(model).join(wanted, "userId", "left_semi"), blocks if blocks is not None else item_blocks_of(model), k)
 
 
 def save_model(model: ALSModel, path: str) -> None:

@@ -117,10 +117,10 @@ def _best_in_block(k: int) -> Callable:
 
 
 def _rounds(longest: list[float]) -> Iterator[tuple[int, int]]:
-    """Ranges of block numbers, each as long as all before it."""
+    """Ranges of block numbers, each three times as long as all before it: a round has a price of its own."""
     first = 1
     while first <= len(longest):
-        last = min(first + min(max(first - 1, 1), MOST_BLOCKS_A_ROUND), len(longest) + 1)
+        last = min(first + min(max(3 * (first - 1), 1), MOST_BLOCKS_A_ROUND), len(longest) + 1)
         yield first, last
         first = last
 
@@ -135,7 +135,10 @@ def _search(asked: DataFrame, blocks: DataFrame, longest: list[float], k: int) -
         lengths = F.array(*[F.lit(x) for x in longest[first - 1 : last - 1]])
         # Falling lengths: the blocks that can matter to a user come first. An open user needs one at least.
         needed = F.size(F.filter(lengths, lambda x: F.col("kth").isNull() | (x * F.col("length") * SLACK >= F.col("kth"))))
-        parts = max(-(-open_.count() // BLOCK_USERS), 1)
+        parts = -(-open_.count() // BLOCK_USERS)
+        if left is not None and not parts:
+            break
+        parts = max(parts, 1)
         asking = open_.withColumn("part", F.pmod(F.xxhash64("userId"), F.lit(parts)).cast("int")).withColumn("needed", needed)
 
         def upto(column: str):
@@ -143,7 +146,7 @@ def _search(asked: DataFrame, blocks: DataFrame, longest: list[float], k: int) -
 
         # One row per block of users, from which its pairs with blocks of items follow.
         wanted = hold(asking.groupBy("part").agg(F.max("needed").alias("most")), parts)
-        met = wanted.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
+        met = sum(row.most for row in wanted.collect())
         compared += met
         # Dealt by number, as a pair of blocks is much work in few bytes.
         tasks = min(max(2 * met, 1), MOST_TASKS_A_ROUND)
@@ -164,8 +167,6 @@ def _search(asked: DataFrame, blocks: DataFrame, longest: list[float], k: int) -
         staying = best.filter(stays)
         open_ = materialize(open_.drop("kth").join(staying.groupBy("userId").agg(F.min("kth").alias("kth")), "userId"), "open-users")
         left = staying.drop("kth")
-        if open_.isEmpty():
-            break
     return reduce(DataFrame.union, done).select("userId", "itemId", "score"), compared
 
 
@@ -176,8 +177,12 @@ def top_products(users: DataFrame, items: DataFrame, k: int, block_items: int =
     ``users`` has userId, each once, and features; ``items`` itemId and features. Vectors that are null, empty or not finite
     take no part, and vectors meet only those of their dimension. The result is exact.
     """
+    return top_products_of(users, item_blocks(items, block_items), k)
+
+
+def top_products_of(users: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`top_products` over stored :func:`item_blocks`, which several groups of users can share."""
     asked = materialize(_usable(users).select(F.col("userId").cast("int").alias("userId"), "dimension", "length", "features"), "asking-users")
-    blocks = item_blocks(items, block_items)
     heads: dict[int, list[float]] = {}
     for row in blocks.select("dimension", "longest").orderBy("dimension", F.desc("longest")).toLocalIterator():
         heads.setdefault(row.dimension, []).append(row.longest)

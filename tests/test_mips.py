@@ -84,6 +84,18 @@ def test_same_lists_as_the_library(spark):
     assert mine == {r.userId: [(x.movieId, round(x.rating, 4)) for x in r.r] for r in theirs.collect()}
 
 
+def test_searches_share_the_blocks_of_a_model(spark, monkeypatch):
+    rows = [(u, i, float((u * i) % 9 + 1) / 2) for u in range(1, 31) for i in range(1, 41) if (u + i) % 4]
+    model = als.als_train(spark.createDataFrame(rows, "userId int, movieId int, ratingActual double"), als.AlsConfig(rank=3, max_iter=2, seed=3))
+    blocks, labels, keep = als.item_blocks_of(model), [], mips.materialize
+    monkeypatch.setattr(mips, "materialize", lambda df, label: (labels.append(label), keep(df, label))[1])
+    some = als.als_recommend_subset(model, spark.createDataFrame([(3,), (3,), (8,), (99,)], "userId int"), 5, blocks)
+    every = als.als_recommend_all(model, 5, blocks)
+    assert "asking-users" in labels and not {"item-lengths", "item-blocks", "numbered-blocks"} & set(labels)
+    lists_of = lambda df: {r.userId: r.recommendations for r in df.collect()}
+    assert sorted(lists_of(some)) == [3, 8] and lists_of(some).items() <= lists_of(every).items() and len(lists_of(every)) == 30
+
+
 def test_no_plan_pairs_all_rows(spark, monkeypatch):
     plans = []
     keep = mips.materialize
