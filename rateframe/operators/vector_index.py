@@ -21,6 +21,7 @@ from rateframe.operators.vectors import NEAREST, block_count, blocked_nearest, c
 from rateframe.session import hold, materialize
 
 FIT_ROWS = 100_000
+FIT_PART_ROWS = 2048
 CALIBRATION_ROWS = 256
 CALIBRATION_NEIGHBORS = 10
 TARGET = 0.97
@@ -49,7 +50,8 @@ def _comparable(items: DataFrame, key: str) -> DataFrame:
     """Vectors with a direction, with that as unit vector."""
     length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = items.filter(vector_problem("features").isNull()).withColumn("length", length).filter("length > 0")
-    unit = F.transform("features", lambda x: x.cast("double") / F.col("length"))
+    # As an argument the length is counted once a row; named in the function it would be once for each number of the vector.
+    unit = F.zip_with("features", F.array_repeat("length", F.size("features")), lambda x, s: x.cast("double") / s)
     return rows.select(key, "features", unit.alias("unit"), F.size("features").alias("dimension"))
 
 
@@ -65,7 +67,9 @@ def _near_lists(model: dict, count: int) -> Callable:
         for first in range(0, batch.num_rows, step):
             part = batch.slice(first, step)
             unit = part["unit"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-            yield part, np.argsort(squares - 2 * unit @ centroids.T, axis=1, kind="stable")[:, :count].astype("int32")
+            distance = squares - 2 * unit @ centroids.T
+            order = distance.argmin(axis=1)[:, None] if count == 1 else np.argsort(distance, axis=1, kind="stable")[:, :count]
+            yield part, order.astype("int32")
 
     return near
 
@@ -124,6 +128,8 @@ def _with_lists(rows: DataFrame, model: dict, count: int, key: str) -> DataFrame
 def _centroids(items: DataFrame, n: int, lists: int | None, seed: int) -> list[list[float]]:
     """Centres of the FIT_ROWS items with the smallest hash of their id."""
     sample = items.orderBy(F.xxhash64("itemId", F.lit(seed)), "itemId").limit(FIT_ROWS)
+    # The limit leaves one part, which would be one task in every round of the fit.
+    sample = sample.repartition(max(1, min(n, FIT_ROWS) // FIT_PART_ROWS))
     sample = materialize(sample.select(array_to_vector("unit").alias("unit")), "index-sample")
     k = lists or max(1, min(MOST_LISTS, round(n**0.5), FIT_ROWS // 8))
     if k < 2 or n < 4:

@@ -17,7 +17,10 @@ from rateframe.functions.expressions import vector_problem, weighted_score
 LEAST_BLOCKS = 8
 SMALL_BLOCK = 4096
 BLOCK_NUMBERS = 1 << 22  # in the vectors of a block
-CHUNK_CELLS = 1 << 20
+CHUNK_CELLS = 1 << 22
+SEGMENT = 64  # items at most
+PANEL, PANEL_QUERIES = 256, 1024  # items and queries that are multiplied at a time: their products stay in the cache
+NONE = -4.0  # below any cosine
 COSINE_DIGITS = 9
 NEAREST = "queryId int, itemId int, cosine double"
 
@@ -132,77 +135,161 @@ def _units(table):
     return rows
 
 
+def _best_of(found: dict, k: int, distinct: bool) -> dict:
+    """The k best items of each query in order; each once, with its best cosine, if they are to be ``distinct``."""
+    import numpy as np
+
+    def cut(order, places):
+        return {name: values[order][places] for name, values in found.items()}
+
+    if distinct:
+        order = np.lexsort((-found["cosine"], found["itemId"], found["queryId"]))
+        q, i = found["queryId"][order], found["itemId"][order]
+        found = cut(order, np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])[: len(q)])
+    order = np.lexsort((found["itemId"], -found["cosine"], found["queryId"]))
+    q = found["queryId"][order]
+    return cut(order, np.arange(len(q)) - np.searchsorted(q, q) < k)
+
+
+def _groups(table, listed: bool):
+    """Rows of a table in the order of their groups and, in a group, of their id; and of each group its list, its first row,
+    the row after its last, and whether its rows count: those of an id that another row has already do not.
+
+    Without lists there is one group of all rows.
+    """
+    import numpy as np
+
+    ids = table["itemId"].to_numpy()
+    if not listed:
+        return np.argsort(ids, kind="stable"), [(0, 0, len(ids), True)]
+    lists, again = table["list"].to_numpy(), np.ones(len(ids), dtype=bool)
+    again[np.unique(ids, return_index=True)[1]] = False
+    order = np.lexsort((ids, again, lists))
+    lists, again = lists[order], again[order]
+    first = np.nonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (again[1:] != again[:-1])])[: len(ids)])[0]
+    ends = np.append(first[1:], len(ids))
+    return order, [(int(lists[f]), int(f), int(e), not again[f]) for f, e in zip(first, ends)]
+
+
+def _segments(groups: list, width: int):
+    """Group, first row and end of each segment of at most ``width`` rows, none of which lies in two groups."""
+    import numpy as np
+
+    counts = np.array([-(-(end - first) // width) for _, first, end, _ in groups])
+    group = np.repeat(np.arange(len(groups)), counts)
+    nth = np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.array([g[1] for g in groups])[group] + nth * width
+    return group, starts, np.minimum(starts + width, np.array([g[2] for g in groups])[group])
+
+
+class _Best:
+    """The k best items of each row of those that have come so far, in bounded room: by cosine and then id, and of rows of one
+    id one if they are to be ``distinct``."""
+
+    def __init__(self, rows: int, k: int, distinct: bool):
+        self.rows, self.k, self.distinct = rows, k, distinct
+        self.parts, self.size, self.kth = [], 0, None
+
+    def add(self, row, item, cosine) -> None:
+        if self.kth is not None:
+            least, last = self.kth
+            better = (cosine > least[row]) | ((cosine == least[row]) & (item < last[row]))
+            row, item, cosine = row[better], item[better], cosine[better]
+        self.parts.append((row, item, cosine))
+        self.size += len(row)
+        if self.size > CHUNK_CELLS // 4 + self.rows * self.k:
+            self.cut()
+
+    def cut(self) -> dict:
+        import numpy as np
+
+        none = (np.array([], dtype="int64"), np.array([], dtype="int64"), np.array([]))
+        found = dict(zip(("queryId", "itemId", "cosine"), map(np.concatenate, zip(none, *self.parts))))
+        found = _best_of(found, self.k, self.distinct)
+        row, item, cosine = found.values()
+        kth = np.arange(len(row)) - np.searchsorted(row, row) == self.k - 1
+        least, last = np.full(self.rows, -np.inf), np.zeros(self.rows, dtype="int64")
+        least[row[kth]], last[row[kth]] = cosine[kth], item[kth]
+        self.parts, self.size, self.kth = [(row, item, cosine)], len(row), (least, last)
+        return found
+
+
+def _askers(lists, groups: list, rows: int) -> list:
+    """The rows of queries that look into each group; all rows where queries have no lists."""
+    import numpy as np
+
+    if lists is None:
+        return [np.arange(rows)] * len(groups)
+    lists = lists.combine_chunks()
+    looked, asker = lists.flatten().to_numpy(), np.repeat(np.arange(rows), lists.value_lengths().to_numpy())
+    by_list = np.argsort(looked, kind="stable")
+    looked, asker = looked[by_list], asker[by_list]
+    return [asker[slice(*np.searchsorted(looked, [at, at + 1]))] for at, *_ in groups]
+
+
 def _nearest_in_block(k: int, digits: int) -> Callable:
     """Nearest items of a block of queries in a block of items: of all of them or, where queries have ``lists`` and items a
-    ``list``, of those in the lists that a query looks into."""
+    ``list``, of those in the lists that a query looks into.
+
+    Items lie in short segments. Products of half the digits give the best cosine in each segment; the kth best of these, less
+    what such products can be wrong by, is no better than the kth best item. Only segments that reach it are compared in full.
+    """
 
     def nearest(queries, candidates):
         import numpy as np
         import pyarrow as pa
 
-        ids = {"queryId": [], "itemId": [], "cosine": []}
-
-        def keep_best(query_ids, asked, item_ids, items):
-            keep = min(k, len(item_ids))
-            for part in _shares_of(len(asked), len(item_ids)):
-                cosine = asked[part] @ items.T
-                # Wide enough that rounding cannot lift a cosine past the kth.
-                row, column = at_least_kth(cosine, keep, 2 * 10.0**-digits)
-                value = np.round(cosine[row, column], digits)
-                order = np.lexsort((column, -value, row))
-                row, column, value = row[order], column[order], value[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < keep
-                ids["queryId"].append(query_ids[part][row[first]])
-                ids["itemId"].append(item_ids[column[first]])
-                ids["cosine"].append(value[first])
-
-        if queries.num_rows and candidates.num_rows:
-            item_ids, query_ids = candidates["itemId"].to_numpy(), queries["queryId"].to_numpy()
-            items, asked = _units(candidates), _units(queries)
-            if "lists" not in queries.column_names:
-                order = np.argsort(item_ids, kind="stable")
-                keep_best(query_ids, asked, item_ids[order], items[order])
-            else:
-                list_of = candidates["list"].to_numpy()
-                order = np.lexsort((item_ids, list_of))
-                list_of, item_ids, items = list_of[order], item_ids[order], items[order]
-                wanted = queries["lists"].combine_chunks()
-                looked = wanted.flatten().to_numpy()
-                asker = np.repeat(np.arange(len(asked)), wanted.value_lengths().to_numpy())
-                by_list = np.argsort(looked, kind="stable")
-                looked, asker = looked[by_list], asker[by_list]
-                for at in np.unique(list_of):
-                    mine = slice(*np.searchsorted(list_of, [at, at + 1]))
-                    who = asker[slice(*np.searchsorted(looked, [at, at + 1]))]
-                    if len(who):
-                        keep_best(query_ids[who], asked[who], item_ids[mine], items[mine])
+        listed = "lists" in queries.column_names
         kinds = {"queryId": "int32", "itemId": "int32", "cosine": "float64"}
-        found = {
-            name: np.concatenate(parts).astype(kinds[name]) if parts else np.array([], dtype=kinds[name])
-            for name, parts in ids.items()
-        }
-        if "lists" in queries.column_names:
-            found = _best_of_lists(found, k)
-        return pa.table(found)
+        found = {name: [np.array([], dtype=kind)] for name, kind in kinds.items()}
+        if queries.num_rows and candidates.num_rows:
+            query_ids, asked = queries["queryId"].to_numpy(), _units(queries)
+            order, groups = _groups(candidates, listed)
+            item_ids, items = candidates["itemId"].to_numpy()[order], _units(candidates)[order]
+            width = int(np.clip(len(items) // (4 * max(k, len(groups))), 1, SEGMENT))
+            group, starts, ends = _segments(groups, width)
+            # A segment that is not full repeats its last item, which leaves its best as it is.
+            padded = np.minimum(starts[:, None] + np.arange(width), ends[:, None] - 1)
+            light_items, light_asked = items[padded.ravel()].astype("float32"), asked.astype("float32")
+            counts = np.array([g[3] for g in groups])[group]
+            first = np.searchsorted(group, np.arange(len(groups) + 1))
+            # A cosine of d rounded numbers is wrong by (d + 2) / 2**24 at most; twice that leaves room for rounding the bar.
+            slack = 2 * ((asked.shape[1] + 2) * 2.0**-23 + 10.0**-digits)
+            step = max(1, PANEL // width)
+            for some in _shares_of(len(asked), len(group)):
+                part, light = asked[some], light_asked[some]
+                tops = np.full((len(part), len(group)), NONE, dtype="float32")
+                for at, who in enumerate(_askers(queries["lists"][some] if listed else None, groups, len(part))):
+                    for few in (who[x : x + PANEL_QUERIES] for x in range(0, len(who), PANEL_QUERIES)):
+                        turned = np.ascontiguousarray(light[few].T)
+                        for s in range(first[at], first[at + 1], step):
+                            e = min(s + step, first[at + 1])
+                            cosine = light_items[s * width : e * width] @ turned
+                            tops[few, s:e] = cosine.reshape(e - s, width, len(few)).max(axis=1).T
+                bar = np.full(len(part), NONE / 2)
+                sure = tops if counts.all() else tops[:, counts]
+                if sure.shape[1] >= k:
+                    bar = np.maximum(bar, np.partition(sure, -k, axis=1)[:, -k].astype("float64") - slack)
+                row, segment = np.divmod(np.flatnonzero(tops >= bar.astype("float32")[:, None]), len(group))
+                by_segment = np.argsort(segment, kind="stable")
+                row, segment = row[by_segment], segment[by_segment]
+                place = np.searchsorted(segment, np.arange(len(group) + 1))
+                best = _Best(len(part), k, distinct=listed)
+                for s in np.unique(segment):
+                    who, mine = row[place[s] : place[s + 1]], slice(starts[s], ends[s])
+                    cosine = part[who] @ items[mine].T
+                    i, j = np.divmod(np.flatnonzero(cosine >= bar[who][:, None]), cosine.shape[1])
+                    best.add(who[i], item_ids[mine][j], np.round(cosine[i, j], digits))
+                near = best.cut()
+                found["queryId"].append(query_ids[some][near["queryId"]])
+                found["itemId"].append(near["itemId"])
+                found["cosine"].append(near["cosine"])
+        found = {name: np.concatenate(parts).astype(kinds[name]) for name, parts in found.items()}
+        return pa.table(_best_of(found, k, distinct=True) if listed else found)
 
     return nearest
 
 
-def _best_of_lists(found: dict, k: int) -> dict:
-    """The k best items of each query, each once with its best cosine."""
-    import numpy as np
-
-    def cut(order, places):
-        return {name: values[order][places] for name, values in found.items()}
-
-    order = np.lexsort((-found["cosine"], found["itemId"], found["queryId"]))
-    q, i = found["queryId"][order], found["itemId"][order]
-    found = cut(order, np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])[: len(q)])
-    order = np.lexsort((found["itemId"], -found["cosine"], found["queryId"]))
-    q = found["queryId"][order]
-    return cut(order, np.arange(len(q)) - np.searchsorted(q, q) < k)
-
-
 def block_count(n: Column, dimension: Column, block_rows: int | None) -> Column:
     """Blocks that n vectors are dealt to. Without ``block_rows`` there are LEAST_BLOCKS, so that what is sent grows with n and
     not with its square; fewer for few vectors, and more once a block would pass BLOCK_NUMBERS."""

@@ -77,3 +77,33 @@ def test_a_query_is_sent_once_per_block_and_not_once_per_list(spark):
     nearest = vector_index._with_lists(rows, model, 30, "queryId").collect()
     wanted = {(r.queryId, b, x) for r in nearest for x in r.lists for b in blocks_of[x]}
     assert {(r.queryId, r.block, x) for r in sent for x in r.lists} == wanted
+
+
+def test_the_length_of_a_vector_is_counted_once_a_row(spark):
+    """And not in the function that divides each number of the vector by it."""
+    plan = vector_index._comparable(spark.createDataFrame([(1, [3.0, 4.0])], ITEMS), "itemId")
+    assert [round(x, 9) for x in plan.first().unit] == [0.6, 0.8]
+    optimized = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "as double) / lambda" in optimized and "/ SQRT(aggregate" not in optimized
+
+
+def test_the_fit_of_the_centroids_has_several_parts(spark, monkeypatch):
+    fitted = []
+
+    class Fit:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, sample):
+            fitted.append((len(sample.inputFiles()), sample.count()))
+            return self
+
+        def clusterCenters(self):
+            return [[1.0, 0.0], [0.0, 1.0]]
+
+    monkeypatch.setattr(vector_index, "KMeans", Fit)
+    monkeypatch.setattr(vector_index, "FIT_PART_ROWS", 50, raising=False)
+    x = frame(spark, np.random.default_rng(9).standard_normal((400, 2)))
+    rows = vector_index._comparable(x, "itemId")
+    assert len(vector_index._centroids(rows, 400, 2, 42)) == 2
+    assert fitted == [(8, 400)]

@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +128,57 @@ def test_lists_of_seeds_are_those_among_all(spark):
     every = {r.seedId: r.neighbors for r in vectors.neighbor_lists(items, 4).collect()}
     some = {r.seedId: r.neighbors for r in vectors.neighbor_lists(items, 4, seeds=seeds).collect()}
     assert some == {i: every[i] for i in (3, 17)}
+
+
+def block(x, ids, **lists):
+    x = np.asarray(x, dtype="float32")
+    ends = np.arange(0, x.size + 1, x.shape[1], dtype="int32")
+    features = pa.chunked_array([pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))])
+    return pa.table({**{name: pa.array(v, pa.int32()) for name, v in ids.items()}, "features": features, **lists})
+
+
+def dealt(n, lists, probes, seed, d=16):
+    """Queries that look into some of the lists, and items in lists."""
+    draw = np.random.default_rng(seed)
+    x, list_of = draw.standard_normal((n, d)), draw.integers(0, lists, n)
+    wanted = pa.chunked_array([pa.array([draw.permutation(lists)[:probes].tolist() for _ in range(n)], pa.list_(pa.int32()))])
+    return x, list_of, block(x, {"queryId": np.arange(n)}, lists=wanted), block(x, {"itemId": np.arange(n)}, list=pa.array(list_of, pa.int32()))
+
+
+@pytest.mark.parametrize("cells, again", [(1 << 22, 0), (1500, 0), (1 << 22, 40), (1500, 40)])
+def test_items_of_the_lists_asked_for_are_found_and_no_others(monkeypatch, cells, again):
+    """In one part or many, and with the first items there twice, as other vectors in other lists."""
+    monkeypatch.setattr(vectors, "CHUNK_CELLS", cells)
+    x, list_of, queries, items = dealt(400, 12, 5, 1)
+    ids = np.concatenate([np.arange(400 - again), np.arange(again)])
+    items = items.set_column(0, "itemId", pa.array(ids, pa.int32()))
+    found = vectors._nearest_in_block(4, 9)(queries, items)
+    unit = x.astype("float32").astype("float64")
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    cosine = np.round(unit @ unit.T, 9)
+    wanted = set()
+    for q, lists in enumerate(queries["lists"].to_pylist()):
+        best = {}
+        for i in np.nonzero(np.isin(list_of, lists))[0]:
+            best[int(ids[i])] = max(best.get(int(ids[i]), -2.0), cosine[q, i])
+        wanted |= {(q, i) for i, _ in sorted(best.items(), key=lambda b: (-b[1], b[0]))[:4]}
+    assert set(zip(found["queryId"].to_pylist(), found["itemId"].to_pylist())) == wanted and found.num_rows == 1600
+
+
+def test_copies_of_a_row_take_no_place_of_other_items():
+    x, list_of, queries, items = dealt(200, 4, 2, 2)
+    search = vectors._nearest_in_block(4, 9)
+    assert search(queries, pa.concat_tables([items] * 3)).equals(search(queries, items))
+
+
+def test_a_search_by_lists_costs_little_more_than_one_of_all():
+    """Not k items, sorted, for each query and list."""
+    _, _, queries, items = dealt(4000, 100, 100, 3)
+
+    def seconds(*tables):
+        began = time.perf_counter()
+        vectors._nearest_in_block(6, 9)(*tables)
+        return time.perf_counter() - began
+
+    by_lists, of_all = (min(seconds(*t) for _ in range(3)) for t in ((queries, items), (queries.drop("lists"), items.drop("list"))))
+    assert by_lists < 5 * of_all
